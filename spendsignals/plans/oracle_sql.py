@@ -97,9 +97,11 @@ SCORED_CTE = """scored AS (
  FROM eng)"""
 
 
-def pct_rank(col: str, src: str) -> str:
-    """Average-rank percentile x100 (pandas ``rank(pct=True)``) over a whole table."""
-    return (f"(rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2.0)"
+def pct_rank(col: str, src: str = "", places: int = 9) -> str:
+    """Average-rank percentile x100 (pandas ``rank(pct=True)``) over a whole table; values equal to
+    ``places`` decimals are ties."""
+    k = f"round({col}, {places})"
+    return (f"(rank() OVER (ORDER BY {k}) + (count(*) OVER (PARTITION BY {k}) - 1) / 2.0)"
             f" / count({col}) OVER () * 100")
 
 
