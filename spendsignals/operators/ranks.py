@@ -12,41 +12,43 @@ average precision (X4) and the ROC / PR curves (X5).
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
 
 
-def _bucketed(vc: DataFrame, value: str, buckets: int) -> DataFrame:
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = vc.approxQuantile(value, probs, 1.0 / (4 * buckets)) if probs else []
-    edges = sorted({float(e) for e in edges if e is not None})
-    if not edges:
-        return vc.withColumn("_b", F.lit(0.0))
-    splits = [float("-inf")] + edges + [float("inf")]
-    vc = vc.withColumn("_bv", F.col(value).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_bv", outputCol="_b", handleInvalid="keep").transform(vc).drop("_bv")
-
-
-def prefix_sums(df: DataFrame, value: str, measures: dict[str, Column], descending: bool = False,
+def prefix_sums(df: DataFrame, value: str, measures: dict[str, Column], by=(), descending: bool = False,
                 buckets: int | None = None) -> DataFrame:
-    """One row per distinct non-NULL ``value``: each measure summed at that value (``name``) and
-    summed over all values strictly before it in the chosen order (``name_before``)."""
-    vc = df.where(F.col(value).isNotNull()).groupBy(value).agg(
-        *[F.sum(m).alias(n) for n, m in measures.items()])
+    """One row per ``(by..., distinct non-NULL value)``: each measure summed at that value (``name``)
+    and summed over all values strictly before it in the chosen order within its group
+    (``name_before``).
+
+    Plan: partial aggregate to distinct values; per group ``percentile_approx`` edges of those values
+    (one row per group, broadcast: groups x buckets numbers); bucket = number of edges below the
+    value; running sum inside each (group, bucket); offsets from bucket totals (broadcast, one row per
+    group and bucket)."""
+    by = list(by)
     nb = buckets or max(1, shuffle_partitions(df.sparkSession))
-    vb = _bucketed(vc, value, nb)
+    vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        *[F.sum(m).alias(n) for n, m in measures.items()])
+    if nb > 1:
+        probs = [i / nb for i in range(1, nb)]
+        edges = vc.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * nb).alias("_edges"))
+        vb = (vc.join(F.broadcast(edges), by) if by else vc.crossJoin(F.broadcast(edges)))
+        below = (lambda e: e > F.col(value)) if descending else (lambda e: e < F.col(value))
+        vb = vb.withColumn("_b", F.size(F.filter(F.array_distinct("_edges"), below))).drop("_edges")
+    else:
+        vb = vc.withColumn("_b", F.lit(0))
     order = F.col(value).desc() if descending else F.col(value).asc()
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = vb.withColumns({f"_in_{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in measures})
-    tot = vb.groupBy("_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in measures])
-    border = F.col("_b").desc() if descending else F.col("_b").asc()
-    wb = Window.orderBy(border).rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
-    offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in measures])
-    out = inner.join(F.broadcast(offs), "_b")
-    return out.select(value, *measures.keys(),
+    tot = vb.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in measures])
+    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)).alias(f"_o_{n}")
+                                   for n in measures])
+    out = inner.join(F.broadcast(offs), by + ["_b"])
+    return out.select(*by, value, *measures.keys(),
                       *[(F.col(f"_in_{n}") + F.col(f"_o_{n}")).alias(f"{n}_before") for n in measures])
 
 
@@ -58,7 +60,7 @@ def rank_table(df: DataFrame, value: str, out: str = "rank", pct: bool = False,
     ps = prefix_sums(df, value, {"_c": F.lit(1)}, buckets=buckets)
     ranks = ps.select(value, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias("_r"), "_c")
     if pct:
-        total = ranks.agg(F.sum("_c").alias("_n"))
+        total = ranks.agg(F.sum("_c").alias("_n"))   # one row
         ranks = ranks.crossJoin(F.broadcast(total)).withColumn("_r", F.col("_r") / F.col("_n") * scale)
     return ranks.select(value, F.col("_r").alias(out))
 
