@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,28 +187,32 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None, hi: f
     """Fixed-width bins over [lo, hi] (min/max when not given), last edge closed, every bin
     listed (empty ones with 0); optional group column; counts or densities (per group)."""
     x = F.col(col).cast("double")
-    base = df.select(*([by] if by else []), x.alias("_x")).where(F.col("_x").isNotNull())
+    keys0 = [by] if by else []
+    base = df.select(*keys0, x.alias("_x")).where(F.col("_x").isNotNull())
     if lo is None or hi is None:
-        rng = base.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        # data range (per group when grouped, as a separate histogram per group would use);
+        # a constant column gets the range [v - 0.5, v + 0.5]
+        rng = base.groupBy(*keys0).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        same = F.col("_hi") == F.col("_lo")
+        rng = rng.select(*keys0, F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
+                         F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
     else:
-        rng = base.sparkSession.range(1).select(F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"))
-    step = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0))
-    rng = rng.withColumn("_step", step)
-    inb = base.crossJoin(F.broadcast(rng)).where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
+        rng = base.select(*keys0).distinct() if by else base.sparkSession.range(1).select()
+        rng = rng.select(*keys0, F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"))
+    rng = rng.withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
+    # one range row per group (a label / model column, never a key column): broadcast
+    inb = (base.join(F.broadcast(rng), keys0) if by else base.crossJoin(F.broadcast(rng)))
+    inb = inb.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
     inb = inb.withColumn("bin", F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_step")).cast("int"),
                                         F.lit(bins - 1)))
-    keys = ([by] if by else []) + ["bin"]
+    keys = keys0 + ["bin"]
     counts = inb.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    grid = rng.select("_lo", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    if by:
-        groups = base.select(by).distinct()
-        grid = grid.crossJoin(groups)   # groups x bins rows: a label or model column, not a key column
+    grid = rng.select(*keys0, "_lo", "_step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counts, keys, "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
     out = out.withColumns({"bin_lo": F.col("_lo") + F.col("bin") * F.col("_step"),
                            "bin_hi": F.col("_lo") + (F.col("bin") + 1) * F.col("_step")})
     if density:
-        from pyspark.sql import Window
-        tot = F.sum("count").over(Window.partitionBy(*([by] if by else [])))
+        tot = F.sum("count").over(Window.partitionBy(*keys0))
         out = out.withColumn("density", F.col("count") / (tot * F.col("_step")))
     return out.drop("_lo", "_step")
 

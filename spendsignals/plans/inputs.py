@@ -23,3 +23,18 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
     return user_risk(scored(spark, sf))
+
+
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Long score table of two stand-in models (FIXTURES section 3): the deterministic score at the
+    0.70 threshold and a label-independent hashed score at 0.5."""
+    from pyspark.sql import functions as F
+
+    t = txn(spark, sf).select("transaction_id", F.col("impulse_label").alias("label"), "impulse_prob")
+    det = t.select("transaction_id", F.lit("deterministic").alias("model"), "label",
+                   F.col("impulse_prob").alias("prob"),
+                   (F.col("impulse_prob") >= 0.7).cast("int").alias("pred"))
+    hp = F.round((F.col("transaction_id") * 37 % 101) / 101.0, 6)
+    hsh = t.select("transaction_id", F.lit("hashed").alias("model"), "label", hp.alias("prob"),
+                   (hp >= 0.5).cast("int").alias("pred"))
+    return det.unionByName(hsh)
