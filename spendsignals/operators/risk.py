@@ -38,6 +38,8 @@ PROFILE_AGGS = [
     ("mean_category_risk", lambda: F.avg("category_impulse_risk")),
     ("mean_drawdown", lambda: F.avg("drawdown_ratio")),
     ("balance_stress_rate", lambda: F.avg("balance_stress")),
+    # A14 folded into the same aggregate: spend on transactions predicted impulsive
+    ("potential_savings", lambda: F.sum(F.col("transaction_amount") * F.col("impulse_pred"))),
 ]
 
 

@@ -260,14 +260,19 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
                     F.try_divide(F.col("n"), 2 * F.col("n_pos")).alias("weight_pos"))
 
 
+ZERO_STD = 1e-12
+
+
 def population_stats(df: DataFrame, cols) -> DataFrame:
-    """Population mean and sample std per column (zero std -> 1), one row."""
+    """Population mean and sample std per column, one row. A std of zero becomes 1; so does a
+    std below ``ZERO_STD``, which only floating-point noise produces (a user's mean z-score is 0 in
+    exact arithmetic), so z-scores of such a column are ~0 instead of noise divided by noise."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
     s = df.agg(*aggs)
     return s.select(*[F.col(f"{c}__mean") for c in cols],
-                    *[F.when(F.col(f"{c}__std") == 0, F.lit(1.0)).otherwise(F.col(f"{c}__std")).alias(f"{c}__std")
+                    *[F.when(F.col(f"{c}__std") <= ZERO_STD, F.lit(1.0)).otherwise(F.col(f"{c}__std")).alias(f"{c}__std")
                       for c in cols])
 
 

@@ -38,3 +38,33 @@ def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     hsh = t.select("transaction_id", F.lit("hashed").alias("model"), "label", hp.alias("prob"),
                    (hp >= 0.5).cast("int").alias("pred"))
     return det.unionByName(hsh)
+
+
+def segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """User profile + stand-in cluster (user_id % 4, FIXTURES section 3) + persona + dominant signal."""
+    from pyspark.sql import functions as F
+
+    from ..operators.segments import assign_persona, dominant_signal
+
+    p = profile(spark, sf).withColumn("cluster", (F.col("user_id") % 4).cast("int"))
+    return dominant_signal(assign_persona(p))
+
+
+def next_features(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.nexttxn import next_txn_features
+    return next_txn_features(scored(spark, sf))
+
+
+def at_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """M17 with the deterministic score of the newest transaction as the next-impulse probability."""
+    from pyspark.sql import functions as F
+
+    from ..operators.nexttxn import at_risk_users, latest_per_user
+
+    latest = latest_per_user(next_features(spark, sf)).withColumn("next_impulse_prob", F.col("impulse_prob"))
+    return at_risk_users(latest, segmented(spark, sf))
+
+
+def nudged(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.nudges import attach_signals, with_nudges
+    return with_nudges(attach_signals(at_risk(spark, sf), segmented(spark, sf)))

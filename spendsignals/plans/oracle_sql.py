@@ -121,6 +121,7 @@ PROF_CTE = f"""agg AS (
   avg(category_impulse_risk) AS mean_category_risk,
   avg(drawdown_ratio) AS mean_drawdown,
   avg(balance_stress) AS balance_stress_rate,
+  sum(transaction_amount * impulse_pred) AS potential_savings,
   sum(impulse_prob * decay_weight) / sum(decay_weight) AS recency_weighted_prob
  FROM scored GROUP BY user_id),
 comp AS (
