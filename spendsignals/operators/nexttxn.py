@@ -91,6 +91,7 @@ def block_folds(df: DataFrame, label: str = "next_impulse", n_splits: int = 5,
     user (timeline), so no global sort is needed."""
     from .timeline import Running
     key, ts, tid = order
+    df = cut_lineage(df)   # read three times below
     y = F.col(label)
     per_user = df.groupBy(key).agg(F.count_if(y == 0).alias("c0"), F.count_if(y == 1).alias("c1"))
     ps = prefix_sums(per_user, key, {"c0": F.col("c0"), "c1": F.col("c1")})

@@ -1,70 +1,125 @@
-"""Shared inputs of the registered queries, each derived by Spark from the driver's tables."""
+"""Shared inputs of the registered queries, each derived by Spark from the driver's tables.
+
+``Ctx`` builds every intermediate once per query; a table read by several consumers (the scored
+transactions feed both the user profile and the sequence features) is written once to the
+checkpoint folder, the way the reference hands its engineered table from step to step.
+"""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.features import engineer
 from ..operators.risk import score_transactions, user_risk
+from ..session import cut_lineage
 from ..sources.transactions import transactions_from_events
 
 
-def txn(spark: SparkSession, sf: str) -> DataFrame:
-    return transactions_from_events(spark, sf)
+class Ctx:
+    def __init__(self, spark: SparkSession, sf: str, shared: bool = False):
+        self.spark, self.sf, self.shared = spark, sf, shared
+
+    @cached_property
+    def txn(self) -> DataFrame:
+        return transactions_from_events(self.spark, self.sf)
+
+    @cached_property
+    def eng(self) -> DataFrame:
+        return engineer(self.txn)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        s = score_transactions(self.eng)
+        return cut_lineage(s) if self.shared else s
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return user_risk(self.scored)
+
+    @cached_property
+    def segmented(self) -> DataFrame:
+        """Profile + stand-in cluster (user_id % 4, FIXTURES section 3) + persona + dominant signal."""
+        from ..operators.segments import assign_persona, dominant_signal
+
+        p = self.profile.withColumn("cluster", (F.col("user_id") % 4).cast("int"))
+        return dominant_signal(assign_persona(p))
+
+    @cached_property
+    def next_features(self) -> DataFrame:
+        from ..operators.nexttxn import next_txn_features
+        return next_txn_features(self.scored)
+
+    @cached_property
+    def next_dataset(self) -> DataFrame:
+        from ..operators.nexttxn import attach_user
+        feats = attach_user(self.next_features, self.segmented)
+        return feats.na.drop(subset=["next_impulse"]).withColumn("next_impulse", F.col("next_impulse").cast("int"))
+
+    @cached_property
+    def at_risk(self) -> DataFrame:
+        """M17 with the deterministic score of the newest transaction as the next-impulse probability."""
+        from ..operators.nexttxn import at_risk_users, latest_per_user
+
+        latest = latest_per_user(self.next_features).withColumn("next_impulse_prob", F.col("impulse_prob"))
+        return at_risk_users(latest, self.segmented)
+
+    @cached_property
+    def nudged(self) -> DataFrame:
+        from ..operators.nudges import attach_signals, with_nudges
+        return with_nudges(attach_signals(self.at_risk, self.segmented))
 
+    @cached_property
+    def model_scores(self) -> DataFrame:
+        """Long score table of two stand-in models (FIXTURES section 3): the deterministic score at the
+        0.70 threshold and a label-independent hashed score at 0.5."""
+        t = self.txn.select("transaction_id", F.col("impulse_label").alias("label"), "impulse_prob")
+        det = t.select("transaction_id", F.lit("deterministic").alias("model"), "label",
+                       F.col("impulse_prob").alias("prob"),
+                       (F.col("impulse_prob") >= 0.7).cast("int").alias("pred"))
+        hp = F.round((F.col("transaction_id") * 37 % 101) / 101.0, 6)
+        hsh = t.select("transaction_id", F.lit("hashed").alias("model"), "label", hp.alias("prob"),
+                       (hp >= 0.5).cast("int").alias("pred"))
+        return det.unionByName(hsh)
 
-def eng(spark: SparkSession, sf: str) -> DataFrame:
-    return engineer(txn(spark, sf))
 
+def txn(spark, sf):
+    return Ctx(spark, sf).txn
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return score_transactions(eng(spark, sf))
 
+def eng(spark, sf):
+    return Ctx(spark, sf).eng
 
-def profile(spark: SparkSession, sf: str) -> DataFrame:
-    return user_risk(scored(spark, sf))
 
+def scored(spark, sf):
+    return Ctx(spark, sf).scored
 
-def model_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Long score table of two stand-in models (FIXTURES section 3): the deterministic score at the
-    0.70 threshold and a label-independent hashed score at 0.5."""
-    from pyspark.sql import functions as F
 
-    t = txn(spark, sf).select("transaction_id", F.col("impulse_label").alias("label"), "impulse_prob")
-    det = t.select("transaction_id", F.lit("deterministic").alias("model"), "label",
-                   F.col("impulse_prob").alias("prob"),
-                   (F.col("impulse_prob") >= 0.7).cast("int").alias("pred"))
-    hp = F.round((F.col("transaction_id") * 37 % 101) / 101.0, 6)
-    hsh = t.select("transaction_id", F.lit("hashed").alias("model"), "label", hp.alias("prob"),
-                   (hp >= 0.5).cast("int").alias("pred"))
-    return det.unionByName(hsh)
+def profile(spark, sf):
+    return Ctx(spark, sf).profile
 
 
-def segmented(spark: SparkSession, sf: str) -> DataFrame:
-    """User profile + stand-in cluster (user_id % 4, FIXTURES section 3) + persona + dominant signal."""
-    from pyspark.sql import functions as F
+def segmented(spark, sf):
+    return Ctx(spark, sf).segmented
 
-    from ..operators.segments import assign_persona, dominant_signal
 
-    p = profile(spark, sf).withColumn("cluster", (F.col("user_id") % 4).cast("int"))
-    return dominant_signal(assign_persona(p))
+def next_features(spark, sf):
+    return Ctx(spark, sf).next_features
 
 
-def next_features(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.nexttxn import next_txn_features
-    return next_txn_features(scored(spark, sf))
+def next_dataset(spark, sf):
+    return Ctx(spark, sf, shared=True).next_dataset
 
 
-def at_risk(spark: SparkSession, sf: str) -> DataFrame:
-    """M17 with the deterministic score of the newest transaction as the next-impulse probability."""
-    from pyspark.sql import functions as F
+def at_risk(spark, sf):
+    return Ctx(spark, sf, shared=True).at_risk
 
-    from ..operators.nexttxn import at_risk_users, latest_per_user
 
-    latest = latest_per_user(next_features(spark, sf)).withColumn("next_impulse_prob", F.col("impulse_prob"))
-    return at_risk_users(latest, segmented(spark, sf))
+def nudged(spark, sf):
+    return Ctx(spark, sf, shared=True).nudged
 
 
-def nudged(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.nudges import attach_signals, with_nudges
-    return with_nudges(attach_signals(at_risk(spark, sf), segmented(spark, sf)))
+def model_scores(spark, sf):
+    return Ctx(spark, sf).model_scores

@@ -182,8 +182,7 @@ _NXD_D = ([c for c in _LAG_D if c in NX.NEXT_FEATURES] + _R5 + ["hours_since_las
 @register("m16_next_txn_dataset", nsql(f"SELECT {', '.join(_NXD)} FROM nxd", _NXD_D))
 def m16(spark, sf):
     """M16 (+ J3, F2): sequence features, user columns, rows without a next transaction dropped."""
-    seg = I.segmented(spark, sf)
-    return NX.next_txn_dataset(I.scored(spark, sf), seg).select(*_NXD)
+    return I.next_dataset(spark, sf).select(*_NXD)
 
 
 @register("m13_time_split", nsql(
@@ -194,7 +193,7 @@ def m16(spark, sf):
     "FROM nxd, (SELECT quantile_cont(epoch_us(\"timestamp\"), 0.8) AS q FROM nxd)", ["train_rate", "test_rate"]))
 def m13(spark, sf):
     """M13 + F3: split the next-transaction set at the exact 0.8 quantile of time."""
-    ds = NX.next_txn_dataset(I.scored(spark, sf), I.segmented(spark, sf)).select("timestamp", "next_impulse")
+    ds = I.next_dataset(spark, sf).select("timestamp", "next_impulse")
     train, test, _ = NX.time_split(ds, 0.8)
     a = train.agg(F.count(F.lit(1)).alias("train_rows"), F.avg("next_impulse").alias("train_rate"))
     b = test.agg(F.count(F.lit(1)).alias("test_rows"), F.avg("next_impulse").alias("test_rate"))
@@ -223,8 +222,7 @@ def _fold_starts():
 @register("m15_block_folds", nsql(_FOLD_SQL.format(starts=_fold_starts())))
 def m15(spark, sf):
     """Unshuffled stratified 5-fold assignment without a global sort."""
-    ds = NX.next_txn_dataset(I.scored(spark, sf), I.segmented(spark, sf)).select(
-        "transaction_id", "user_id", "timestamp", "next_impulse")
+    ds = I.next_dataset(spark, sf).select("transaction_id", "user_id", "timestamp", "next_impulse")
     return NX.block_folds(ds).select("transaction_id", "fold")
 
 
@@ -295,7 +293,8 @@ _J6 = ["next_impulse_prob", "potential_savings", "late_night_rate", "balance_str
     "SELECT user_id, next_impulse_prob, alert_level, dominant_signal, potential_savings, late_night_rate, "
     "balance_stress_rate, mean_spend_zscore, pred_impulse_rate FROM full0", _J6))
 def j06(spark, sf):
-    d = NU.attach_signals(I.at_risk(spark, sf), I.segmented(spark, sf))
+    c = I.Ctx(spark, sf, shared=True)
+    d = NU.attach_signals(c.at_risk, c.segmented)
     return d.select("user_id", "next_impulse_prob", "alert_level", "dominant_signal", *_J6[1:])
 
 
