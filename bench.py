@@ -21,7 +21,7 @@ from spendsignals.session import local_session  # noqa: E402
 HEADLINE = {
     "q01_transactions": "s01_read_transactions",
     "q02_engineered": "p10_engineered_table",
-    "q03_user_risk": "m07_user_risk_profile",
+    "q03_user_risk": "a06_user_risk_profile",
     "q04_significance": "t05_significance_table",
     "q05_compare_models": "x12_compare_models",
     "q06_threshold_sweep": "x06_threshold_sweep",

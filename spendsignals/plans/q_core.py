@@ -243,7 +243,7 @@ def p18(spark, sf):
 _PROF_ALL = PROFILE_COLS + ["context_index"] + SCORE_COLS + ["risk_score", "risk_tier"]
 
 
-@register("m07_user_risk_profile", rsql(f"SELECT user_id, {q(_PROF_ALL)} FROM prof", PR,
+@register("a06_user_risk_profile", rsql(f"SELECT user_id, {q(_PROF_ALL)} FROM prof", PR,
                                          PROFILE_DOUBLES + ["context_index"] + SCORE_COLS + ["risk_score"]))
 def user_risk_profile(spark, sf):
     """Flagship: user risk profiles with component scores, composite score and tier (reference step 7)."""

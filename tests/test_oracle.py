@@ -16,7 +16,7 @@ from conftest import SF_ORACLE, SF_SMALL
 FULL = os.environ.get("SPENDSIGNALS_FULL_ORACLE") == "1"
 SF = SF_ORACLE if FULL else SF_SMALL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SUBSET = ["s01_read_transactions", "p10_engineered_table", "m07_user_risk_profile", "a08_tier_summary",
+SUBSET = ["s01_read_transactions", "p10_engineered_table", "a06_user_risk_profile", "a08_tier_summary",
           "t05_significance_table", "t03_correlation_table", "a18_histogram", "a19_time_quantile",
           "x03_roc_auc", "x04_average_precision", "x06_threshold_sweep", "x11_reliability",
           "m16_next_txn_dataset", "m15_block_folds", "m17_at_risk_users", "p26_full_nudge", "a13_tier_alert_matrix"]
