@@ -128,13 +128,15 @@ def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp"
     """Add one column per spec; see the module docstring for the plan."""
     order = tuple(order)
     ts = order[0]
-    hot = cut_lineage(_hot_keys(df, key, ts, rows_per_chunk))
+    # one aggregate over (key, time) only: Catalyst prunes every other column of the input
+    hot = _hot_keys(df, key, ts, rows_per_chunk)
     n_hot = hot.count()
     if n_hot == 0:
         return _plain(df, specs, key, order)
     if n_hot > MAX_BROADCAST_ROWS:
         raise ValueError(f"{n_hot} hot keys exceed the broadcast bound; raise rows_per_chunk")
-    return _chunked(df, specs, key, order, hot)
+    # at most N / rows_per_chunk rows; written once so every branch below sees the same chunking
+    return _chunked(df, specs, key, order, cut_lineage(hot))
 
 
 def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:

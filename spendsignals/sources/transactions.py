@@ -37,6 +37,10 @@ ADAPTER_CUTOFF = 82
 ADAPTER_NOISE_WEIGHT = 0.4
 
 
+CSV_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+CSV_TS_FORMAT_READ = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,14 +49,17 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     """Read a transaction table with an explicit schema (CSV needs no inference pass)."""
     reader = spark.read.schema(TXN_SCHEMA)
     if fmt == "csv":
-        return reader.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
+        return reader.option("header", True).option("timestampNTZFormat", CSV_TS_FORMAT_READ).csv(path)
     return reader.format(fmt).load(path)
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", sort_keys=None) -> None:
     """Write a table; rows sorted within files by the given keys (no global sort)."""
     out = df.sortWithinPartitions(*sort_keys) if sort_keys else df
-    out.write.mode("overwrite").format(fmt).option("header", True).save(path)
+    w = out.write.mode("overwrite").format(fmt)
+    if fmt == "csv":
+        w = w.option("header", True).option("timestampNTZFormat", CSV_TS_FORMAT)
+    w.save(path)
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
