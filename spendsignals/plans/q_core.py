@@ -191,8 +191,8 @@ W_ORDER = 'PARTITION BY user_id ORDER BY "timestamp", transaction_id ROWS BETWEE
 
 
 @register("w14_recent_rate", rsql(
-    f"SELECT transaction_id, coalesce(sum(impulse_label) OVER (w) / NULLIF(count(impulse_label) OVER (w), 0), 0.0) "
-    f"AS recent_impulse_rate, CAST(coalesce(sum(impulse_label) OVER (w), 0) AS BIGINT) AS recent_impulse_count "
+    f"SELECT transaction_id, coalesce(sum(impulse_label) OVER w / NULLIF(count(impulse_label) OVER w, 0), 0.0) "
+    f"AS recent_impulse_rate, CAST(coalesce(sum(impulse_label) OVER w, 0) AS BIGINT) AS recent_impulse_count "
     f"FROM txn WINDOW w AS ({W_ORDER})", (), ["recent_impulse_rate"]))
 def w14(spark, sf):
     """Impulse rate over the previous 7 transactions (the request form's "last 7")."""
