@@ -18,30 +18,30 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions
 
 
+BUCKETS_PER_PARTITION = 4
+
+
 def prefix_sums(df: DataFrame, value: str, measures: dict[str, Column], by=(), descending: bool = False,
                 buckets: int | None = None) -> DataFrame:
     """One row per ``(by..., distinct non-NULL value)``: each measure summed at that value (``name``)
     and summed over all values strictly before it in the chosen order within its group
     (``name_before``).
 
-    Plan: partial aggregate to distinct values; per group ``percentile_approx`` edges of those values
-    (one row per group, broadcast: groups x buckets numbers); bucket = number of edges below the
-    value; running sum inside each (group, bucket); offsets from bucket totals (broadcast, one row per
-    group and bucket)."""
+    Plan: partial aggregate to distinct values (a value held by a third of the rows is one row);
+    ``repartitionByRange`` on (group, value) into ``buckets`` ranges (Spark samples the bounds, so
+    buckets stay balanced at any cardinality), bucket id = partition id, pinned by a reliable
+    checkpoint so every consumer sees the same buckets; running sums inside (bucket, group);
+    offsets from the bucket totals (one row per bucket and group, broadcast)."""
+    from ..session import cut_lineage
     by = list(by)
-    nb = buckets or max(1, shuffle_partitions(df.sparkSession))
+    nb = buckets or max(1, BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession))
     vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[F.sum(m).alias(n) for n, m in measures.items()])
-    if nb > 1:
-        probs = [i / nb for i in range(1, nb)]
-        edges = vc.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * nb).alias("_edges"))
-        vb = (vc.join(F.broadcast(edges), by) if by else vc.crossJoin(F.broadcast(edges)))
-        below = (lambda e: e > F.col(value)) if descending else (lambda e: e < F.col(value))
-        vb = vb.withColumn("_b", F.size(F.filter(F.array_distinct("_edges"), below))).drop("_edges")
-    else:
-        vb = vc.withColumn("_b", F.lit(0))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    w = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    vkey = F.col(value).desc() if descending else F.col(value).asc()
+    vb = cut_lineage(vc.repartitionByRange(nb, *[F.col(b) for b in by], vkey)
+                     .withColumn("_b", F.spark_partition_id()))
+    # partition ids follow the range order (value descending when ``descending``)
+    w = Window.partitionBy(*by, "_b").orderBy(vkey).rowsBetween(Window.unboundedPreceding, -1)
     inner = vb.withColumns({f"_in_{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in measures})
     tot = vb.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in measures])
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
