@@ -80,12 +80,12 @@ def category_levels(df: DataFrame, col: str = "merchant_category", limit: int =
 
 
 def engineer(txn: DataFrame, categories=None, extra_window_specs=(),
-             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
     """Reference step 1: the engineered transaction table, NULLs filled as the reference does."""
     base = row_features(nan_to_null(txn))
     levels = categories if categories is not None else category_levels(base)
     specs = window_specs() + list(extra_window_specs)
-    w = with_timeline(base, specs, rows_per_chunk=rows_per_chunk)
+    w = with_timeline(base, specs, rows_per_chunk=rows_per_chunk, hot=hot)
     std = F.col("_user_std")
     std_spend = F.when(std == 0, F.lit(1.0)).otherwise(std)
     z = (F.col("transaction_amount") - F.col("user_mean_spend")) / std_spend

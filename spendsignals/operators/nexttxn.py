@@ -46,9 +46,9 @@ def sequence_specs():
     return specs
 
 
-def next_txn_features(scored: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+def next_txn_features(scored: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
     """W6-W10 on every row (the newest row of a user has a NULL target)."""
-    w = with_timeline(scored, sequence_specs(), rows_per_chunk=rows_per_chunk)
+    w = with_timeline(scored, sequence_specs(), rows_per_chunk=rows_per_chunk, hot=hot)
     gap = (F.unix_micros(F.col("timestamp").cast("timestamp"))
            - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 3.6e9
     return w.withColumn("hours_since_last_txn", F.coalesce(gap, F.lit(0.0))).drop("_prev_ts")

@@ -81,20 +81,35 @@ def _key(value: str, tie_places: int | None):
 
 
 def with_ranks(df: DataFrame, outputs: dict[str, str], pct: bool = False, scale: float = 1.0,
-               buckets: int | None = None, tie_places: int | None = TIE_PLACES) -> DataFrame:
-    """Attach several rank columns; every rank table is built from the same input ``df``."""
-    out = df
-    for name, value in outputs.items():
-        keyed = df.select(_key(value, tie_places).alias("_k"))
-        rt = rank_table(keyed, "_k", "_r", pct=pct, scale=scale, buckets=buckets)
-        rt = rt.select(F.col("_k").alias("_rank_key"), F.col("_r").alias(name))
-        out = out.join(rt, _key(value, tie_places) == rt["_rank_key"], "left").drop("_rank_key")
-    return out
-
-
-def percentile_scores(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
+               buckets: int | None = None, tie_places: int | None = TIE_PLACES, key: str | None = None) -> DataFrame:
+    """Attach several rank columns, every one ranked over the whole table.
+
+    With a unique ``key`` all columns are ranked in one pass: unpivot to (metric, value), one
+    prefix-sum job grouped by metric, pivot back per key. Without a key, one rank table per column."""
+    if key is None or len(outputs) == 1:
+        out = df
+        for name, value in outputs.items():
+            keyed = df.select(_key(value, tie_places).alias("_k"))
+            rt = rank_table(keyed, "_k", "_r", pct=pct, scale=scale, buckets=buckets)
+            rt = rt.select(F.col("_k").alias("_rank_key"), F.col("_r").alias(name))
+            out = out.join(rt, _key(value, tie_places) == rt["_rank_key"], "left").drop("_rank_key")
+        return out
+    names = list(outputs)
+    long = df.select(key, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("_m"), _key(v, tie_places).cast("double").alias("_k")) for n, v in outputs.items()
+    ])).alias("_p")).select(key, "_p._m", "_p._k")
+    ps = prefix_sums(long, "_k", {"_c": F.lit(1)}, by=["_m"], buckets=buckets)
+    r = F.col("_c_before") + (F.col("_c") + 1) / 2.0
+    if pct:
+        r = r / F.sum("_c").over(Window.partitionBy("_m")) * scale
+    ranks = ps.select("_m", "_k", r.alias("_r"))
+    wide = (long.join(ranks, ["_m", "_k"], "left").groupBy(key).pivot("_m", names).agg(F.first("_r")))
+    return df.join(wide, key, "left")
+
+
+def percentile_scores(df: DataFrame, outputs: dict[str, str], key: str | None = None) -> DataFrame:
     """Percentile rank x100 with average ranks on ties, for several columns."""
-    return with_ranks(df, outputs, pct=True, scale=100.0)
+    return with_ranks(df, outputs, pct=True, scale=100.0, key=key)
 
 
 def percentile_score(df: DataFrame, value: str, out: str) -> DataFrame:

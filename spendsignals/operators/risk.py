@@ -66,7 +66,7 @@ def risk_scores(profile: DataFrame, weights=None) -> DataFrame:
         F.col("late_night_rate"), F.col("weekend_rate"), F.col("balance_stress_rate")))
     # user grain: written once to the checkpoint folder, then ranked five times from that copy
     df = cut_lineage(df)
-    df = percentile_scores(df, dict(COMPONENTS))
+    df = percentile_scores(df, dict(COMPONENTS), key="user_id")
     df = df.withColumn("risk_score", C.composite_score(weights))
     return df.withColumn("risk_tier", C.user_tier(F.col("risk_score")))
 

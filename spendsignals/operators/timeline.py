@@ -123,20 +123,40 @@ def _hot_keys(df: DataFrame, key: str, ts: str, rows_per_chunk: int) -> DataFram
     return stats
 
 
-def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp", "transaction_id"),
-                  rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
-    """Add one column per spec; see the module docstring for the plan."""
-    order = tuple(order)
-    ts = order[0]
+@dataclass(frozen=True)
+class HotKeys:
+    """Result of hot-key detection: ``table`` is None when no key exceeds ``rows_per_chunk``.
+
+    Any key set gives exact results (chunking only balances work), so one detection can serve
+    every timeline over the same rows, e.g. transactions, engineered and scored tables."""
+
+    table: DataFrame | None
+    rows_per_chunk: int
+
+
+def detect_hot_keys(df: DataFrame, key: str = "user_id", ts: str = "timestamp",
+                    rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> HotKeys:
     # one aggregate over (key, time) only: Catalyst prunes every other column of the input
     hot = _hot_keys(df, key, ts, rows_per_chunk)
     n_hot = hot.count()
     if n_hot == 0:
-        return _plain(df, specs, key, order)
+        return HotKeys(None, rows_per_chunk)
     if n_hot > MAX_BROADCAST_ROWS:
         raise ValueError(f"{n_hot} hot keys exceed the broadcast bound; raise rows_per_chunk")
-    # at most N / rows_per_chunk rows; written once so every branch below sees the same chunking
-    return _chunked(df, specs, key, order, cut_lineage(hot))
+    # at most N / rows_per_chunk rows; written once so every branch sees the same chunking
+    return HotKeys(cut_lineage(hot), rows_per_chunk)
+
+
+def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp", "transaction_id"),
+                  rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot: HotKeys | None = None) -> DataFrame:
+    """Add one column per spec; see the module docstring for the plan. ``hot`` reuses an earlier
+    detection over the same keys."""
+    order = tuple(order)
+    if hot is None:
+        hot = detect_hot_keys(df, key, order[0], rows_per_chunk)
+    if hot.table is None:
+        return _plain(df, specs, key, order)
+    return _chunked(df, specs, key, order, hot.table)
 
 
 def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:

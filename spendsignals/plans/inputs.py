@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import engineer
 from ..operators.risk import score_transactions, user_risk
+from ..operators.timeline import detect_hot_keys
 from ..session import cut_lineage
 from ..sources.transactions import transactions_from_events
 
@@ -22,13 +23,21 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf: str, shared: bool = False):
         self.spark, self.sf, self.shared = spark, sf, shared
 
+    @cached_property
+    def hot(self):
+        """One hot-user detection for every per-user timeline of this query (over the events; rows
+        the customer join would drop can only add keys, which never changes results)."""
+        ev = self.spark.read.parquet(f"{self.sf}/events.parquet").select(
+            "user_id", F.col("ts").alias("timestamp"))
+        return detect_hot_keys(ev)
+
     @cached_property
     def txn(self) -> DataFrame:
-        return transactions_from_events(self.spark, self.sf)
+        return transactions_from_events(self.spark, self.sf, hot=self.hot)
 
     @cached_property
     def eng(self) -> DataFrame:
-        return engineer(self.txn)
+        return engineer(self.txn, hot=self.hot)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -50,7 +59,7 @@ class Ctx:
     @cached_property
     def next_features(self) -> DataFrame:
         from ..operators.nexttxn import next_txn_features
-        return next_txn_features(self.scored)
+        return next_txn_features(self.scored, hot=self.hot)
 
     @cached_property
     def next_dataset(self) -> DataFrame:

@@ -78,7 +78,7 @@ def to_records(df: DataFrame, col: str = "record") -> DataFrame:
 
 
 def transactions_from_events(spark: SparkSession, sf_dir: str, with_score: bool = True,
-                             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+                             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
     """FIXTURES adapter: events x customer -> transactions (+ deterministic ``impulse_prob``)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
@@ -98,7 +98,7 @@ def transactions_from_events(spark: SparkSession, sf_dir: str, with_score: bool
              F.round(F.col("value") * 100).cast("long").alias("_cents"),
          ))
     b = with_timeline(b, [Running("_cum_cents", F.col("_cents"), inclusive=True)],
-                      rows_per_chunk=rows_per_chunk)
+                      rows_per_chunk=rows_per_chunk, hot=hot)
     late = (F.col("hour") < 5) | (F.col("hour") >= 21)
     pts = (F.col("_risk") * 10 + F.when(late, 20).otherwise(0) + F.col("is_weekend") * 10
            + F.least(F.col("transaction_amount") / 4, F.lit(40.0)))
