@@ -1,21 +1,20 @@
 """Shared inputs of the registered queries, each derived by Spark from the driver's tables.
 
 ``Ctx`` builds every intermediate once per query; a table read by several consumers (the scored
-transactions feed both the user profile and the sequence features) is written once to the
-checkpoint folder, the way the reference hands its engineered table from step to step.
+transactions feed both the user profile and the sequence features) is materialised once.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import engineer
 from ..operators.risk import score_transactions, user_risk
 from ..operators.timeline import detect_hot_keys
-from ..session import cut_lineage
 from ..sources.transactions import transactions_from_events
 
 
@@ -41,8 +40,12 @@ class Ctx:
 
     @cached_property
     def scored(self) -> DataFrame:
+        """Scored transactions. When several consumers read them (user aggregate and sequence
+        windows), they are persisted: the cached plan keeps its ``user_id`` partitioning, so both
+        consumers run without another shuffle; a lost block is recomputed from the short lineage
+        (scan, join, one user exchange)."""
         s = score_transactions(self.eng)
-        return cut_lineage(s) if self.shared else s
+        return s.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else s
 
     @cached_property
     def profile(self) -> DataFrame:
