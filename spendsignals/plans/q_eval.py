@@ -91,18 +91,18 @@ _X5 = ["threshold", "tpr", "fpr", "precision"]
 
 
 @register("x05_curve_points", esql(
-    "SELECT model, prob AS threshold, ctp AS tp, cfp AS fp, ctp / P AS tpr, cfp / N AS fpr, "
+    "SELECT model, prob AS threshold, CAST(ctp AS BIGINT) AS tp, CAST(cfp AS BIGINT) AS fp, ctp / P AS tpr, cfp / N AS fpr, "
     "ctp / (ctp + cfp) AS precision FROM cum", _X5))
 def x05(spark, sf):
     return X.curve_points(I.model_scores(spark, sf))
 
 
-_TH = "[" + ", ".join(repr(t) for t in X.SWEEP_THRESHOLDS) + "]"
+_TH = "[" + ", ".join(f"CAST({t!r} AS DOUBLE)" for t in X.SWEEP_THRESHOLDS) + "]"
 SWEEP_SQL = f"""SELECT model, threshold_index, threshold, tp, fp, fn, tn, precision, recall, f1,
   CASE WHEN row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold_index) = 1 THEN 1 ELSE 0 END AS is_best
  FROM (SELECT *, coalesce(tp / NULLIF(tp + fp, 0), 0) AS precision, coalesce(tp / NULLIF(tp + fn, 0), 0) AS recall,
         coalesce(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) AS f1
-  FROM (SELECT s.model, t.i - 1 AS threshold_index, t.th AS threshold,
+  FROM (SELECT s.model, CAST(t.i - 1 AS INT) AS threshold_index, t.th AS threshold,
           count(*) FILTER (WHERE label = 1 AND prob >= t.th) AS tp, count(*) FILTER (WHERE label = 0 AND prob >= t.th) AS fp,
           count(*) FILTER (WHERE label = 1 AND prob < t.th) AS fn, count(*) FILTER (WHERE label = 0 AND prob < t.th) AS tn
         FROM scores s, (SELECT unnest({_TH}) AS th, unnest(range(1, {len(X.SWEEP_THRESHOLDS) + 1})) AS i) t
@@ -139,7 +139,7 @@ def x10(spark, sf):
     return X.error_rates(I.model_scores(spark, sf))
 
 
-_ED = "[" + ", ".join(repr(e) for e in X.CALIBRATION_EDGES) + "]"
+_ED = "[" + ", ".join(f"CAST({e!r} AS DOUBLE)" for e in X.CALIBRATION_EDGES) + "]"
 
 
 @register("x11_reliability", esql(

@@ -64,8 +64,8 @@ def o02(spark, sf):
 
 
 @register("w12_ordinal_rank", asql(
-    "SELECT model, feature, mean_abs_value, row_number() OVER (PARTITION BY model ORDER BY mean_abs_value DESC, feature)"
-    " AS rank FROM mabs", ["mean_abs_value"]))
+    "SELECT model, feature, mean_abs_value, CAST(row_number() OVER (PARTITION BY model ORDER BY mean_abs_value DESC, "
+    "feature) AS INT) AS rank FROM mabs", ["mean_abs_value"]))
 def w12(spark, sf):
     """Ordinal rank of features by mean |attribution| (ties by name)."""
     return E.ordinal_ranks(E.mean_abs_attribution(E.centered_attribution(I.eng(spark, sf))), "mean_abs_value", "rank")

@@ -276,8 +276,8 @@ def a24(spark, sf):
 
 
 @register("e03_global_attribution", asql(
-    "SELECT model, feature, mean_abs_value, row_number() OVER (PARTITION BY model ORDER BY mean_abs_value DESC, feature)"
-    " AS rank FROM mabs QUALIFY rank <= 3", ["mean_abs_value"]))
+    "SELECT model, feature, mean_abs_value, CAST(row_number() OVER (PARTITION BY model ORDER BY mean_abs_value DESC, "
+    "feature) AS INT) AS rank FROM mabs QUALIFY rank <= 3", ["mean_abs_value"]))
 def e03(spark, sf):
     """Top features by mean |attribution| (top 3 of the five stand-in features)."""
     return E.global_attribution(_attr(spark, sf), 3)
@@ -316,7 +316,7 @@ def _dependence_fixed(spark, sf):
 
 @register("e05_explain_cases", asql(
     "SELECT model, transaction_id, 'first_high' AS \"case\", feature, value, "
-    "row_number() OVER (PARTITION BY model ORDER BY abs(value) DESC, feature) AS rank FROM attr "
+    "CAST(row_number() OVER (PARTITION BY model ORDER BY abs(value) DESC, feature) AS INT) AS rank FROM attr "
     "WHERE transaction_id = (SELECT min(transaction_id) FROM eng WHERE impulse_label = 1 AND impulse_prob >= 0.7) "
     "QUALIFY rank <= 3", ["value"]))
 def e05(spark, sf):
@@ -328,10 +328,11 @@ def e05(spark, sf):
 
 
 @register("e06_rank_agreement", asql(
-    "SELECT feature, rank_a, importance_a, rank_b, importance_b, abs(rank_a - rank_b) AS rank_diff FROM "
-    "(SELECT feature, mean_abs_value AS importance_a, row_number() OVER (ORDER BY mean_abs_value DESC, feature) AS rank_a "
-    " FROM mabs) JOIN (SELECT feature, max(abs(value)) AS importance_b, "
-    " row_number() OVER (ORDER BY max(abs(value)) DESC, feature) AS rank_b FROM attr GROUP BY feature) USING (feature)",
+    "SELECT feature, rank_a, importance_a, rank_b, importance_b, CAST(abs(rank_a - rank_b) AS INT) AS rank_diff FROM "
+    "(SELECT feature, mean_abs_value AS importance_a, CAST(row_number() OVER (ORDER BY mean_abs_value DESC, feature) AS INT)"
+    " AS rank_a FROM mabs) JOIN (SELECT feature, max(abs(value)) AS importance_b, "
+    " CAST(row_number() OVER (ORDER BY max(abs(value)) DESC, feature) AS INT) AS rank_b FROM attr GROUP BY feature) "
+    "USING (feature)",
     ["importance_a", "importance_b"]))
 def e06(spark, sf):
     """E6 (+ J2, W12): rank agreement of mean |attribution| against max |attribution|."""

@@ -375,7 +375,8 @@ def o04(spark, sf):
 
 
 @register("s07_to_records", nsql(
-    "SELECT to_json(struct_pack(user_id := user_id, risk_tier := risk_tier, alert_level := alert_level)) AS record "
+    "SELECT CAST(to_json(struct_pack(user_id := user_id, risk_tier := risk_tier, alert_level := alert_level)) AS VARCHAR)"
+    " AS record "
     "FROM atrisk"))
 def s07(spark, sf):
     """JSON records built on the executors."""

@@ -133,7 +133,8 @@ def t04(spark, sf):
 
 
 _HIST_SQL = rsql("""SELECT g.impulse_label, g.bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
-  -3.0 + g.bin * 0.2 AS bin_lo, -3.0 + (g.bin + 1) * 0.2 AS bin_hi,
+  CAST(-3.0 AS DOUBLE) + g.bin * CAST(0.2 AS DOUBLE) AS bin_lo,
+  CAST(-3.0 AS DOUBLE) + (g.bin + 1) * CAST(0.2 AS DOUBLE) AS bin_hi,
   coalesce(c.cnt, 0) / (sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.impulse_label) * 0.2) AS density
  FROM (SELECT DISTINCT impulse_label, CAST(b.bin AS INT) AS bin FROM eng, range(0, 40) b(bin)
        WHERE spend_zscore IS NOT NULL) g
