@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from ..session import shuffle_partitions
 
 
-BUCKETS_PER_PARTITION = 4
-
-
 def prefix_sums(df: DataFrame, value: str, measures: dict[str, Column], by=(), descending: bool = False,
                 buckets: int | None = None) -> DataFrame:
     """One row per ``(by..., distinct non-NULL value)``: each measure summed at that value (``name``)
@@ -28,18 +25,19 @@ def prefix_sums(df: DataFrame, value: str, measures: dict[str, Column], by=(), d
     (``name_before``).
 
     Plan: partial aggregate to distinct values (a value held by a third of the rows is one row);
-    ``repartitionByRange`` on (group, value) into ``buckets`` ranges (Spark samples the bounds, so
-    buckets stay balanced at any cardinality), bucket id = partition id, pinned by a reliable
+    ``repartitionByRange`` on (group, value) (Spark samples the bounds, so buckets stay balanced at
+    any cardinality; AQE sizes them unless ``buckets`` is given), bucket id = partition id, pinned by a reliable
     checkpoint so every consumer sees the same buckets; running sums inside (bucket, group);
     offsets from the bucket totals (one row per bucket and group, broadcast)."""
     from ..session import cut_lineage
     by = list(by)
-    nb = buckets or max(1, BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession))
     vc = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[F.sum(m).alias(n) for n, m in measures.items()])
     vkey = F.col(value).desc() if descending else F.col(value).asc()
-    vb = cut_lineage(vc.repartitionByRange(nb, *[F.col(b) for b in by], vkey)
-                     .withColumn("_b", F.spark_partition_id()))
+    keys = [F.col(b) for b in by] + [vkey]
+    # without an explicit count AQE sizes the ranges (coalesced ranges stay contiguous and ordered)
+    ranged = vc.repartitionByRange(buckets, *keys) if buckets else vc.repartitionByRange(*keys)
+    vb = cut_lineage(ranged.withColumn("_b", F.spark_partition_id()))
     # partition ids follow the range order (value descending when ``descending``)
     w = Window.partitionBy(*by, "_b").orderBy(vkey).rowsBetween(Window.unboundedPreceding, -1)
     inner = vb.withColumns({f"_in_{n}": F.coalesce(F.sum(n).over(w), F.lit(0)) for n in measures})
