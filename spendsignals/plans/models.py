@@ -115,9 +115,15 @@ def boosted(params: dict, label: str = "impulse_label") -> GBTClassifier:
                          minInstancesPerNode=int(params.get("min_child_weight", 1)))
 
 
+def ml_input(df: DataFrame) -> DataFrame:
+    """Iterative fits pay per-task overhead on every iteration: at most one partition per core
+    (``coalesce`` never shuffles and never adds partitions)."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit(df: DataFrame, feats, estimator, scale: bool = False) -> PipelineModel:
     stages = [assembler(feats)] + ([scaler()] if scale else []) + [estimator]
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(ml_input(df))
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
@@ -183,7 +189,7 @@ def search(df: DataFrame, feats, make, space: dict, n_trials: int = 40, folds: i
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
                         parallelism=parallelism, seed=SEED)
-    model = cv.fit(df)
+    model = cv.fit(ml_input(df))
     best = int(np.argmax(model.avgMetrics))
     return cands[best], model.avgMetrics[best], model.bestModel, list(enumerate(model.avgMetrics))
 
@@ -260,6 +266,7 @@ def load_model(path: str) -> PipelineModel:
 def kmeans_sweep(df: DataFrame, feats, ks=range(2, 11), seeds=(SEED,)) -> tuple[DataFrame, dict]:
     """For each k the lowest-cost model over the seeds, its cost and silhouette; best k by
     silhouette, elbow from the second difference of the costs (index + 1)."""
+    df = ml_input(df)
     prep = Pipeline(stages=[assembler(feats), scaler()]).fit(df)
     x = prep.transform(df).cache()
     ev = ClusteringEvaluator(featuresCol="scaled", metricName="silhouette", distanceMeasure="squaredEuclidean")
@@ -289,7 +296,7 @@ def assign_clusters(df: DataFrame, prep: PipelineModel, km) -> DataFrame:
 
 def pca_2d(df: DataFrame, feats) -> tuple[DataFrame, list[float]]:
     """First two principal components of the standardised features and explained variance."""
-    pipe = Pipeline(stages=[assembler(feats), scaler(), PCA(k=2, inputCol="scaled", outputCol="pcs")]).fit(df)
+    pipe = Pipeline(stages=[assembler(feats), scaler(), PCA(k=2, inputCol="scaled", outputCol="pcs")]).fit(ml_input(df))
     out = pipe.transform(df).withColumn("_a", vector_to_array("pcs")).withColumns(
         {"pc1": F.col("_a")[0], "pc2": F.col("_a")[1]}).drop("_a", "pcs", "features", "scaled")
     return out, [float(v) for v in pipe.stages[-1].explainedVariance.toArray()]
