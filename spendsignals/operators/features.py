@@ -53,11 +53,18 @@ def rolling_specs(col: str, windows=WINDOWS):
     return specs
 
 
-def window_specs():
+def window_specs(baseline: str = "user"):
     specs = rolling_specs("transaction_amount") + rolling_specs("spend_to_salary_ratio")
+    amt = F.col("transaction_amount")
+    if baseline == "prior":
+        # leakage-free option: mean / sample std of the user's earlier rows only
+        has = F.when(amt.isNotNull(), 1).otherwise(0)
+        specs += [Running("_b_n", has), Running("_b_s1", F.coalesce(amt, F.lit(0.0))),
+                  Running("_b_s2", F.coalesce(amt * amt, F.lit(0.0)))]
+    else:
+        specs += [KeyStat("user_mean_spend", "avg", amt),                        # W5
+                  KeyStat("_user_std", "stddev_samp", amt)]
     specs += [
-        KeyStat("user_mean_spend", "avg", F.col("transaction_amount")),          # W5
-        KeyStat("_user_std", "stddev_samp", F.col("transaction_amount")),
         Rolling("txn_count_last3", "count", F.col("transaction_amount"), -3, -1),  # W3
         Rolling("txn_count_last7", "count", F.col("transaction_amount"), -7, -1),
         Running("_prior_pos", F.col("impulse_label")),                              # W4
@@ -80,12 +87,20 @@ def category_levels(df: DataFrame, col: str = "merchant_category", limit: int =
 
 
 def engineer(txn: DataFrame, categories=None, extra_window_specs=(),
-             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
-    """Reference step 1: the engineered transaction table, NULLs filled as the reference does."""
+             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None, baseline: str = "user") -> DataFrame:
+    """Reference step 1: the engineered transaction table, NULLs filled as the reference does.
+
+    ``baseline='user'`` (parity) standardises spend against all of the user's rows, future ones
+    included; ``baseline='prior'`` uses only the user's earlier rows."""
     base = row_features(nan_to_null(txn))
     levels = categories if categories is not None else category_levels(base)
-    specs = window_specs() + list(extra_window_specs)
+    specs = window_specs(baseline) + list(extra_window_specs)
     w = with_timeline(base, specs, rows_per_chunk=rows_per_chunk, hot=hot)
+    if baseline == "prior":
+        n, s1, s2 = F.col("_b_n"), F.col("_b_s1"), F.col("_b_s2")
+        var = F.try_divide(s2 - s1 * s1 / n, n - 1)
+        w = w.withColumns({"user_mean_spend": F.try_divide(s1, n),
+                           "_user_std": F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))}).drop("_b_n", "_b_s1", "_b_s2")
     std = F.col("_user_std")
     std_spend = F.when(std == 0, F.lit(1.0)).otherwise(std)
     z = (F.col("transaction_amount") - F.col("user_mean_spend")) / std_spend

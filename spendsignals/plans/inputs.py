@@ -73,10 +73,16 @@ class Ctx:
     @cached_property
     def at_risk(self) -> DataFrame:
         """M17 with the deterministic score of the newest transaction as the next-impulse probability."""
+        return self.at_risk_for("newest")
+
+    def at_risk_for(self, latest: str) -> DataFrame:
+        """``latest='newest'``: each user's newest transaction (default); ``'labelled'``: the newest
+        one that has a next transaction, as the reference did (SURVEY 8.2)."""
         from ..operators.nexttxn import at_risk_users, latest_per_user
 
-        latest = latest_per_user(self.next_features).withColumn("next_impulse_prob", F.col("impulse_prob"))
-        return at_risk_users(latest, self.segmented)
+        src = self.next_features if latest == "newest" else self.next_features.where(F.col("next_impulse").isNotNull())
+        rows = latest_per_user(src).withColumn("next_impulse_prob", F.col("impulse_prob"))
+        return at_risk_users(rows, self.segmented)
 
     @cached_property
     def nudged(self) -> DataFrame:

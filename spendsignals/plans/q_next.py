@@ -243,6 +243,18 @@ def m17(spark, sf):
     return I.at_risk(spark, sf)
 
 
+@register("m17_at_risk_labelled", nsql(
+    "SELECT l.user_id, l.next_impulse_prob, g.risk_score, g.risk_tier, g.raw_impulse_rate, g.persona, g.cluster, "
+    "CASE WHEN next_impulse_prob >= 0.75 THEN 'Immediate Alert' WHEN next_impulse_prob >= 0.55 THEN 'Warning' "
+    "WHEN next_impulse_prob >= 0.35 THEN 'Watch' ELSE 'Safe' END AS alert_level FROM "
+    "(SELECT user_id, impulse_prob AS next_impulse_prob FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+    "ORDER BY \"timestamp\" DESC, transaction_id DESC) AS r FROM nxf WHERE next_impulse IS NOT NULL) WHERE r = 1) l "
+    "LEFT JOIN seg g USING (user_id)", _AR))
+def m17b(spark, sf):
+    """M17, reference parity: the latest row that has a target (the second-to-last transaction)."""
+    return I.Ctx(spark, sf, shared=True).at_risk_for("labelled")
+
+
 @register("p20_alert_level", nsql("SELECT user_id, next_impulse_prob, alert_level FROM atrisk", ["next_impulse_prob"]))
 def p20(spark, sf):
     return I.at_risk(spark, sf).select("user_id", "next_impulse_prob", "alert_level")

@@ -102,3 +102,13 @@ def test_null_and_nan_amounts(spark):
 def test_unknown_category_default(spark):
     df = spark.createDataFrame([("Gifts",), ("Food",)], "c string")
     assert [r[0] for r in df.select(C.category_risk(F.col("c"))).collect()] == [1.0, 2.0]
+
+
+def test_prior_baseline_uses_only_earlier_rows(spark):
+    e = engineer(frame(spark, txn_rows([5.0, 1.0, 9.0, 4.0])), categories=["Food"], baseline="prior")
+    got = {r["transaction_id"]: r for r in e.collect()}
+    assert got[1]["user_mean_spend"] == 0.0 and got[1]["spend_zscore"] == 0.0     # no history -> filled
+    assert got[2]["user_mean_spend"] == 5.0 and got[2]["spend_zscore"] == 0.0     # one earlier row: std NULL
+    assert abs(got[3]["user_mean_spend"] - 3.0) < 1e-12
+    assert abs(got[3]["user_std_spend"] - 2.8284271247461903) < 1e-9
+    assert abs(got[4]["spend_zscore"] - (4.0 - 5.0) / 4.0) < 1e-9
