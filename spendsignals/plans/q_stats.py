@@ -132,21 +132,31 @@ def t04(spark, sf):
     return S.pearson(I.profile(spark, sf), "risk_score", "raw_impulse_rate")
 
 
-_HIST_SQL = rsql("""SELECT g.impulse_label, g.bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
-  CAST(-3.0 AS DOUBLE) + g.bin * CAST(0.2 AS DOUBLE) AS bin_lo,
-  CAST(-3.0 AS DOUBLE) + (g.bin + 1) * CAST(0.2 AS DOUBLE) AS bin_hi,
-  coalesce(c.cnt, 0) / (sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.impulse_label) * 0.2) AS density
- FROM (SELECT DISTINCT impulse_label, CAST(b.bin AS INT) AS bin FROM eng, range(0, 40) b(bin)
-       WHERE spend_zscore IS NOT NULL) g
- LEFT JOIN (SELECT impulse_label, CAST(least(floor((spend_zscore + 3.0) / 0.2), 39) AS INT) AS bin, count(*) AS cnt
-            FROM eng WHERE spend_zscore BETWEEN -3.0 AND 5.0 GROUP BY ALL) c
- ON g.impulse_label = c.impulse_label AND g.bin = c.bin""", ENG, ["bin_lo", "bin_hi", "density"])
+_HIST_BODY = """SELECT g.impulse_label, g.bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+  g.lo + g.bin * g.step AS bin_lo, g.lo + (g.bin + 1) * g.step AS bin_hi,
+  coalesce(c.cnt, 0) / (sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.impulse_label) * g.step) AS density
+ FROM (SELECT r.*, CAST(b.bin AS INT) AS bin FROM rng r, range(0, 40) b(bin)) g
+ LEFT JOIN (SELECT z.impulse_label, CAST(least(floor((z.x - r.lo) / r.step), 39) AS INT) AS bin, count(*) AS cnt
+            FROM clipped z JOIN rng r USING (impulse_label) GROUP BY ALL) c
+ ON g.impulse_label = c.impulse_label AND g.bin = c.bin"""
+_HIST_CTE = """, clipped AS (SELECT impulse_label, greatest(least(spend_zscore, 5.0), -3.0) AS x FROM eng
+                WHERE spend_zscore IS NOT NULL),
+rng AS (SELECT impulse_label, lo, hi, (hi - lo) / 40 AS step FROM (
+  SELECT impulse_label, CASE WHEN max(x) = min(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+         CASE WHEN max(x) = min(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM clipped GROUP BY impulse_label))
+"""
+_HIST_SQL = (rsql("", ("eng",)).rstrip("\n") + _HIST_CTE + "SELECT * REPLACE (round(bin_lo, 6) AS bin_lo, "
+             "round(bin_hi, 6) AS bin_hi, round(density, 6) AS density) FROM (" + _HIST_BODY + ") q")
 
 
 @register("a18_histogram", _HIST_SQL)
 def a18(spark, sf):
-    """40-bin density histogram of the spend z-score on [-3, 5] per class (every bin listed)."""
-    return S.histogram(I.eng(spark, sf), "spend_zscore", 40, -3.0, 5.0, by="impulse_label", density=True)
+    """Spend z-score clipped to [-3, 5] (P14), then a 40-bin density histogram per class over
+    each class's own range, every bin listed."""
+    from ..functions.columns import clip
+    e = I.eng(spark, sf).withColumn("_x", clip(F.col("spend_zscore"), -3, 5))
+    h = S.histogram(e, "_x", 40, by="impulse_label", density=True)
+    return h.select("impulse_label", "bin", "count", "bin_lo", "bin_hi", "density")
 
 
 @register("a19_time_quantile", rsql(
