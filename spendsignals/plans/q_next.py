@@ -394,3 +394,15 @@ def s07(spark, sf):
     """JSON records built on the executors."""
     from ..sources.transactions import to_records
     return to_records(I.at_risk(spark, sf).select("user_id", "risk_tier", "alert_level"))
+
+
+def _hist(select, bins):
+    from .q_stats import hist_sql
+    return hist_sql(select, bins, None, False, ("prof",), extra_cte=SEG_CTE.rstrip("\n") + NEXT_CTE)
+
+
+@register("a18_next_prob_histogram", _hist("SELECT 0 AS g, next_impulse_prob AS x FROM atrisk", 40))
+def a18c(spark, sf):
+    """40-bin histogram of the next-impulse probability over the at-risk list."""
+    from ..operators.stats import histogram
+    return histogram(I.at_risk(spark, sf), "next_impulse_prob", 40).select("bin", "count", "bin_lo", "bin_hi")

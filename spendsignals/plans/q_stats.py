@@ -8,6 +8,7 @@ from ..operators import features as FE
 from ..operators import stats as S
 from . import inputs as I
 from .catalog import register, rsql
+from .oracle_sql import with_ctes
 
 ENG = ("eng",)
 PR = ("prof",)
@@ -132,33 +133,50 @@ def t04(spark, sf):
     return S.pearson(I.profile(spark, sf), "risk_score", "raw_impulse_rate")
 
 
-_HIST_BODY = """SELECT g.impulse_label, g.bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
-  g.lo + g.bin * g.step AS bin_lo, g.lo + (g.bin + 1) * g.step AS bin_hi,
-  coalesce(c.cnt, 0) / (sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.impulse_label) * g.step) AS density
- FROM (SELECT r.*, CAST(b.bin AS INT) AS bin FROM rng r, range(0, 40) b(bin)) g
- LEFT JOIN (SELECT z.impulse_label, CAST(least(floor((z.x - r.lo) / r.step), 39) AS INT) AS bin, count(*) AS cnt
-            FROM clipped z JOIN rng r USING (impulse_label) GROUP BY ALL) c
- ON g.impulse_label = c.impulse_label AND g.bin = c.bin"""
-_HIST_CTE = """, clipped AS (SELECT impulse_label, greatest(least(spend_zscore, 5.0), -3.0) AS x FROM eng
-                WHERE spend_zscore IS NOT NULL),
-rng AS (SELECT impulse_label, lo, hi, (hi - lo) / 40 AS step FROM (
-  SELECT impulse_label, CASE WHEN max(x) = min(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
-         CASE WHEN max(x) = min(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM clipped GROUP BY impulse_label))
+def hist_sql(src: str, bins: int, by: str | None, density: bool, ctes=("eng",), extra_cte: str = "") -> str:
+    """Oracle for A18: ``src`` is a SELECT giving columns (g, x); equal-width bins over each group's
+    own [min, max] (a constant group gets [v - 0.5, v + 0.5]), last edge closed, every bin listed."""
+    g_sel = by if by else "0"
+    dens = (f", coalesce(c.cnt, 0) / (sum(coalesce(c.cnt, 0)) OVER (PARTITION BY g.g) * g.step) AS density"
+            if density else "")
+    body = f"""SELECT {"g.g AS " + by + ", " if by else ""}g.bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+  g.lo + g.bin * g.step AS bin_lo, g.lo + (g.bin + 1) * g.step AS bin_hi{dens}
+ FROM (SELECT r.*, CAST(b.bin AS INT) AS bin FROM rng r, range(0, {bins}) b(bin)) g
+ LEFT JOIN (SELECT z.g, CAST(least(floor((z.x - r.lo) / r.step), {bins - 1}) AS INT) AS bin, count(*) AS cnt
+            FROM hsrc z JOIN rng r USING (g) GROUP BY ALL) c ON g.g = c.g AND g.bin = c.bin"""
+    cte = f""", hsrc AS (SELECT * FROM ({src.replace("{g}", g_sel)}) WHERE x IS NOT NULL),
+rng AS (SELECT g, lo, hi, (hi - lo) / {bins} AS step FROM (
+  SELECT g, CASE WHEN max(x) = min(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+         CASE WHEN max(x) = min(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM hsrc GROUP BY g))
 """
-_HIST_SQL = (rsql("", ("eng",)).rstrip("\n") + _HIST_CTE + "SELECT * REPLACE (round(bin_lo, 6) AS bin_lo, "
-             "round(bin_hi, 6) AS bin_hi, round(density, 6) AS density) FROM (" + _HIST_BODY + ") q")
+    doubles = ["bin_lo", "bin_hi"] + (["density"] if density else [])
+    return (with_ctes(*ctes).rstrip("\n") + extra_cte.rstrip("\n") + cte + "SELECT * REPLACE ("
+            + ", ".join(f"round({c}, 6) AS {c}" for c in doubles) + f") FROM ({body}) q")
 
 
-@register("a18_histogram", _HIST_SQL)
+@register("a18_histogram", hist_sql(
+    "SELECT impulse_label AS g, greatest(least(spend_zscore, 5.0), -3.0) AS x FROM eng", 50, "impulse_label", True))
 def a18(spark, sf):
-    """Spend z-score clipped to [-3, 5] (P14), then a 40-bin density histogram per class over
+    """Spend z-score clipped to [-3, 5] (P14), then a 50-bin density histogram per class over
     each class's own range, every bin listed."""
     from ..functions.columns import clip
     e = I.eng(spark, sf).withColumn("_x", clip(F.col("spend_zscore"), -3, 5))
-    h = S.histogram(e, "_x", 40, by="impulse_label", density=True)
+    h = S.histogram(e, "_x", 50, by="impulse_label", density=True)
     return h.select("impulse_label", "bin", "count", "bin_lo", "bin_hi", "density")
 
 
+@register("a18_risk_score_histogram", hist_sql("SELECT 0 AS g, risk_score AS x FROM prof", 40, None, False, ("prof",)))
+def a18b(spark, sf):
+    """40-bin count histogram of user risk scores over their range."""
+    return S.histogram(I.profile(spark, sf), "risk_score", 40).select("bin", "count", "bin_lo", "bin_hi")
+
+
+@register("o05_report_score_bins", hist_sql("SELECT 0 AS g, risk_score AS x FROM prof", 30, None, False, ("prof",)))
+def o05(spark, sf):
+    """The report's 30 score bins, computed by Spark instead of a sorted list sent to the page."""
+    return S.histogram(I.profile(spark, sf), "risk_score", 30).select("bin", "count", "bin_lo", "bin_hi")
+
+
 @register("a19_time_quantile", rsql(
     "SELECT make_timestamp(CAST(floor(qm) AS BIGINT)) AS quantile_ts, qm AS quantile_micros, mx AS max_timestamp "
     "FROM (SELECT quantile_cont(epoch_us(\"timestamp\"), 0.8) AS qm, max(\"timestamp\") AS mx FROM txn)",
