@@ -99,10 +99,23 @@ def decay_weight(days_ago: Column, half_life: float = HALF_LIFE_DAYS) -> Column:
     return F.exp(-math.log(2) * days_ago / F.lit(float(half_life)))
 
 
+NAIVE_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def naive_micros(ts: Column) -> Column:
+    """Microseconds of a naive (NTZ) timestamp since the naive epoch; no session time zone involved."""
+    return F.timestamp_diff("MICROSECOND", F.expr(NAIVE_EPOCH), ts.cast("timestamp_ntz"))
+
+
+def from_naive_micros(m: Column) -> Column:
+    """Inverse of ``naive_micros``."""
+    return F.timestamp_add("MICROSECOND", m.cast("long"), F.expr(NAIVE_EPOCH))
+
+
 def whole_days_between(later: Column, earlier: Column) -> Column:
     """Whole days of a non-negative time difference (pandas ``.dt.days``)."""
-    secs = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return F.floor(secs / F.lit(86_400_000_000)).cast("long")
+    micros = naive_micros(later) - naive_micros(earlier)
+    return F.floor(micros / F.lit(86_400_000_000)).cast("long")
 
 
 def context_index(late: Column, weekend: Column, stress: Column) -> Column:

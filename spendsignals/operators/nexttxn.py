@@ -49,8 +49,7 @@ def sequence_specs():
 def next_txn_features(scored: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
     """W6-W10 on every row (the newest row of a user has a NULL target)."""
     w = with_timeline(scored, sequence_specs(), rows_per_chunk=rows_per_chunk, hot=hot)
-    gap = (F.unix_micros(F.col("timestamp").cast("timestamp"))
-           - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 3.6e9
+    gap = (C.naive_micros(F.col("timestamp")) - C.naive_micros(F.col("_prev_ts"))) / 3.6e9
     return w.withColumn("hours_since_last_txn", F.coalesce(gap, F.lit(0.0))).drop("_prev_ts")
 
 
@@ -72,9 +71,9 @@ def time_split(df: DataFrame, q: float = 0.8, ts: str = "timestamp") -> tuple[Da
     test), so it is checkpointed once to the shared checkpoint folder first."""
     df = cut_lineage(df)
     cut = exact_quantile_micros(df, ts, q).select(
-        F.timestamp_micros(F.floor("quantile_micros").cast("long")).cast("timestamp_ntz").alias("cutoff"),
+        C.from_naive_micros(F.floor("quantile_micros")).alias("cutoff"),
         "quantile_micros")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = C.naive_micros(F.col(ts))
     tagged = df.crossJoin(F.broadcast(cut))
     train = tagged.where(micros <= F.col("quantile_micros")).drop("cutoff", "quantile_micros")
     test = tagged.where(micros > F.col("quantile_micros")).drop("cutoff", "quantile_micros")

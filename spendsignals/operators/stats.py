@@ -225,7 +225,7 @@ def time_max(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 def exact_quantile_micros(df: DataFrame, ts: str, q: float) -> DataFrame:
     """Exact linearly interpolated quantile of a timestamp (pandas ``quantile``), distributed:
     prefix counts over distinct instants locate the two order statistics around ``q * (n - 1)``."""
-    m = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("_m"))
+    m = df.select(C.naive_micros(F.col(ts)).alias("_m"))
     ps = prefix_sums(m, "_m", {"c": F.lit(1)})
     n = ps.agg(F.sum("c").alias("_n"))
     pos = F.lit(q) * (F.col("_n") - 1)
@@ -244,9 +244,9 @@ def time_quantile(df: DataFrame, q: float = 0.8, ts: str = "timestamp", exact: b
     if exact:
         mic = exact_quantile_micros(df, ts, q)
     else:
-        mic = df.agg(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), q, 100_000)
+        mic = df.agg(F.percentile_approx(C.naive_micros(F.col(ts)), q, 100_000)
                      .cast("double").alias("quantile_micros"))
-    return mic.select(F.timestamp_micros(F.floor("quantile_micros").cast("long")).cast("timestamp_ntz")
+    return mic.select(C.from_naive_micros(F.floor("quantile_micros"))
                       .alias("quantile_ts"), "quantile_micros")
 
 

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import naive_micros
 from ..session import cut_lineage
 
 DEFAULT_ROWS_PER_CHUNK = 1 << 22
@@ -113,8 +114,8 @@ def _hot_keys(df: DataFrame, key: str, ts: str, rows_per_chunk: int) -> DataFram
         df.groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.unix_micros(F.min(F.col(ts).cast("timestamp"))).alias("_t0"),
-            F.unix_micros(F.max(F.col(ts).cast("timestamp"))).alias("_t1"),
+            naive_micros(F.min(F.col(ts))).alias("_t0"),
+            naive_micros(F.max(F.col(ts))).alias("_t1"),
         )
         .filter(F.col("_n") > rows_per_chunk)
         .withColumn("_nchunks", F.ceil(F.col("_n") / F.lit(rows_per_chunk)).cast("long"))
@@ -187,7 +188,7 @@ def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:
 def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame) -> DataFrame:
     ts = order[0]
     back, fwd = _reach(specs)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = naive_micros(F.col(ts))
     span = F.col("_t1") - F.col("_t0") + F.lit(1)
     chunk = F.when(F.col("_nchunks").isNull(), F.lit(0).cast("long")).otherwise(
         F.least(F.floor((micros - F.col("_t0")) * F.col("_nchunks") / span).cast("long"),
