@@ -27,9 +27,27 @@ def _div(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def summary(scores: DataFrame) -> DataFrame:
+    """One aggregate per model holding everything the threshold metrics need: tn, fp, fn, tp and
+    the log-loss and Brier sums (X1, X2, X8, X9, X10 all derive from it)."""
+    y, p, pr = F.col("label"), F.col("pred"), F.col("prob")
+    pc = F.greatest(F.least(pr, F.lit(1 - LOGLOSS_EPS)), F.lit(LOGLOSS_EPS))
+    return scores.groupBy(*M).agg(
+        F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
+        F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"),
+        F.avg(-(y * F.ln(pc) + (1 - y) * F.ln(1 - pc))).alias("log_loss"),
+        F.avg(F.pow(pr - y, 2)).alias("brier"))
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    return df if "tp" in df.columns else summary(df)
+
+
 def confusion(scores: DataFrame) -> DataFrame:
     """Tn, fp, fn, tp per model (one aggregate)."""
     y, p = F.col("label"), F.col("pred")
+    if "tp" in scores.columns:
+        return scores.select("model", "tn", "fp", "fn", "tp")
     return scores.groupBy(*M).agg(
         F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
@@ -75,6 +93,8 @@ def agreement(scores: DataFrame) -> DataFrame:
 
 def probability_loss(scores: DataFrame) -> DataFrame:
     """Log loss (p clipped to [1e-15, 1 - 1e-15]) and Brier score."""
+    if "log_loss" in scores.columns:
+        return scores.select("model", "log_loss", "brier")
     y, p = F.col("label"), F.col("prob")
     pc = F.greatest(F.least(p, F.lit(1 - LOGLOSS_EPS)), F.lit(LOGLOSS_EPS))
     ll = -(y * F.ln(pc) + (1 - y) * F.ln(1 - pc))
@@ -95,6 +115,20 @@ def _pos_neg(scores: DataFrame, descending: bool) -> DataFrame:
                        by=M, descending=descending)
 
 
+def rank_metrics(scores: DataFrame) -> DataFrame:
+    """X3 + X4 from one ascending prefix pass: values >= v have tp = P - pos_before, fp = N - neg_before.
+    Per-model totals come from a small aggregate of the prefix table (broadcast)."""
+    ps = _pos_neg(scores, descending=False)
+    tot = ps.groupBy(*M).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    j = ps.join(F.broadcast(tot), M)
+    tp = F.col("_P") - F.col("pos_before")
+    fp = F.col("_N") - F.col("neg_before")
+    return j.groupBy(*M).agg(
+        _div(F.sum(F.col("neg_before") * F.col("pos") + 0.5 * F.col("pos") * F.col("neg")),
+             F.first("_P") * F.first("_N")).alias("roc_auc"),
+        _div(F.sum(F.col("pos") * tp / (tp + fp)), F.first("_P")).alias("average_precision"))
+
+
 def roc_auc(scores: DataFrame) -> DataFrame:
     """Exact ROC-AUC = P(score_pos > score_neg) + 0.5 P(tie), from prefix counts."""
     ps = _pos_neg(scores, descending=False)
@@ -170,11 +204,21 @@ def reliability(scores: DataFrame, edges=None) -> DataFrame:
 
 
 def compare_models(scores: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """One row per model with AUC, AP, F1, precision, recall, MCC, kappa, log loss, Brier."""
-    rep = class_report(scores).select("model", F.col("f1_1").alias("f1"), F.col("precision_1").alias("precision"),
-                                      F.col("recall_1").alias("recall"), "accuracy")
-    out = (roc_auc(scores).join(average_precision(scores), M).join(rep, M)
-           .join(agreement(scores), M).join(probability_loss(scores), M))
+    """One row per model with AUC, AP, F1, precision, recall, MCC, kappa, log loss, Brier.
+    Two passes over the scores: one aggregate (every threshold metric is a projection of it) and
+    one prefix pass (rank metrics)."""
+    summ = summary(scores)
+    tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
+    n = tn + fp + fn + tp
+    prec, rec = _div(tp, tp + fp), _div(tp, tp + fn)
+    po = (tp + tn) / n
+    pe = ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)
+    thr = summ.select(
+        "model", _f1(prec, rec).alias("f1"), prec.alias("precision"), rec.alias("recall"),
+        _div(tn + tp, n).alias("accuracy"),
+        _div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"),
+        _div(po - pe, 1 - pe).alias("kappa"), "log_loss", "brier")
+    out = rank_metrics(scores).join(thr, M)
     if thresholds is not None:
         out = out.join(thresholds, M, "left")
     return out

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendsignals.operators.evaluation import average_precision, roc_auc
+from spendsignals.operators.evaluation import average_precision, rank_metrics, roc_auc
 from spendsignals.operators.ranks import percentile_scores
 
 
@@ -51,6 +51,8 @@ def test_auc_ap_brute_force(spark, seed):
                                              "model": "m"})).repartition(4)
     assert abs(roc_auc(df).collect()[0]["roc_auc"] - brute_auc(y, p)) < 1e-12
     assert abs(average_precision(df).collect()[0]["average_precision"] - brute_ap(y, p)) < 1e-12
+    both = rank_metrics(df).collect()[0]
+    assert abs(both["roc_auc"] - brute_auc(y, p)) < 1e-12 and abs(both["average_precision"] - brute_ap(y, p)) < 1e-12
 
 
 def test_auc_invariant_under_monotone_map(spark):
