@@ -159,27 +159,36 @@ def curve_points(scores: DataFrame) -> DataFrame:
 
 def threshold_sweep(scores: DataFrame, thresholds=None) -> DataFrame:
     """X6 + X7: confusion counts, precision, recall, F1 at every threshold (p >= t), first best F1
-    flagged; one count per (model, number of thresholds <= p) and a suffix sum."""
+    flagged. One count per (model, k = number of thresholds <= p); on that small table suffix sums
+    give tp / fp at each existing k, and each k expands to the thresholds it decides
+    (threshold i is positive for k >= i + 1, so it takes the sums of the first existing k >= i + 1)."""
     thresholds = thresholds or SWEEP_THRESHOLDS
-    k = len(thresholds)
+    K = len(thresholds)
     arr = F.array(*[F.lit(float(t)) for t in thresholds])
     counted = (scores.withColumn("_k", F.size(F.filter(arr, lambda t: t <= F.col("prob"))))
                .groupBy(*M, "_k").agg(F.count_if(F.col("label") == 1).alias("_pos"),
                                       F.count_if(F.col("label") == 0).alias("_neg")))
-    grid = (counted.select(*M).distinct()
-            .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(k)))))
-    full = grid.join(counted, M + ["_k"], "left").na.fill(0, ["_pos", "_neg"])
-    suffix = Window.partitionBy(*M).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding,
-                                                                            Window.currentRow)
+    w = Window.partitionBy(*M).orderBy("_k")
+    suffix = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     tot = Window.partitionBy(*M)
-    full = full.withColumns({"_S_pos": F.sum("_pos").over(suffix), "_S_neg": F.sum("_neg").over(suffix),
-                             "_P": F.sum("_pos").over(tot), "_N": F.sum("_neg").over(tot)})
-    # predicted positive at threshold i  <=>  _k >= i + 1, so tp(i) = S_pos(i + 1)
-    th = F.element_at(arr, F.col("_k"))
-    at = full.where(F.col("_k") >= 1).select(
-        "model", (F.col("_k") - 1).alias("threshold_index"), th.alias("threshold"),
-        F.col("_S_pos").alias("tp"), F.col("_S_neg").alias("fp"),
-        (F.col("_P") - F.col("_S_pos")).alias("fn"), (F.col("_N") - F.col("_S_neg")).alias("tn"))
+    c = counted.withColumns({
+        "_S_pos": F.sum("_pos").over(suffix), "_S_neg": F.sum("_neg").over(suffix),
+        "_P": F.sum("_pos").over(tot), "_N": F.sum("_neg").over(tot),
+        "_prev": F.coalesce(F.lag("_k").over(w), F.lit(0)), "_last": F.lead("_k").over(w).isNull()})
+    cover = F.transform(F.sequence(F.col("_prev"), F.col("_k") - 1),
+                        lambda i: F.struct(i.alias("i"), F.col("_S_pos").alias("tp"), F.col("_S_neg").alias("fp")))
+    tail = F.transform(F.sequence(F.col("_k"), F.lit(K - 1)),
+                       lambda i: F.struct(i.alias("i"), F.lit(0).cast("long").alias("tp"),
+                                          F.lit(0).cast("long").alias("fp")))
+    cov = F.when(F.col("_prev") <= F.col("_k") - 1, cover).otherwise(
+        F.array().cast("array<struct<i:int,tp:bigint,fp:bigint>>"))
+    tl = F.when(F.col("_last") & (F.col("_k") <= K - 1), tail).otherwise(
+        F.array().cast("array<struct<i:int,tp:bigint,fp:bigint>>"))
+    at = c.select("model", "_P", "_N", F.explode(F.concat(cov, tl)).alias("_t")).where(F.col("_t.i") < K)
+    th = F.element_at(arr, F.col("_t.i") + 1)
+    at = at.select("model", F.col("_t.i").cast("int").alias("threshold_index"), th.alias("threshold"),
+                   F.col("_t.tp").alias("tp"), F.col("_t.fp").alias("fp"),
+                   (F.col("_P") - F.col("_t.tp")).alias("fn"), (F.col("_N") - F.col("_t.fp")).alias("tn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     at = at.withColumns({"precision": _div(tp, tp + fp), "recall": _div(tp, tp + fn),
                          "f1": _div(2 * tp, 2 * tp + fp + fn)})

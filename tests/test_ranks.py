@@ -63,3 +63,26 @@ def test_auc_invariant_under_monotone_map(spark):
     a = roc_auc(base).collect()[0][1]
     b = roc_auc(base.withColumn("prob", F.exp(F.col("prob") * 3))).collect()[0][1]
     assert abs(a - b) < 1e-12
+
+
+def test_threshold_sweep_brute_force(spark):
+    from spendsignals.operators.evaluation import SWEEP_THRESHOLDS, threshold_sweep
+    rnd = random.Random(11)
+    rows = []
+    for i in range(300):      # model a: spread scores (some exactly on thresholds)
+        y = rnd.randint(0, 1)
+        p = rnd.choice([SWEEP_THRESHOLDS[rnd.randrange(80)], round(rnd.random(), 3)])
+        rows.append(("a", y, p))
+    rows += [("low", rnd.randint(0, 1), 0.01) for _ in range(20)]    # below every threshold
+    rows += [("high", rnd.randint(0, 1), 0.95) for _ in range(20)]   # above every threshold
+    df = spark.createDataFrame(rows, "model string, label int, prob double")
+    got = {(r["model"], r["threshold_index"]): (r["tp"], r["fp"], r["fn"], r["tn"])
+           for r in threshold_sweep(df).collect()}
+    for m in ("a", "low", "high"):
+        sub = [(y, p) for mm, y, p in rows if mm == m]
+        for i, t in enumerate(SWEEP_THRESHOLDS):
+            tp = sum(1 for y, p in sub if p >= t and y == 1)
+            fp = sum(1 for y, p in sub if p >= t and y == 0)
+            fn = sum(1 for y, p in sub if p < t and y == 1)
+            tn = sum(1 for y, p in sub if p < t and y == 0)
+            assert got[(m, i)] == (tp, fp, fn, tn), (m, i)
