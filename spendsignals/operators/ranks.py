@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
 
 
 def prefix_sums(df: DataFrame, value: str, measures: dict[str, Column], by=(), descending: bool = False,

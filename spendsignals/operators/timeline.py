@@ -19,7 +19,7 @@ grow with the number of ordinary keys; the bound is checked before broadcasting.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,14 +86,6 @@ class KeyStat:
     expr: Column
 
 
-@dataclass
-class TimelinePlan:
-    key: str = "user_id"
-    order: tuple[str, ...] = ("timestamp", "transaction_id")
-    rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK
-    specs: list = field(default_factory=list)
-
-
 def _reach(specs) -> tuple[int, int]:
     back = fwd = 0
     for s in specs:

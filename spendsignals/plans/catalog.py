@@ -9,11 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..functions.columns import round_doubles
-from . import inputs as I
 from .oracle_sql import with_ctes
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -50,6 +46,3 @@ def queries() -> dict[str, Callable]:
 def oracles() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
 
-
-def first(df: DataFrame, col: str) -> DataFrame:
-    return df.orderBy(F.col(col))

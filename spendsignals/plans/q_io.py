@@ -16,7 +16,6 @@ from ..sources.transactions import load_table, save_table
 from . import inputs as I
 from .catalog import register
 from .q_core import _ENG_DOUBLES, rsql
-from .q_eval import esql
 from .q_models import asql
 from .q_next import nsql
 

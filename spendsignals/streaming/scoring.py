@@ -74,13 +74,6 @@ def score_requests(requests: DataFrame, model=None, prob: str = "impulse_prob")
 
 
 # ------------------------------------------------------------------------------------------ stream
-EVENT_ROW = T.StructType([
-    T.StructField("transaction_id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("timestamp", T.TimestampNTZType()), T.StructField("is_weekend", T.IntegerType()),
-    T.StructField("transaction_amount", T.DoubleType()), T.StructField("monthly_salary", T.DoubleType()),
-    T.StructField("impulse_label", T.IntegerType()), T.StructField("impulse_prob", T.DoubleType()),
-    T.StructField("cents", T.LongType()),
-])
 STATE = T.StructType([T.StructField("cum_cents", T.LongType()), T.StructField("recent", T.ArrayType(T.IntegerType()))])
 OUT = T.StructType([
     T.StructField("transaction_id", T.LongType()), T.StructField("user_id", T.LongType()),
