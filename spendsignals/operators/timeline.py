@@ -6,8 +6,8 @@ Spark window puts a whole user into one task, so a user with a third of the rows
 third of the job in one task. This module plans those windows in two shapes:
 
 * ordinary keys (fewer than ``rows_per_chunk`` rows): one window partition per key;
-* hot keys: the key's time range is cut into ``ceil(n / rows_per_chunk)`` equal-width chunks and
-  the window runs per ``(key, chunk)``. Bounded frames get the rows they need from the
+* hot keys: the key's rows are cut into time-ordered chunks of about ``rows_per_chunk`` rows
+  (running counts over fine time buckets) and the window runs per ``(key, chunk)``. Bounded frames get the rows they need from the
   neighbouring chunks as *ghost rows* (the last ``back`` rows before the chunk and the first
   ``fwd`` rows after it); unbounded running sums and streaks get the totals of all earlier
   chunks as a broadcast offset. Ghost rows are dropped after the window.
@@ -149,7 +149,7 @@ def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp"
         hot = detect_hot_keys(df, key, order[0], rows_per_chunk)
     if hot.table is None:
         return _plain(df, specs, key, order)
-    return _chunked(df, specs, key, order, hot.table)
+    return _chunked(df, specs, key, order, hot.table, hot.rows_per_chunk)
 
 
 def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:
@@ -177,19 +177,45 @@ def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:
     return out.drop("_rn") if "_rn" in out.columns else out
 
 
-def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame) -> DataFrame:
+FINE_PER_CHUNK = 16
+
+
+def _chunk_map(hot_rows: DataFrame, key: str, rows_per_chunk: int):
+    """Count-balanced chunks for hot keys: rows are counted into fine equal-width time buckets
+    (FINE_PER_CHUNK per chunk); the running count over a key's buckets, divided by rows_per_chunk,
+    is the bucket's chunk. Monotone in time, so every window rule below stays exact. One row per
+    (hot key, fine bucket): written once, size-checked, then broadcast; None when too large."""
+    counts = hot_rows.groupBy(key, "_fb").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(key).orderBy("_fb")
+    before = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = counts.withColumn("_chunk", F.floor(before / F.lit(rows_per_chunk)).cast("long"))
+    m = m.withColumn("_maxchunk", F.max("_chunk").over(Window.partitionBy(key))).select(key, "_fb", "_chunk",
+                                                                                       "_maxchunk")
+    m = cut_lineage(m)
+    return m if m.count() <= MAX_BROADCAST_ROWS else None
+
+
+def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame, rows_per_chunk: int) -> DataFrame:
     ts = order[0]
     back, fwd = _reach(specs)
     micros = naive_micros(F.col(ts))
     span = F.col("_t1") - F.col("_t0") + F.lit(1)
-    chunk = F.when(F.col("_nchunks").isNull(), F.lit(0).cast("long")).otherwise(
-        F.least(F.floor((micros - F.col("_t0")) * F.col("_nchunks") / span).cast("long"),
-                F.col("_nchunks") - 1))
+    nfine = F.col("_nchunks") * FINE_PER_CHUNK
     cols = df.columns
-    tagged = (df.join(F.broadcast(hot), key, "left")
-              .withColumn("_chunk", chunk)
-              .withColumn("_hot", F.col("_nchunks").isNotNull()))
-    base = tagged.drop("_t0", "_t1")
+    joined = (df.join(F.broadcast(hot), key, "left")
+              .withColumn("_hot", F.col("_nchunks").isNotNull())
+              .withColumn("_fb", F.when(F.col("_hot"), F.least(
+                  F.floor((micros - F.col("_t0")) * nfine / span).cast("long"), nfine - 1))))
+    cmap = _chunk_map(joined.where("_hot"), key, rows_per_chunk)
+    if cmap is not None:
+        tagged = (joined.join(F.broadcast(cmap), [key, "_fb"], "left")
+                  .withColumn("_chunk", F.coalesce(F.col("_chunk"), F.lit(0).cast("long"))))
+    else:
+        # too many fine buckets to broadcast: equal-width time chunks (exact, less balanced)
+        eq = F.least(F.floor((micros - F.col("_t0")) * F.col("_nchunks") / span).cast("long"), F.col("_nchunks") - 1)
+        tagged = joined.withColumns({"_chunk": F.when(F.col("_hot"), eq).otherwise(F.lit(0).cast("long")),
+                                     "_maxchunk": F.col("_nchunks") - 1})
+    base = tagged.drop("_t0", "_t1", "_fb")
     hot_rows = base.filter("_hot")
 
     # --- ghost rows: the last `back` rows before each hot chunk and the first `fwd` rows after it
@@ -200,7 +226,7 @@ def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame) -> DataFrame
         tails = hot_rows.withColumn("_r", F.row_number().over(w_desc)).filter(F.col("_r") <= back).drop("_r")
         wk = Window.partitionBy(key).orderBy(*order)
         nxt = F.lead("_chunk", back).over(wk)
-        lo, hi = F.col("_chunk") + 1, F.coalesce(nxt, F.col("_nchunks") - 1)
+        lo, hi = F.col("_chunk") + 1, F.coalesce(nxt, F.col("_maxchunk"))
         tails = tails.withColumn("_targets", F.when(lo <= hi, F.sequence(lo, hi)))
         ghosts.append(tails.withColumn("_chunk", F.explode("_targets")).drop("_targets"))
     if fwd > 0:
