@@ -12,3 +12,15 @@ def test_t_p_value():
 def test_normal_p_value():
     assert abs(normal_two_sided_p(1.959963984540054) - 0.05) < 1e-12
     assert abs(normal_two_sided_p(-1.0) - 0.3173105078629141) < 1e-12
+
+
+def test_p_value_udfs_on_spark_results(spark):
+    from conftest import SF_SMALL
+    from spendsignals.operators import stats as S
+    from spendsignals.plans import inputs as I
+
+    t = S.with_t_p(S.t_test(I.txn(spark, SF_SMALL))).first()
+    assert abs(t["p_value"] - t_two_sided_p(t["t_stat"], t["dof"])) < 1e-12 and 0.0 <= t["p_value"] <= 1.0
+    mw = S.with_z_p(S.mann_whitney(I.eng(spark, SF_SMALL), ["spend_zscore", "drawdown_ratio"])).collect()
+    for r in mw:
+        assert abs(r["p_value"] - normal_two_sided_p(r["z"])) < 1e-12
