@@ -11,11 +11,16 @@ from .ranks import percentile_scores
 
 
 def score_transactions(eng: DataFrame, threshold: float = C.IMPULSE_THRESHOLD,
-                       half_life: float = C.HALF_LIFE_DAYS, prob: str = "impulse_prob") -> DataFrame:
-    """P13 + P15: predicted flag, whole days before the latest timestamp, recency weight.
-
-    The latest timestamp is a one-row aggregate broadcast to every row (J8)."""
-    ref = eng.agg(F.max("timestamp").alias("_ref"))
+                       half_life: float = C.HALF_LIFE_DAYS, prob: str = "impulse_prob",
+                       as_of=None) -> DataFrame:
+    """P13 + P15: predicted flag, whole days before the reference time, recency weight.
+
+    The reference time is the latest timestamp of the table (a one-row aggregate broadcast to every
+    row, J8), or ``as_of`` (a naive datetime) when the caller knows it, which saves that scan."""
+    if as_of is None:
+        ref = eng.agg(F.max("timestamp").alias("_ref"))
+    else:
+        ref = eng.sparkSession.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("_ref"))
     out = eng.crossJoin(F.broadcast(ref)).withColumns({
         "impulse_pred": C.classify(F.col(prob), threshold),
         "days_ago": C.whole_days_between(F.col("_ref"), F.col("timestamp")),

@@ -112,3 +112,13 @@ def test_prior_baseline_uses_only_earlier_rows(spark):
     assert abs(got[3]["user_mean_spend"] - 3.0) < 1e-12
     assert abs(got[3]["user_std_spend"] - 2.8284271247461903) < 1e-9
     assert abs(got[4]["spend_zscore"] - (4.0 - 5.0) / 4.0) < 1e-9
+
+
+def test_scoring_as_of_equals_data_max(spark):
+    from spendsignals.operators.risk import score_transactions
+    e = engineer(frame(spark, txn_rows([5.0, 1.0, 9.0, 4.0], hours=None)), categories=["Food"]).withColumn(
+        "impulse_prob", F.lit(0.5))
+    mx = e.agg(F.max("timestamp")).first()[0]
+    a = sorted(score_transactions(e).select("transaction_id", "days_ago", "decay_weight").collect())
+    b = sorted(score_transactions(e, as_of=mx).select("transaction_id", "days_ago", "decay_weight").collect())
+    assert a == b
