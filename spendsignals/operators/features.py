@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from .timeline import DEFAULT_ROWS_PER_CHUNK, KeyStat, Rolling, Running, with_timeline
 
-# Columns that are never model features.
+# Columns that are never model features.
 EXCLUDE = ["transaction_id", "user_id", "timestamp", "impulse_label", "balance_before_approx",
            "user_mean_spend", "user_std_spend", "balance_after", "transaction_amount", "monthly_salary"]
 WINDOWS = (3, 7)

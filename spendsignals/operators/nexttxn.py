@@ -14,6 +14,7 @@ from .ranks import prefix_sums
 from .stats import exact_quantile_micros
 from .timeline import DEFAULT_ROWS_PER_CHUNK, Rolling, Shift, Streak, with_timeline
 
+# The user columns joined onto transactions and the next-transaction model features.
 USER_FEATURES = ["risk_score", "recency_weighted_prob", "impulse_prob_std", "cluster"]
 NEXT_FEATURES = [
     "lag1_impulse_prob", "lag2_impulse_prob", "lag3_impulse_prob",

@@ -144,6 +144,7 @@ def score_mean(models, df: DataFrame, out: str = "prob") -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------ search and CV
+# The reference's search ranges (forest, boosted trees); "log" = log-uniform.
 RF_SPACE = {"n_estimators": (100, 500, "int"), "max_depth": (4, 20, "int"), "min_samples_split": (2, 20, "int"),
             "min_samples_leaf": (1, 10, "int"), "max_features": (0.3, 0.9, "float")}
 GBT_SPACE = {"n_estimators": (100, 600, "int"), "max_depth": (3, 10, "int"), "learning_rate": (0.01, 0.3, "log"),
