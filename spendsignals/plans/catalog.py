@@ -36,7 +36,7 @@ def rsql(select: str, ctes=(), doubles=()) -> str:
 
 # --------------------------------------------------------------------------------------------
 # modules that register queries
-from . import q_core, q_eval, q_io, q_models, q_next, q_stats, q_stream  # noqa: E402,F401
+from . import q_core, q_eval, q_io, q_links, q_models, q_next, q_stats, q_stream  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable]:
