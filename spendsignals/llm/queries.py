@@ -59,3 +59,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs.select("doc_id", "text"), train(docs)).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .webtext import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages"))
