@@ -22,7 +22,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, pins values
     such as row numbers, survives lost executors, and lets later steps read only the columns they need."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,6 +21,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 4000       # bound of the training sample, per
 DICT_BYTES, LEVEL, CHUNK = 65_536, 5, 4096
 #: A constant head lets even a few words be coded as a compressed block, not stored as they are.
 HEAD = b"\n" * 64
+NEAR_BYTES = 8000
+NEAR = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY2, "target_length": 64}
 #: Narrower relative margins between the best and the second language are rejected.
 MIN_MARGIN = 0.002
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -66,20 +68,33 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     return {k: v for k, v in content.items() if len(v) >= 8}
 
 
-def compressors(model: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
-    out = {}
+Coders = dict[str, zstandard.ZstdCompressor]
+
+
+def compressors(model: dict[str, bytes]) -> tuple[Coders, Coders]:
+    """Coders by language: with the whole dictionaries, and with their most frequent words only."""
+    whole, near = {}, {}
+    plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
     for lang, content in model.items():
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
-        out[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return out
+        whole[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **plain)
+        d = zstandard.ZstdCompressionDict(content[-NEAR_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        near[lang] = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**NEAR, **plain), dict_data=d)
+    return whole, near
 
 
-def classify(words: list[str], coders: dict[str, zstandard.ZstdCompressor]) -> tuple[str, float, float]:
-    """(language, score, margin). The margin is the second size over the best, less 1, as a share of the second."""
-    if not words or not coders:
+def classify(words: list[str], coders: tuple[Coders, Coders]) -> tuple[str, float, float]:
+    """(language, score, margin). The margin is the second size less the best, as a share of the second.
+    Where the whole dictionaries leave a tie (a few words), the short ones decide."""
+    if not words or not coders[0]:
         return "und", 0.0, 0.0
     raw = " ".join(words).encode()
+    first = _smallest(raw, coders[0])
+    return first if first[2] > 0 else _smallest(raw, coders[1])
+
+
+def _smallest(raw: bytes, coders: Coders) -> tuple[str, float, float]:
     parts = [HEAD + raw[k:k + CHUNK] for k in range(0, len(raw), CHUNK)]
     sizes = {lang: sum(len(c.compress(p)) for p in parts) for lang, c in coders.items()}
     order = sorted(sizes, key=lambda k: (sizes[k], k))
