@@ -89,17 +89,22 @@ def _set_maker(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            found = [shingle_set(hasher.hashes(byte_words(t.as_py())), width).view(np.int64) for t in batch.column(1)]
-            for k in range(0, len(found), 512):
-                part = found[k:k + 512]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), values], names=["doc_id", "shingles"])
+            for k in range(0, batch.num_rows, 256):
+                ids, found = [], []
+                for i, mark, text in zip(*(batch.column(c).slice(k, 256) for c in range(3)), strict=True):
+                    s = shingle_set(hasher.hashes(byte_words(text.as_py())), width)
+                    if _print(s) == mark.as_py():          # not another text under the same doc_id
+                        ids.append(i.as_py())
+                        found.append(s.view(np.int64))
+                if ids:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), values], names=["id", "shingles"])
     return sets
 
 
 def _orders(reps: DataFrame) -> DataFrame:
-    """``tree, key, doc_id``: every representative once per tree; the key holds the leading values' first bytes."""
+    """``tree, key, id``: every representative once per tree; the key holds the leading values' first bytes."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = (np.arange(TREES)[:, None] * OWN + np.arange(KEY_VALUES)[None, :]) % VALUES
         for batch in batches:
@@ -116,14 +121,14 @@ def _orders(reps: DataFrame) -> DataFrame:
                 offsets = pa.array(np.arange(0, n * TREES * size + 1, size, dtype=np.int32))
                 column = pa.Array.from_buffers(pa.binary(), n * TREES, [None, offsets.buffers()[1], pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), column, pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), TREES), pa.int64())],
-                                                 names=["tree", "key", "doc_id"])
-    return reps.select("doc_id", "signature").mapInArrow(keys, "tree int, key binary, doc_id long")
+                                                 names=["tree", "key", "id"])
+    return reps.select("id", "signature").mapInArrow(keys, "tree int, key binary, id long")
 
 
-def _neighbours(batches: Iterator[pd.DataFrame], depth: int = DEPTH, window: int = NEIGHBOURS) -> Iterator[pd.DataFrame]:
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rows -> candidate pairs (``kind`` 0), the rows at both ends (``kind`` -1 first, 1 last), and rows of a region
     wider than the window (``kind`` 2, with the region's next deeper prefix)."""
-    lead = depth * 2
+    lead, window = DEPTH * 2, NEIGHBOURS
     recent: list[tuple] = []          # the last rows, at most `window`
     head = 0
     for pdf in batches:
@@ -133,7 +138,7 @@ def _neighbours(batches: Iterator[pd.DataFrame], depth: int = DEPTH, window: int
             for c, v in zip((kinds, trees, keys, lefts, rights, places), (kind, tree, key, left, right, place), strict=True):
                 c.append(v)      # noqa: B023
 
-        for part, tree, key, doc in zip(pdf["part"], pdf["tree"], pdf["key"], pdf["doc_id"], strict=True):
+        for part, tree, key, doc in zip(pdf["part"], pdf["tree"], pdf["key"], pdf["id"], strict=True):
             if head < window:
                 put(-1, tree, key, part, doc, head)
                 head += 1
@@ -155,13 +160,11 @@ def _neighbours(batches: Iterator[pd.DataFrame], depth: int = DEPTH, window: int
 
 
 def _candidates(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs ``a, b``; rows of dense regions ``tree, key, doc_id``)."""
-    # contiguous pieces of each order; written once, so the pieces and their numbers hold
-    dealt = written(orders.repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-                    .withColumn("part", F.spark_partition_id().cast("long")), "forest")
-    # a piece may come back as several file splits: bring each together again in order
-    got = written(dealt.repartition("part").sortWithinPartitions("part", "tree", "key", "doc_id")
-                  .mapInPandas(_by_part, "kind int, tree int, key binary, left long, right long, place int"), "forest-pairs")
+    """(pairs ``a, b``; rows of dense regions ``tree, key, id``)."""
+    # every task gets one contiguous piece of the orders; its number is the place among the pieces
+    dealt = orders.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    got = written(dealt.withColumn("part", F.spark_partition_id().cast("long"))
+                  .mapInPandas(_neighbours, "kind int, tree int, key binary, left long, right long, place int"), "forest-pairs")
     inside = got.where("kind = 0").select(F.col("left").alias("a"), F.col("right").alias("b"))
     # across the border of two pieces: the last rows of one with the first rows of the next
     last = got.where("kind = 1").select("tree", F.substring("key", 1, DEPTH * 2).alias("lead"), F.col("left").alias("part"), F.col("right").alias("x"), F.col("place").alias("p"))
@@ -172,32 +175,6 @@ def _candidates(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inside.unionByName(border).distinct(), dense
 
 
-def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Run ``_neighbours`` on each piece of a task's sorted rows."""
-    def pieces():
-        for pdf in batches:
-            for _, g in pdf.groupby("part", sort=False):
-                yield g
-
-    current, held = None, None
-    source = pieces()
-
-    def one(first):
-        nonlocal held
-        part = first["part"].iat[0]
-        yield first
-        for g in source:
-            if g["part"].iat[0] != part:
-                held = g
-                return
-            yield g
-
-    held = next(source, None)
-    while held is not None:
-        current, held = held, None
-        yield from _neighbours(one(current))
-
-
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures agree enough to be worth the exact test."""
     least = least_agreement(percent)
@@ -213,9 +190,9 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             out.append((a == b).mean(axis=1))
         return pd.Series(np.concatenate(out))
 
-    s = reps.select("doc_id", "signature", "n_shingles")
-    left = s.select(F.col("doc_id").alias("a"), F.col("signature").alias("_x"), F.col("n_shingles").alias("_n"))
-    right = s.select(F.col("doc_id").alias("b"), F.col("signature").alias("_y"), F.col("n_shingles").alias("_m"))
+    s = reps.select("id", "signature", "n_shingles")
+    left = s.select(F.col("id").alias("a"), F.col("signature").alias("_x"), F.col("n_shingles").alias("_n"))
+    right = s.select(F.col("id").alias("b"), F.col("signature").alias("_y"), F.col("n_shingles").alias("_m"))
     return (pairs.join(left, "a").join(right, "b")
             .where(100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m"))     # sizes alone can rule a pair out
             .withColumn("_e", agreement("_x", "_y")).where(F.col("_e") >= least).select("a", "b"))
@@ -223,8 +200,8 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_y"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
     return (pairs.join(left, "a").join(right, "b").withColumn("_both", both)
             .where(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b"))
@@ -253,15 +230,15 @@ def _dense_rest(orders: DataFrame, dense: DataFrame, label: DataFrame) -> DataFr
     """Pairs of different components inside regions wider than the window, one value deeper: every row outside
     a region's largest component with every row of another component."""
     lead, deeper = F.substring("key", 1, DEPTH * 2), F.substring("key", 1, DEPTH * 2 + 2)
-    rows = (orders.withColumn("lead", lead).join(dense, ["tree", "lead"]).select("tree", deeper.alias("key"), "doc_id")
-            .join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-            .select("tree", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    rows = (orders.withColumn("lead", lead).join(dense, ["tree", "lead"]).select("tree", deeper.alias("key"), "id")
+            .join(label.select(F.col("id").alias("id"), "component"), "id", "left")
+            .select("tree", "key", "id", F.coalesce("component", "id").alias("component")))
     rows = written(rows, "dense-rows")
     sizes = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("n"))
     top = sizes.groupBy("tree", "key").agg(F.max(F.struct("n", "component")).alias("_t"), F.count("*").alias("_c")).where("_c > 1")
     mixed = rows.join(top.select("tree", "key", F.col("_t.component").alias("largest")), ["tree", "key"])
-    minor = mixed.where("component <> largest").select("tree", "key", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    other = mixed.select("tree", "key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), "largest")
+    minor = mixed.where("component <> largest").select("tree", "key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    other = mixed.select("tree", "key", F.col("id").alias("y"), F.col("component").alias("cy"), "largest")
     pairs = minor.join(other, ["tree", "key"]).where("cx <> cy and (x < y or cy = largest)")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -274,40 +251,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     the least doc_id reachable by links, ``kept`` says whether it is the row's own.
 
     Null, empty and word-free texts have no shingle and link with nothing. Rows that repeat a doc_id are
-    one document whose texts all count. A null doc_id links with nothing, has a null component and is kept.
-    Only ``doc_id`` and ``text`` are read. An empty table gives an empty result.
+    judged one by one, each by its own text. A null doc_id links with nothing, has a null component and is
+    kept. Only ``doc_id`` and ``text`` are read. An empty table gives an empty result.
     """
     sketch = written(sketches(docs, width), "sketches")
     named = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = written(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(named.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "print"])
-                   .join(classes.select("print", F.col("rep").alias("_rep")), "print").where("doc_id = _rep").drop("_rep"), "representatives")
-    # several texts under one doc_id share its components: their classes are linked below
-    one = reps.dropDuplicates(["doc_id"])
-    pairs, dense = _candidates(_orders(one))
-    pairs = written(_agreeing(pairs, one, percent), "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select("b")).distinct()
-    sets = written(_sets_of(docs, ids, width), "sets")
-    links = written(_links(pairs, sets, percent), "confirmed")
+    # one row per distinct set; the number is pinned by writing it
+    classes = written(named.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+                      .withColumn("id", F.monotonically_increasing_id()), "classes")
+    orders = _orders(classes)
+    pairs, dense = _candidates(orders)
+    pairs = written(_agreeing(pairs, classes, percent), "candidates")
+    links = written(_links(pairs, _sets_of(docs, classes, pairs, width), percent), "confirmed")
     label = components(links)
-    extra = written(_agreeing(_dense_rest(_orders(one), dense, label), one, percent), "dense-candidates")
+    extra = written(_agreeing(_dense_rest(orders, dense, label), classes, percent), "dense-candidates")
     if not extra.isEmpty():
-        more = extra.select(F.col("a").alias("doc_id")).unionByName(extra.select("b")).distinct()
-        sets = written(_sets_of(docs, more, width), "dense-sets")
-        links = links.unionByName(confirm(extra, sets, percent))
+        links = links.unionByName(confirm(extra, _sets_of(docs, classes, extra, width), percent))
         label = components(links)
-    member = named.join(classes, "print").select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
-    repeated = named.groupBy("doc_id").agg(F.count_distinct("print").alias("_n")).where("_n > 1")
-    if not repeated.isEmpty():        # a doc_id with several texts connects their classes
-        label = components(links.unionByName(member.join(repeated.select(F.col("doc_id").alias("b")), "b", "left_semi")).unionByName(
-            links.limit(0)))
-    labels = label.select(F.col("id").alias("rep"), "component")
-    known = (sketch.join(classes, "print", "left").join(labels, "rep", "left")
-             .withColumn("component_id", F.coalesce("component", "rep", "doc_id")))
-    return known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-                        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return rows.mapInArrow(_set_maker(width), "doc_id long, shingles array<long>")
+    # a component's name is the least doc_id in it
+    grown = label.join(classes.select("id", "doc_id"), "id")
+    names = grown.groupBy("component").agg(F.min("doc_id").alias("_name"))
+    renamed = classes.select("print", "id", F.col("doc_id").alias("_rep")).join(label, "id", "left").join(names, "component", "left").select(
+        "print", F.coalesce("_name", "_rep").alias("component_id"))
+    linked = sketch.select("doc_id", "n_shingles", "print").join(renamed, "print", "left").withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return linked.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``id, shingles`` (the full set) of the classes in ``pairs``, made from their representatives' texts."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = classes.select("id", "doc_id", "print").join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("id", "print", "text")
+    return written(rows.mapInArrow(_set_maker(width), "id long, shingles array<long>"), "sets")

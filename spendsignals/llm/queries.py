@@ -75,3 +75,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .webtext import extract_pages
 
     return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
