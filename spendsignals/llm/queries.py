@@ -90,3 +90,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_leaks
 
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup_vectors import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import span_digests
+
+    return span_digests(read_table(spark, sf_dir, "documents"))
