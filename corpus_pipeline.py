@@ -1,26 +1,57 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read
-again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+again as the next stage's ``docs``. All but the last return the columns of ``documents``. Rows that repeat a
+doc_id share the decisions made on it; rows with a null doc_id are never duplicates of others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendsignals.llm.common import read_table, written
+from spendsignals.llm.decontam import without_leaks
+from spendsignals.llm.langid import identify, train
+from spendsignals.llm.minhash import near_duplicates
 from spendsignals.llm.packing import pack_documents
+from spendsignals.llm.pii import redact
 from spendsignals.llm.queries import tokenizer_path
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification (operator 4): ``lang`` becomes the predicted language; documents that are
+    rejected (no letters, or no language clearly ahead) go."""
+    columns = docs.columns
+    judged = identify(docs, train(docs)).where("accepted")
+    return judged.withColumn("lang", F.col("lang_pred")).select(*columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-duplicates (operator 5, five-word shingles): the least doc_id of each group stays."""
+    kept = near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (operator 7): documents that hold a benchmark passage go."""
+    return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data (operator 6) is replaced by its kind; every document stays."""
+    return redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing (operator 2) of all that is left."""
     return pack_documents(docs, tokenizer_path()).drop("ids")
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("personal_data", personal_data), ("packing", packing)]
 
-#: SQL cannot tokenize; ``tests/llm`` holds the stages against brute-force versions.
+#: SQL cannot tokenize or compress; ``tests/llm`` holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
