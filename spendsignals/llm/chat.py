@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that some template reads as control; none of them survives inside a text. Fixed values.
 CONTROL = [TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>",
@@ -129,7 +131,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, block_tu
     text or role is empty. Rows with a null conv_id form one conversation. An empty table gives no row.
     A single turn longer than ``block_chars`` is a part of its own. Extra columns are ignored.
     """
-    rows = conversations.select(
+    rows = bounded_batches(conversations).select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-2**62)).cast("long").alias("block"))

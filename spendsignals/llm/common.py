@@ -13,19 +13,40 @@ from ..session import ensure_checkpoint_dir
 WORD_SPACE = "\\x20\\x09-\\x0D"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS, NARROW_ROWS = 256, 10_000
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, pins values
-    such as row numbers, survives lost executors, and lets later steps read only the columns they need."""
+    such as row numbers, survives lost executors, and lets later steps read only the columns they need.
+    ``batch_rows`` holds for this write: rows of an Arrow batch between Spark and Python."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if batch_rows:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Before whole texts go to Python: lower the session's Arrow batches to ``TEXT_ROWS`` rows, as Spark counts
+    rows, not bytes, and a batch of very long texts would not fit a worker. A lower setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= TEXT_ROWS:
+        conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .shingles import WordHasher, shingle_hashes
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -177,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(total // block_chars) + 1
     numbered = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for block in range(blocks):
         part = [(r["item_id"], r["text"]) for r in numbered.where(F.col("_block") == block).collect()]   # about block_chars characters

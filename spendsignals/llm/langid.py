@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 4000       # bound of the training sample, per language
 DICT_BYTES, LEVEL, CHUNK = 65_536, 5, 4096
 #: A constant head lets even a few words be coded as a compressed block, not stored as they are.
@@ -119,6 +121,6 @@ def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
 
     udf = F.pandas_udf(predict, "lang string, score double, margin double", F.PandasUDFType.SCALAR_ITER)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "accepted", "_lid")]
-    return (docs.select(*kept, udf("text").alias("_lid"))
+    return (bounded_batches(docs).select(*kept, udf("text").alias("_lid"))
             .select(*kept, F.col("_lid.lang").alias("lang_pred"), F.col("_lid.score").alias("score"), F.col("_lid.margin").alias("margin"),
                     ((F.col("_lid.lang") != "und") & (F.col("_lid.margin") >= min_margin)).alias("accepted")))

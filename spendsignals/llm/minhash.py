@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, written
+from .common import NARROW_ROWS, bounded_batches, byte_words, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_set
 
@@ -82,7 +82,7 @@ def _print(shingles: np.ndarray) -> bytes:
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, print`` (128-bit fingerprint of the set), ``signature`` per row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width), SKETCH_SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(width), SKETCH_SCHEMA)
 
 
 def _set_maker(width: int):
@@ -164,7 +164,7 @@ def _candidates(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     # every task gets one contiguous piece of the orders; its number is the place among the pieces
     dealt = orders.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     got = written(dealt.withColumn("part", F.spark_partition_id().cast("long"))
-                  .mapInPandas(_neighbours, "kind int, tree int, key binary, left long, right long, place int"), "forest-pairs")
+                  .mapInPandas(_neighbours, "kind int, tree int, key binary, left long, right long, place int"), "forest-pairs", NARROW_ROWS)
     inside = got.where("kind = 0").select(F.col("left").alias("a"), F.col("right").alias("b"))
     # across the border of two pieces: the last rows of one with the first rows of the next
     last = got.where("kind = 1").select("tree", F.substring("key", 1, DEPTH * 2).alias("lead"), F.col("left").alias("part"), F.col("right").alias("x"), F.col("place").alias("p"))

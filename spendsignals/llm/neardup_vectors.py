@@ -26,6 +26,7 @@ from .components import components
 COSINE = 0.93
 AXES = 8                 # leading axes of the grid
 BLOCK, LEAF = 1024, 128  # rows of a block, rows below which a comparison is not split further
+COMPARE_ROWS = 8         # pairs of blocks in an Arrow batch (about 1 MB each)
 SLACK = 1e-9             # rounding: never skip within this, recompute a cosine this near to the threshold
 
 
@@ -252,7 +253,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     side = lambda s: blocks.select("label", "dim", F.col("number").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "weights", "vecs")])
     found = written(pairs.join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"])
                     .select("dim", "a", "b", "ids_a", "weights_a", "vecs_a", "ids_b", "weights_b", "vecs_b")
-                    .mapInArrow(_compare(axes, cosine), "id long, n long, root long"), "ego-links")
+                    .mapInArrow(_compare(axes, cosine), "id long, n long, root long"), "ego-links", COMPARE_ROWS)
     label = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     names = label.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("_name"))
     counts = found.groupBy("id").agg(F.sum("n").alias("_n"))

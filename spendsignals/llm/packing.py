@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bounded_batches, text_or_empty, written
 from .tokens import FastEncoder
 
 MAX_LEN, END_ID = 2048, 0
@@ -74,7 +74,7 @@ def _piece_batch(cols, part, id_type) -> pa.RecordBatch:
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, rank, part, ids`` per piece, written once in the shared
     folder. ``rank`` counts the pieces of equal length within the task ``part``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("part"),
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("part"),
                        text_or_empty().alias("text"))
     out = rows.mapInArrow(_tokenizer(tokenizer_path, max_len, pa.int32()),
                           "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part long, ids array<int>")

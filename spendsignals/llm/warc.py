@@ -23,6 +23,7 @@ from .common import shared_path, text_or_empty, written
 
 CHUNK_CHARS = 262_144          # at most 1 MiB in UTF-8
 REVISIT_BYTES = 1000
+BATCH_CHUNKS = 64              # chunks in an Arrow batch
 VERSION = "WARC/1.0\r\n"
 SEPARATOR = "\r\n\r\n" + VERSION
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -149,7 +150,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     several = (got.where(F.col("segmented")).select("record", "chunk", "page_id", "data")
                .repartition("record").sortWithinPartitions("record", "chunk")
                .mapInPandas(_incremental_digests, "record string, page_id long, payload_bytes long, payload_digest string"))
-    responses = written(single.unionByName(several), "warc-responses")
+    responses = written(single.unionByName(several), "warc-responses", BATCH_CHUNKS)
     revisits = got.where(F.col("type") == "revisit").select("page_id", F.col("refers_to").alias("record"), "digest")
     out = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     pointed = revisits.join(responses.withColumnRenamed("page_id", "_to"), "record")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 MIN_PAGES, MIN_SHARE = 3, 0.2
 # Names of HTML elements and the words by which sites mark what is not article text.
@@ -188,7 +188,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     rows are pages of their own. Unclosed, crossed and cut-off markup is read as far as it goes. An empty
     table gives an empty result; extra columns are ignored.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url",
+    rows = bounded_batches(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url",
                         host_of(F.col("url")).alias("host"), "html")
     parsed = written(rows.mapInPandas(
         _parser, "row long, page_id long, url string, host string, blocks array<struct<text: string, around: array<long>>>"), "html-blocks")
