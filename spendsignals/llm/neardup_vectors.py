@@ -113,7 +113,7 @@ def _blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) ->
 
 def _interval_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """``label, dim, a, b`` (a <= b): pairs of numbered blocks that may hold a link."""
-    sides = [F.col("lo")[k].alias(f"l{k}") for k in range(AXES)] + [F.col("hi")[k].alias(f"h{k}") for k in range(AXES)]
+    sides = [F.get(F.col(c), F.lit(k)).alias(f"{c[0]}{k}") for c in ("lo", "hi") for k in range(AXES)]
     leaves = blocks.select("label", "dim", "number", *sides)
     last = leaves.agg(F.max("number")).first()[0]
     levels = 0
