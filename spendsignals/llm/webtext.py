@@ -192,12 +192,15 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
                         host_of(F.col("url")).alias("host"), "html")
     parsed = written(rows.mapInPandas(
         _parser, "row long, page_id long, url string, host string, blocks array<struct<text: string, around: array<long>>>"), "html-blocks")
+    # most articles hold no structural subtree: nothing can go, and the page needs no join
+    structured = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
+    plain, rest = parsed.where(~structured), parsed.where(structured)
     hosts = parsed.groupBy("host").agg(F.count("*").alias("_pages"))
-    subtrees = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.around")))).alias("subtree"))
+    subtrees = rest.select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.around")))).alias("subtree"))
     counted = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
     template = counted.join(hosts, "host").where(F.col("_n") >= min_share * F.col("_pages")).select("host", "subtree")
     found = subtrees.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_set("subtree").alias("_gone"))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("_gone", F.array().cast("array<long>"))))
-    return (parsed.join(found, "row", "left")
-            .withColumn("text", F.array_join(F.transform(left, lambda b: b["text"]), "\n\n"))
-            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+    kept = plain.select("page_id", "url", F.col("blocks.text").alias("_texts")).unionByName(
+        rest.join(found, "row", "left").select("page_id", "url", F.transform(left, lambda b: b["text"]).alias("_texts")))
+    return kept.select("page_id", "url", F.array_join("_texts", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
