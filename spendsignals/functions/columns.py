@@ -43,8 +43,8 @@ CONTEXT_WEIGHTS = (0.5, 0.3, 0.2)
 USER_TIERS = [(75, "Critical"), (55, "High"), (35, "Moderate")]
 USER_TIER_DEFAULT = "Low"
 TIER_ORDER = ["Critical", "High", "Moderate", "Low"]
-TXN_TIERS = [(75, "CRITICAL"), (60, "HIGH"), (40, "MODERATE")]
-TXN_TIER_DEFAULT = "LOW"
+TXN_TIERS = [(75, "Critical"), (60, "High"), (40, "Moderate")]
+TXN_TIER_DEFAULT = "Low"
 ALERT_LEVELS = [(0.75, "Immediate Alert"), (0.55, "Warning"), (0.35, "Watch")]
 ALERT_DEFAULT = "Safe"
 ALERT_ORDER = ["Immediate Alert", "Warning", "Watch", "Safe"]

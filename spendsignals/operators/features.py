@@ -76,12 +76,10 @@ def one_hot(df: DataFrame, col: str, levels) -> DataFrame:
     return df.withColumns({f"{col}_{lv}": C.flag(F.col(col) == lv) for lv in sorted(levels)}).drop(col)
 
 
-def category_levels(df: DataFrame, col: str = "merchant_category", limit: int = 10_000) -> list[str]:
-    """Levels of a categorical column from one distinct job (size checked before use)."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} levels; pass the levels explicitly")
-    return sorted(r[0] for r in rows)
+def category_levels(df: DataFrame, col: str = "merchant_category") -> list[str]:
+    """Levels of a categorical column from one distinct job. Each becomes a column of the result, so
+    their number is that of the output's schema; pass ``categories`` to ``engineer`` to skip the job."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def engineer(txn: DataFrame, categories=None, extra_window_specs=(),

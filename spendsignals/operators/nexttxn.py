@@ -37,7 +37,8 @@ def sequence_specs():
                   Shift(f"lag{k}_impulse_label", F.col("impulse_label"), k),
                   Shift(f"lag{k}_spend_zscore", F.col("spend_zscore"), k)]
     specs += [
-        Rolling("roll5_impulse_prob_mean", "avg", F.col("impulse_prob"), -5, -1),   # W8
+        Rolling("_r5_micros", "sum", F.round(F.col("impulse_prob") * 1_000_000).cast("long"), -5, -1),   # W8
+        Rolling("_r5_n", "count", F.col("impulse_prob"), -5, -1),
         Rolling("roll5_impulse_prob_max", "max", F.col("impulse_prob"), -5, -1),
         Rolling("roll5_impulse_rate", "avg", F.col("impulse_label"), -5, -1),
         Shift("_prev_ts", F.col("timestamp"), 1),                                  # W9
@@ -48,10 +49,13 @@ def sequence_specs():
 
 
 def next_txn_features(scored: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
-    """W6-W10 on every row (the newest row of a user has a NULL target)."""
+    """W6-W10 on every row (the newest row of a user has a NULL target). The rolling mean is taken in
+    whole millionths and rounded half up, so it does not hang on the last bit of a sum."""
     w = with_timeline(scored, sequence_specs(), rows_per_chunk=rows_per_chunk, hot=hot)
     gap = (C.naive_micros(F.col("timestamp")) - C.naive_micros(F.col("_prev_ts"))) / 3.6e9
-    return w.withColumn("hours_since_last_txn", F.coalesce(gap, F.lit(0.0))).drop("_prev_ts")
+    mean = F.expr("(2 * _r5_micros + _r5_n) div (2 * nullif(_r5_n, 0))") / 1_000_000
+    return w.withColumns({"hours_since_last_txn": F.coalesce(gap, F.lit(0.0)),
+                          "roll5_impulse_prob_mean": mean}).drop("_prev_ts", "_r5_micros", "_r5_n")
 
 
 def attach_user(df: DataFrame, profile: DataFrame, cols=None) -> DataFrame:

@@ -98,7 +98,9 @@ def with_ranks(df: DataFrame, outputs: dict[str, str], pct: bool = False, scale:
     ps = prefix_sums(long, "_k", {"_c": F.lit(1)}, by=["_m"], buckets=buckets)
     r = F.col("_c_before") + (F.col("_c") + 1) / 2.0
     if pct:
-        r = r / F.sum("_c").over(Window.partitionBy("_m")) * scale
+        totals = ps.groupBy("_m").agg(F.sum("_c").alias("_n"))      # one row per output
+        ps = ps.join(F.broadcast(totals), "_m")
+        r = r / F.col("_n") * scale
     ranks = ps.select("_m", "_k", r.alias("_r"))
     wide = (long.join(ranks, ["_m", "_k"], "left").groupBy(key).pivot("_m", names).agg(F.first("_r")))
     return df.join(wide, key, "left")

@@ -6,15 +6,15 @@ Spark window puts a whole user into one task, so a user with a third of the rows
 third of the job in one task. This module plans those windows in two shapes:
 
 * ordinary keys (fewer than ``rows_per_chunk`` rows): one window partition per key;
-* hot keys: the key's rows are cut into time-ordered chunks of about ``rows_per_chunk`` rows
-  (running counts over fine time buckets) and the window runs per ``(key, chunk)``. Bounded frames get the rows they need from the
-  neighbouring chunks as *ghost rows* (the last ``back`` rows before the chunk and the first
+* hot keys: the key's rows are range-partitioned by (time, id) into chunks of about
+  ``rows_per_chunk`` rows, pinned by a checkpoint, and the window runs per ``(key, chunk)``; rows of
+  equal time are split like any others. Bounded frames get the rows they need from the neighbouring chunks as *ghost rows* (the last ``back`` rows before the chunk and the first
   ``fwd`` rows after it); unbounded running sums and streaks get the totals of all earlier
   chunks as a broadcast offset. Ghost rows are dropped after the window.
 
 The hot-key table has at most ``N / rows_per_chunk`` rows, and the ghost and offset tables at most
-``(back + fwd + 1)`` rows per hot chunk, so every broadcast here has a size bound that does not
-grow with the number of ordinary keys; the bound is checked before broadcasting.
+``(back + fwd + 1)`` rows per hot chunk. Up to ``MAX_BROADCAST_ROWS`` rows such a table is broadcast; a
+larger one is joined by shuffle. Results are the same at every size.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import naive_micros
 from ..session import cut_lineage
 
 DEFAULT_ROWS_PER_CHUNK = 1 << 22
@@ -100,44 +99,27 @@ def _reach(specs) -> tuple[int, int]:
     return back, fwd
 
 
-def _hot_keys(df: DataFrame, key: str, ts: str, rows_per_chunk: int) -> DataFrame:
-    """Keys with more than ``rows_per_chunk`` rows, their chunk count and time range."""
-    stats = (
-        df.groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            naive_micros(F.min(F.col(ts))).alias("_t0"),
-            naive_micros(F.max(F.col(ts))).alias("_t1"),
-        )
-        .filter(F.col("_n") > rows_per_chunk)
-        .withColumn("_nchunks", F.ceil(F.col("_n") / F.lit(rows_per_chunk)).cast("long"))
-        .select(key, "_nchunks", "_t0", "_t1")
-    )
-    return stats
-
-
 @dataclass(frozen=True)
 class HotKeys:
-    """Result of hot-key detection: ``table`` is None when no key exceeds ``rows_per_chunk``.
+    """Result of hot-key detection: ``table`` (key, chunk count) is None when no key exceeds ``rows_per_chunk``.
 
     Any key set gives exact results (chunking only balances work), so one detection can serve
     every timeline over the same rows, e.g. transactions, engineered and scored tables."""
 
     table: DataFrame | None
-    rows_per_chunk: int
+    keys: int = 0
 
 
 def detect_hot_keys(df: DataFrame, key: str = "user_id", ts: str = "timestamp",
                     rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> HotKeys:
-    # one aggregate over (key, time) only: Catalyst prunes every other column of the input
-    hot = _hot_keys(df, key, ts, rows_per_chunk)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return HotKeys(None, rows_per_chunk)
-    if n_hot > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n_hot} hot keys exceed the broadcast bound; raise rows_per_chunk")
+    """Keys with more than ``rows_per_chunk`` rows and their chunk count."""
+    # one aggregate over the key only: Catalyst prunes every other column of the input
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk)
+           .select(key, F.ceil(F.col("_n") / F.lit(rows_per_chunk)).cast("long").alias("_nchunks")))
     # at most N / rows_per_chunk rows; written once so every branch sees the same chunking
-    return HotKeys(cut_lineage(hot), rows_per_chunk)
+    hot = cut_lineage(hot)
+    n_hot = hot.count()
+    return HotKeys(hot, n_hot) if n_hot else HotKeys(None)
 
 
 def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp", "transaction_id"),
@@ -149,7 +131,7 @@ def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp"
         hot = detect_hot_keys(df, key, order[0], rows_per_chunk)
     if hot.table is None:
         return _plain(df, specs, key, order)
-    return _chunked(df, specs, key, order, hot.table, hot.rows_per_chunk)
+    return _chunked(df, specs, key, order, hot.table, hot.keys)
 
 
 def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:
@@ -177,46 +159,34 @@ def _plain(df: DataFrame, specs, key: str, order) -> DataFrame:
     return out.drop("_rn") if "_rn" in out.columns else out
 
 
-FINE_PER_CHUNK = 16
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint up to the size bound; beyond it the join is an ordinary shuffle join."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def _chunk_map(hot_rows: DataFrame, key: str, rows_per_chunk: int):
-    """Count-balanced chunks for hot keys: rows are counted into fine equal-width time buckets
-    (FINE_PER_CHUNK per chunk); the running count over a key's buckets, divided by rows_per_chunk,
-    is the bucket's chunk. Monotone in time, so every window rule below stays exact. One row per
-    (hot key, fine bucket): written once, size-checked, then broadcast; None when too large."""
-    counts = hot_rows.groupBy(key, "_fb").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(key).orderBy("_fb")
-    before = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    m = counts.withColumn("_chunk", F.floor(before / F.lit(rows_per_chunk)).cast("long"))
-    m = m.withColumn("_maxchunk", F.max("_chunk").over(Window.partitionBy(key))).select(key, "_fb", "_chunk",
-                                                                                       "_maxchunk")
-    m = cut_lineage(m)
-    return m if m.count() <= MAX_BROADCAST_ROWS else None
+def _split_rows(df: DataFrame, key: str, order, hot: DataFrame, n_hot: int) -> tuple[DataFrame, DataFrame, int]:
+    """(all rows, rows of hot keys, chunks) with ``_hot, _chunk, _maxchunk``. Hot rows are range-partitioned by
+    (key, order): a partition is a chunk, so bursts and equal times are split like any other rows. They
+    are pinned by one reliable checkpoint that every later branch reads."""
+    chunks = hot.agg(F.sum("_nchunks")).first()[0]
+    joined = df.join(_small(hot, n_hot), key, "left")
+    cold = joined.where(F.col("_nchunks").isNull()).drop("_nchunks")
+    ranged = cut_lineage(joined.where(F.col("_nchunks").isNotNull()).drop("_nchunks")
+                         .repartitionByRange(chunks, key, *order)
+                         .withColumn("_chunk", F.spark_partition_id().cast("long")))
+    ends = ranged.groupBy(key).agg(F.min("_chunk").alias("_first"), F.max("_chunk").alias("_last"))
+    hot_rows = (ranged.join(_small(ends, n_hot), key)
+                .withColumns({"_hot": F.lit(True), "_maxchunk": F.col("_last") - F.col("_first"),
+                              "_chunk": F.col("_chunk") - F.col("_first")}).drop("_first", "_last"))
+    none = F.lit(0).cast("long")
+    base = cold.withColumns({"_hot": F.lit(False), "_maxchunk": none, "_chunk": none}).unionByName(hot_rows)
+    return base, hot_rows, chunks
 
 
-def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame, rows_per_chunk: int) -> DataFrame:
-    ts = order[0]
+def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame, n_hot: int) -> DataFrame:
     back, fwd = _reach(specs)
-    micros = naive_micros(F.col(ts))
-    span = F.col("_t1") - F.col("_t0") + F.lit(1)
-    nfine = F.col("_nchunks") * FINE_PER_CHUNK
     cols = df.columns
-    joined = (df.join(F.broadcast(hot), key, "left")
-              .withColumn("_hot", F.col("_nchunks").isNotNull())
-              .withColumn("_fb", F.when(F.col("_hot"), F.least(
-                  F.floor((micros - F.col("_t0")) * nfine / span).cast("long"), nfine - 1))))
-    cmap = _chunk_map(joined.where("_hot"), key, rows_per_chunk)
-    if cmap is not None:
-        tagged = (joined.join(F.broadcast(cmap), [key, "_fb"], "left")
-                  .withColumn("_chunk", F.coalesce(F.col("_chunk"), F.lit(0).cast("long"))))
-    else:
-        # too many fine buckets to broadcast: equal-width time chunks (exact, less balanced)
-        eq = F.least(F.floor((micros - F.col("_t0")) * F.col("_nchunks") / span).cast("long"), F.col("_nchunks") - 1)
-        tagged = joined.withColumns({"_chunk": F.when(F.col("_hot"), eq).otherwise(F.lit(0).cast("long")),
-                                     "_maxchunk": F.col("_nchunks") - 1})
-    base = tagged.drop("_t0", "_t1", "_fb")
-    hot_rows = base.filter("_hot")
+    base, hot_rows, chunks = _split_rows(df, key, order, hot, n_hot)
 
     # --- ghost rows: the last `back` rows before each hot chunk and the first `fwd` rows after it
     w_desc = Window.partitionBy(key, "_chunk").orderBy(*[F.col(c).desc() for c in order])
@@ -280,9 +250,9 @@ def _chunked(df: DataFrame, specs, key: str, order, hot: DataFrame, rows_per_chu
     for g in ghosts:
         union = union.unionByName(g.withColumn("_ghost", F.lit(1)))
     if offsets is not None:
-        union = union.join(F.broadcast(offsets), [key, "_chunk"], "left")
+        union = union.join(_small(offsets, chunks + n_hot), [key, "_chunk"], "left")
     if hstats is not None:
-        union = union.join(F.broadcast(hstats), key, "left")
+        union = union.join(_small(hstats, n_hot), key, "left")
 
     w = Window.partitionBy(key, "_chunk").orderBy(*order, "_ghost")
     whole = Window.partitionBy(key, "_chunk")

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import engineer
 from ..operators.risk import score_transactions, user_risk
 from ..operators.timeline import detect_hot_keys
+from ..session import cut_lineage
 from ..sources.transactions import transactions_from_events
 
 
@@ -41,11 +41,10 @@ class Ctx:
     @cached_property
     def scored(self) -> DataFrame:
         """Scored transactions. When several consumers read them (user aggregate and sequence
-        windows), they are persisted: the cached plan keeps its ``user_id`` partitioning, so both
-        consumers run without another shuffle; a lost block is recomputed from the short lineage
-        (scan, join, one user exchange)."""
+        windows), they are checkpointed into the shared folder: nothing stays in the session's cache,
+        which later queries over the same files would pick up."""
         s = score_transactions(self.eng)
-        return s.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else s
+        return cut_lineage(s) if self.shared else s
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -80,8 +79,12 @@ class Ctx:
         one that has a next transaction, as the reference did (SURVEY 8.2)."""
         from ..operators.nexttxn import at_risk_users, latest_per_user
 
-        src = self.next_features if latest == "newest" else self.next_features.where(F.col("next_impulse").isNotNull())
-        rows = latest_per_user(src).withColumn("next_impulse_prob", F.col("impulse_prob"))
+        if latest == "newest":      # the row without a next one, already marked by the window
+            rows = self.next_features.where(F.col("next_impulse").isNull())
+        else:
+            rows = latest_per_user(self.next_features.where(F.col("next_impulse").isNotNull())
+                                   .select("user_id", "timestamp", "transaction_id", "impulse_prob"))
+        rows = rows.withColumn("next_impulse_prob", F.col("impulse_prob"))
         return at_risk_users(rows, self.segmented)
 
     @cached_property

@@ -42,7 +42,9 @@ _W = 'PARTITION BY user_id ORDER BY "timestamp", transaction_id'
 NEXT_CTE = f""", nx0 AS (SELECT *, row_number() OVER ({_W}) AS rn FROM scored),
 nxf AS (SELECT *,
   {", ".join(f"lag({c}, {k}) OVER ({_W}) AS lag{k}_{c}" for k in (1, 2, 3) for c in ("impulse_prob", "impulse_label", "spend_zscore"))},
-  avg(impulse_prob) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS roll5_impulse_prob_mean,
+  CAST((2 * sum(CAST(round(impulse_prob * 1000000) AS BIGINT)) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+        + count(impulse_prob) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+       // (2 * nullif(count(impulse_prob) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) / 1000000 AS roll5_impulse_prob_mean,
   max(impulse_prob) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS roll5_impulse_prob_max,
   avg(impulse_label) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS roll5_impulse_rate,
   coalesce((epoch_us("timestamp") - epoch_us(lag("timestamp", 1) OVER ({_W}))) / 3.6e9, 0.0) AS hours_since_last_txn,

@@ -22,8 +22,8 @@ feat AS (
 tiers AS (
  SELECT *, impulse_prob AS prob, CAST(round(CAST(impulse_prob AS DECIMAL(20,10)), 3) AS DOUBLE) AS prob_rounded,
   CAST(round(CAST(impulse_prob AS DECIMAL(20,10)) * 100, 1) AS DOUBLE) AS risk_score,
-  CASE WHEN impulse_prob * 100 > 75 THEN 'CRITICAL' WHEN impulse_prob * 100 > 60 THEN 'HIGH'
-       WHEN impulse_prob * 100 > 40 THEN 'MODERATE' ELSE 'LOW' END AS tier FROM feat)
+  CASE WHEN impulse_prob * 100 > 75 THEN 'Critical' WHEN impulse_prob * 100 > 60 THEN 'High'
+       WHEN impulse_prob * 100 > 40 THEN 'Moderate' ELSE 'Low' END AS tier FROM feat)
 """
 _FEATS = ST.REQUEST_FEATURES
 _OUT = ["transaction_id", "user_id", "balance_after", "recent_impulse", "total_txn"] + _FEATS + \

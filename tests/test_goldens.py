@@ -73,7 +73,7 @@ def test_tier_edges(spark):
     df = spark.createDataFrame([(s,) for s in [34.9, 35.0, 55.0, 75.0]], "s double")
     assert [r[0] for r in df.select(C.user_tier(F.col("s"))).collect()] == ["Low", "Moderate", "High", "Critical"]
     df = spark.createDataFrame([(s,) for s in [40.0, 60.0, 75.0, 75.1]], "s double")
-    assert [r[0] for r in df.select(C.txn_tier(F.col("s"))).collect()] == ["LOW", "MODERATE", "HIGH", "CRITICAL"]
+    assert [r[0] for r in df.select(C.txn_tier(F.col("s"))).collect()] == ["Low", "Moderate", "High", "Critical"]
 
 
 def test_guarded_division(spark):

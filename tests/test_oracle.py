@@ -1,6 +1,6 @@
 """Registered queries against their DuckDB oracles (the driver's correctness gate, run locally).
 
-By default a representative subset runs at sf0.001; SPENDSIGNALS_FULL_ORACLE=1 runs every query at sf0.01.
+By default a representative subset runs at sf0.01; SPENDSIGNALS_FULL_ORACLE=1 runs every query there.
 """
 
 import os
@@ -11,15 +11,15 @@ import pytest
 
 from spendsignals.plans.catalog import oracles, queries
 
-from conftest import SF_ORACLE, SF_SMALL
+from conftest import SF_ORACLE
 
 FULL = os.environ.get("SPENDSIGNALS_FULL_ORACLE") == "1"
-SF = SF_ORACLE if FULL else SF_SMALL
+SF = SF_ORACLE
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SUBSET = ["s01_read_transactions", "p10_engineered_table", "a06_user_risk_profile", "a08_tier_summary",
           "t05_significance_table", "t03_correlation_table", "a18_histogram", "a19_time_quantile",
           "x03_roc_auc", "x04_average_precision", "x06_threshold_sweep", "x11_reliability",
-          "m16_next_txn_dataset", "m15_block_folds", "m17_at_risk_users", "p26_full_nudge", "a13_tier_alert_matrix"]
+          "w08_rolling5", "m16_next_txn_dataset", "m15_block_folds", "p19_txn_tier", "m17_at_risk_users", "p26_full_nudge", "a13_tier_alert_matrix"]
 NAMES = sorted(oracles()) if FULL else SUBSET
 
 
@@ -51,8 +51,9 @@ def test_query_matches_oracle(spark, duck, name):
     a, b = _norm(sp), _norm(du)
     for c in a.columns:
         if a[c].dtype.kind == "f":
+            # both sides are rounded to six places; what is left is the representation of the result
             d = (a[c] - b[c]).abs()
-            assert ((d <= 1.5e-6) | (a[c].isna() & b[c].isna())).all(), c
+            assert ((d <= 1e-9 * a[c].abs().clip(lower=1)) | (a[c].isna() & b[c].isna())).all(), c
         else:
             assert (a[c] == b[c]).all(), c
 
@@ -64,4 +65,5 @@ def test_entry_smoke(spark):
     spec.loader.exec_module(mod)
     df = mod.entry(spark)
     assert df.count() > 0
-    assert set(mod.queries()) == set(mod.oracle_sql()) | (set(mod.queries()) - set(mod.oracle_sql()))
+    assert set(mod.oracle_sql()) < set(mod.queries())
+    assert all(callable(f) for f in mod.queries().values()) and all(isinstance(q, str) for q in mod.oracle_sql().values())

@@ -30,5 +30,6 @@ def test_user_aggregate_reuses_window_partitioning(spark):
 
 def test_filter_pushed_to_scan_without_shuffle(spark):
     plan = _executed(queries()["f01_filter_eq"](spark, SF_SMALL))
-    assert "PushedFilters" in plan
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan)[1]
+    assert pushed, plan
     assert "Exchange hashpartitioning" not in plan

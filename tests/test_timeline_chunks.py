@@ -29,7 +29,7 @@ def test_chunked_equals_plain(spark):
     assert _rows(n1) == _rows(n2)
 
 
-def test_equal_width_fallback_and_balance(spark, monkeypatch):
+def _burst(spark):
     import datetime as dt
 
     from pyspark.sql import functions as F
@@ -37,29 +37,29 @@ def test_equal_width_fallback_and_balance(spark, monkeypatch):
     from spendsignals.operators import timeline as TL
 
     t0 = dt.datetime(2024, 1, 1)
-    # one bursty user: 900 rows in the first two days, 100 spread over a month; one light user
-    rows = [(i, 1, t0 + dt.timedelta(minutes=3 * i), float(i % 7), i % 2) for i in range(900)]
+    # one user holds nearly all rows, 900 of them at the very same time; one light user
+    rows = [(i, 1, t0, float(i % 7), i % 2) for i in range(900)]
     rows += [(900 + i, 1, t0 + dt.timedelta(hours=7 * i), float(i % 5), 1) for i in range(100)]
     rows += [(2000 + i, 2, t0 + dt.timedelta(minutes=i), 1.0, 0) for i in range(10)]
     df = spark.createDataFrame(rows, "transaction_id long, user_id long, timestamp timestamp_ntz, x double, y int")
-    specs = [TL.Rolling("m3", "avg", F.col("x"), -3, -1), TL.Shift("nxt", F.col("y"), -1),
-             TL.Running("cum", F.col("x")), TL.Streak("st", F.col("y"))]
+    specs = [TL.Rolling("m3", "avg", F.col("x"), -3, -1), TL.Shift("nxt", F.col("y"), -1), TL.Shift("l2", F.col("x"), 2),
+             TL.Running("cum", F.col("x")), TL.Streak("st", F.col("y")), TL.KeyStat("mean", "avg", F.col("x"))]
+    return TL, df, specs
+
+
+def test_burst_of_equal_times_is_split(spark, monkeypatch):
+    TL, df, specs = _burst(spark)
 
     def rows_of(d):
         return [tuple(round(v, 9) if isinstance(v, float) else v for v in r)
-                for r in d.orderBy("transaction_id").select("transaction_id", "m3", "nxt", "cum", "st").collect()]
+                for r in d.orderBy("transaction_id").select("transaction_id", *[s.name for s in specs]).collect()]
 
     plain = rows_of(TL.with_timeline(df, specs, rows_per_chunk=100_000))
-    assert rows_of(TL.with_timeline(df, specs, rows_per_chunk=100)) == plain
-    # count-balanced chunks: the burst is split, no chunk far above the target size
-    hot = TL.detect_hot_keys(df, rows_per_chunk=100)
-    joined = df.join(hot.table, "user_id").withColumn(
-        "_fb", F.least(F.floor((TL.naive_micros(F.col("timestamp")) - F.col("_t0")) * F.col("_nchunks") * TL.FINE_PER_CHUNK
-                               / (F.col("_t1") - F.col("_t0") + 1)).cast("long"), F.col("_nchunks") * TL.FINE_PER_CHUNK - 1))
-    cmap = TL._chunk_map(joined, "user_id", 100)
-    sizes = [r[1] for r in joined.join(cmap, ["user_id", "_fb"]).groupBy("_chunk").count().collect()]
-    assert max(sizes) < 0.7 * 1000        # equal-width time chunks would put 900 rows in one chunk
-    # equal-width fallback when the bucket map is too large to broadcast
+    assert rows_of(TL.with_timeline(df, specs, rows_per_chunk=50)) == plain
+    hot = TL.detect_hot_keys(df, rows_per_chunk=50)
+    _, rows, chunks = TL._split_rows(df, "user_id", ("timestamp", "transaction_id"), hot.table, hot.keys)
+    sizes = [r[1] for r in rows.groupBy("_chunk").count().collect()]
+    assert chunks == 20 and max(sizes) < 200
+    # the same without broadcasts
     monkeypatch.setattr(TL, "MAX_BROADCAST_ROWS", 0)
-    hot0 = TL.HotKeys(hot.table, 100)
-    assert rows_of(TL._chunked(df, specs, "user_id", ("timestamp", "transaction_id"), hot0.table, 100)) == plain
+    assert rows_of(TL.with_timeline(df, specs, rows_per_chunk=50)) == plain
