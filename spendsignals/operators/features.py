@@ -13,7 +13,8 @@ from .timeline import DEFAULT_ROWS_PER_CHUNK, KeyStat, Rolling, Running, with_ti
 
 # Columns that are never model features.
 EXCLUDE = ["transaction_id", "user_id", "timestamp", "impulse_label", "balance_before_approx",
-           "user_mean_spend", "user_std_spend", "balance_after", "transaction_amount", "monthly_salary"]
+           "user_mean_spend", "user_std_spend", "balance_after", "transaction_amount", "monthly_salary",
+           "impulse_prob"]
 WINDOWS = (3, 7)
 
 

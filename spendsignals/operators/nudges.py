@@ -145,9 +145,11 @@ def report_kpis(profile: DataFrame, at_risk: DataFrame, scored: DataFrame, metri
     """One-row report figures (all computed, none hard-coded)."""
     u = profile.agg(F.count(F.lit(1)).alias("users"),
                     F.count_if(F.col("risk_tier") == "Critical").alias("critical_users"))
-    a = at_risk.agg(F.count_if(F.col("alert_level") != "Safe").alias("alerts"))
+    level = F.col("alert_level")
+    a = at_risk.agg(F.count_if(level != "Safe").alias("alerts"), *[
+        F.count_if(level == name).alias(name.lower().replace(" ", "_") + "_users") for name in C.ALERT_ORDER])
     t = scored.agg(F.count(F.lit(1)).alias("transactions"))
-    m = metrics.agg(F.max("roc_auc").alias("best_roc_auc"), F.max("f1").alias("best_f1"))
+    m = metrics.agg(F.max("roc_auc").alias("best_roc_auc"), F.max("f1").alias("best_f1"), F.max("mcc").alias("best_mcc"))
     return u.crossJoin(a).crossJoin(t).crossJoin(m)
 
 

@@ -90,10 +90,10 @@ def positive_weight(df: DataFrame, label: str = "impulse_label", out: str = "w")
 
 
 # ------------------------------------------------------------------------------------------ estimators
-def logistic(n_rows: int, C: float = 0.1, label: str = "impulse_label") -> LogisticRegression:
+def logistic(C: float = 0.1, label: str = "impulse_label") -> LogisticRegression:
     """M4: sklearn's C * sum(w * loss) + |b|^2 / 2 equals MLlib's mean weighted loss + regParam |b|^2 / 2
-    with regParam = 1 / (C * sum(w)); balanced weights sum to n."""
-    return LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="w", regParam=1.0 / (C * n_rows),
+    with regParam = 1 / (C * sum(w)); balanced weights sum to n, by which ``fit`` divides."""
+    return LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="w", regParam=1.0 / C,
                               elasticNetParam=0.0, standardization=False, maxIter=1000)
 
 
@@ -115,15 +115,21 @@ def boosted(params: dict, label: str = "impulse_label") -> GBTClassifier:
                          minInstancesPerNode=int(params.get("min_child_weight", 1)))
 
 
-def ml_input(df: DataFrame) -> DataFrame:
-    """Iterative fits pay per-task overhead on every iteration: at most one partition per core
-    (``coalesce`` never shuffles and never adds partitions)."""
-    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+def with_class_weights(df: DataFrame, estimator) -> DataFrame:
+    """Class weights of the rows being fitted: positives weighted for boosted trees, balanced otherwise."""
+    if not estimator.isSet(estimator.weightCol):
+        return df
+    add = positive_weight if isinstance(estimator, GBTClassifier) else balanced_weights
+    return add(df, estimator.getLabelCol(), estimator.getWeightCol())
 
 
 def fit(df: DataFrame, feats, estimator, scale: bool = False) -> PipelineModel:
+    """Fit on ``df`` with class weights (and, for the logistic model, the strength of its penalty) taken
+    from these rows alone."""
+    if isinstance(estimator, LogisticRegression):
+        estimator = estimator.copy({estimator.regParam: estimator.getRegParam() / max(1, df.count())})
     stages = [assembler(feats)] + ([scaler()] if scale else []) + [estimator]
-    return Pipeline(stages=stages).fit(ml_input(df))
+    return Pipeline(stages=stages).fit(with_class_weights(df, estimator))
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
@@ -190,7 +196,7 @@ def search(df: DataFrame, feats, make, space: dict, n_trials: int = 40, folds: i
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
                         parallelism=parallelism, seed=SEED)
-    model = cv.fit(ml_input(df))
+    model = cv.fit(with_class_weights(df, est))     # folds are stratified: their class shares are those of df
     best = int(np.argmax(model.avgMetrics))
     return cands[best], model.avgMetrics[best], model.bestModel, list(enumerate(model.avgMetrics))
 
@@ -264,17 +270,16 @@ def load_model(path: str) -> PipelineModel:
 
 
 # ------------------------------------------------------------------------------------------ segmentation
-def kmeans_sweep(df: DataFrame, feats, ks=range(2, 11), seeds=(SEED,)) -> tuple[DataFrame, dict]:
-    """For each k the lowest-cost model over the seeds, its cost and silhouette; best k by
+def kmeans_sweep(df: DataFrame, feats, ks=range(2, 11), restarts: int = 10) -> tuple[DataFrame, dict]:
+    """For each k the lowest-cost model over ``restarts`` seeds, its cost and silhouette; best k by
     silhouette, elbow from the second difference of the costs (index + 1)."""
-    df = ml_input(df)
     prep = Pipeline(stages=[assembler(feats), scaler()]).fit(df)
     x = prep.transform(df).cache()
     ev = ClusteringEvaluator(featuresCol="scaled", metricName="silhouette", distanceMeasure="squaredEuclidean")
     rows, models = [], {}
     for k in ks:
         best = None
-        for s in seeds:
+        for s in range(SEED, SEED + restarts):
             m = KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster").fit(x)
             if best is None or m.summary.trainingCost < best.summary.trainingCost:
                 best = m
@@ -290,6 +295,14 @@ def kmeans_sweep(df: DataFrame, feats, ks=range(2, 11), seeds=(SEED,)) -> tuple[
     return table, {"best_k": best_k, "elbow_k": elbow, "prep": prep, "models": models}
 
 
+def final_kmeans(df: DataFrame, feats, prep: PipelineModel, k: int, restarts: int = 20):
+    """The lowest-cost model of ``restarts`` seeds at the chosen k."""
+    x = prep.transform(df).cache()
+    fits = [KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster").fit(x) for s in range(SEED, SEED + restarts)]
+    x.unpersist()
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
 def assign_clusters(df: DataFrame, prep: PipelineModel, km) -> DataFrame:
     """M11."""
     return km.transform(prep.transform(df)).drop("features", "scaled")
@@ -297,15 +310,15 @@ def assign_clusters(df: DataFrame, prep: PipelineModel, km) -> DataFrame:
 
 def pca_2d(df: DataFrame, feats) -> tuple[DataFrame, list[float]]:
     """First two principal components of the standardised features and explained variance."""
-    pipe = Pipeline(stages=[assembler(feats), scaler(), PCA(k=2, inputCol="scaled", outputCol="pcs")]).fit(ml_input(df))
+    pipe = Pipeline(stages=[assembler(feats), scaler(), PCA(k=2, inputCol="scaled", outputCol="pcs")]).fit(df)
     out = pipe.transform(df).withColumn("_a", vector_to_array("pcs")).withColumns(
         {"pc1": F.col("_a")[0], "pc2": F.col("_a")[1]}).drop("_a", "pcs", "features", "scaled")
     return out, [float(v) for v in pipe.stages[-1].explainedVariance.toArray()]
 
 
-def next_txn_model(label: str = "next_impulse") -> GBTClassifier:
+def next_txn_model(label: str = "next_impulse", trees: int = 200) -> GBTClassifier:
     """200 trees, depth 4, rate 0.05, subsample 0.8, leaf 10."""
-    return GBTClassifier(featuresCol="scaled", labelCol=label, maxIter=200, maxDepth=4, stepSize=0.05,
+    return GBTClassifier(featuresCol="scaled", labelCol=label, maxIter=trees, maxDepth=4, stepSize=0.05,
                          subsamplingRate=0.8, minInstancesPerNode=10, seed=SEED)
 
 

@@ -102,7 +102,7 @@ def p10(spark, sf):
 
 
 _FEATS = [c for c in [
-    "hour", "is_weekend", "impulse_prob", "is_late_night", "is_evening", "spend_to_salary_ratio",
+    "hour", "is_weekend", "is_late_night", "is_evening", "spend_to_salary_ratio",
     "balance_to_salary_ratio", "balance_stress"] + ROLL + ["spend_zscore", "is_spend_burst", "txn_count_last3",
                                                            "txn_count_last7", "category_impulse_risk",
                                                            "weekend_x_evening", "weekend_x_latenight",

@@ -76,22 +76,30 @@ def f02(spark, sf):
     return I.next_dataset(spark, sf).select("transaction_id", "user_id", "next_impulse")
 
 
-_KPI_SQL = nsql("""SELECT users, critical_users, alerts, transactions, best_roc_auc FROM
+_KPI_SQL = nsql("""SELECT users, critical_users, alerts, immediate_alert_users, warning_users, watch_users, safe_users, transactions, best_roc_auc,
+ 2 * tp / (2 * tp + fp + fn) AS best_f1,
+ (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) AS best_mcc FROM
  (SELECT count(*) AS users, count(*) FILTER (WHERE risk_tier = 'Critical') AS critical_users FROM seg),
- (SELECT count(*) FILTER (WHERE alert_level <> 'Safe') AS alerts FROM atrisk),
+ (SELECT count(*) FILTER (WHERE alert_level <> 'Safe') AS alerts,
+         count(*) FILTER (WHERE alert_level = 'Immediate Alert') AS immediate_alert_users,
+         count(*) FILTER (WHERE alert_level = 'Warning') AS warning_users, count(*) FILTER (WHERE alert_level = 'Watch') AS watch_users,
+         count(*) FILTER (WHERE alert_level = 'Safe') AS safe_users FROM atrisk),
+ (SELECT CAST(count(*) FILTER (WHERE impulse_label = 1 AND impulse_prob >= 0.7) AS DOUBLE) AS tp,
+         CAST(count(*) FILTER (WHERE impulse_label = 0 AND impulse_prob >= 0.7) AS DOUBLE) AS fp,
+         CAST(count(*) FILTER (WHERE impulse_label = 1 AND impulse_prob < 0.7) AS DOUBLE) AS fn,
+         CAST(count(*) FILTER (WHERE impulse_label = 0 AND impulse_prob < 0.7) AS DOUBLE) AS tn FROM scored),
  (SELECT count(*) AS transactions FROM scored),
  (SELECT sum(CASE WHEN impulse_label = 1 THEN r ELSE 0 END) AS rp, count(*) FILTER (WHERE impulse_label = 1) AS P,
          count(*) FILTER (WHERE impulse_label = 0) AS N,
          (rp - P * (P + 1) / 2.0) / (P * N) AS best_roc_auc
   FROM (SELECT impulse_label, rank() OVER (ORDER BY impulse_prob) + (count(*) OVER (PARTITION BY impulse_prob) - 1) / 2.0 AS r
-        FROM scored))""", ["best_roc_auc"])
+        FROM scored))""", ["best_roc_auc", "best_f1", "best_mcc"])
 
 
 @register("a22_report_kpis", _KPI_SQL)
 def a22(spark, sf):
-    """One-row report figures, all computed (users, critical users, alerts, transactions, best AUC)."""
+    """One-row report figures, all computed: users, critical users, users per alert, transactions, best AUC, F1, MCC."""
     c = I.Ctx(spark, sf, shared=True)
     s = c.scored.select("transaction_id", F.lit("deterministic").alias("model"),
-                        F.col("impulse_label").alias("label"), F.col("impulse_prob").alias("prob"))
-    k = NU.report_kpis(c.segmented, c.at_risk, c.scored, X.roc_auc(s).withColumn("f1", F.lit(None).cast("double")))
-    return k.select("users", "critical_users", "alerts", "transactions", "best_roc_auc")
+                        F.col("impulse_label").alias("label"), F.col("impulse_prob").alias("prob"), F.col("impulse_pred").alias("pred"))
+    return NU.report_kpis(c.segmented, c.at_risk, c.scored, X.compare_models(s))

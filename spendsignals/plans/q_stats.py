@@ -64,6 +64,12 @@ def t01(spark, sf):
     return S.t_test(I.txn(spark, sf), "impulse_label", "is_weekend")
 
 
+@register("t01_t_test_p")
+def t01p(spark, sf):
+    """T1 with its two-sided p-value (t distribution on the one-row result)."""
+    return S.with_t_p(S.t_test(I.txn(spark, sf), "impulse_label", "is_weekend"))
+
+
 _MW_COLS = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in S.SIGNIFICANCE_FEATURES)
 MW_CTE = f""", mw_long AS (
  SELECT impulse_label, feature, value FROM (SELECT impulse_label, {_MW_COLS} FROM eng)
@@ -99,6 +105,18 @@ def t02(spark, sf):
     return S.mann_whitney(I.eng(spark, sf), S.SIGNIFICANCE_FEATURES)
 
 
+@register("t02_mann_whitney_p")
+def t02p(spark, sf):
+    """T2 with two-sided asymptotic p-values (one row per feature)."""
+    return S.with_z_p(S.mann_whitney(I.eng(spark, sf), S.SIGNIFICANCE_FEATURES))
+
+
+@register("t05_significance_p")
+def t05p(spark, sf):
+    """T5 with the p-value beside the flag."""
+    return S.with_z_p(S.significance_table(I.eng(spark, sf)))
+
+
 _T5 = ["mean_non_impulse", "mean_impulse", "diff_pct", "u_stat", "z"]
 
 

@@ -17,8 +17,7 @@ LABEL = "impulse_label"
 def _train(spark):
     e = I.eng(spark, SF_SMALL)
     feats = [c for c in feature_columns(e) if c != "impulse_prob"]
-    d = M.balanced_weights(e, LABEL)
-    return d, feats
+    return e, feats
 
 
 def test_split_is_stratified_and_exact(spark):
@@ -32,7 +31,7 @@ def test_split_is_stratified_and_exact(spark):
 
 def test_tree_attribution_adds_up_to_margin(spark):
     d, feats = _train(spark)
-    m = M.fit(M.positive_weight(d.drop("w"), LABEL), feats, M.boosted({"n_estimators": 8, "max_depth": 3}))
+    m = M.fit(d, feats, M.boosted({"n_estimators": 8, "max_depth": 3}))
     attr = M.tree_attribution(m, d, feats)
     total = attr.groupBy("transaction_id").agg(F.sum("value").alias("s"))
     mg = M.margin(m, d)
@@ -42,7 +41,7 @@ def test_tree_attribution_adds_up_to_margin(spark):
 
 def test_logistic_attribution_adds_up_and_probabilities_in_range(spark):
     d, feats = _train(spark)
-    m = M.fit(d, feats, M.logistic(d.count()), scale=True)
+    m = M.fit(d, feats, M.logistic(), scale=True)
     sc = M.score(m, d)
     lo, hi = sc.agg(F.min("prob"), F.max("prob")).first()
     assert 0.0 <= lo <= hi <= 1.0
@@ -56,7 +55,7 @@ def test_logistic_attribution_adds_up_and_probabilities_in_range(spark):
 def test_isotonic_is_monotone_and_save_load_equal(spark):
     d, feats = _train(spark)
     d = M.stratified_folds(d, LABEL, k=3)
-    pairs = M.fit_calibrated(d, feats, lambda: M.logistic(d.count()), folds=3, label=LABEL, scale=True)
+    pairs = M.fit_calibrated(d, feats, M.logistic, folds=3, label=LABEL, scale=True)
     m, iso = pairs[0]
     raw = M.score(m, d, "raw_prob")
     cal = iso.transform(raw).select("raw_prob", "cal_prob").toPandas().sort_values("raw_prob")

@@ -19,7 +19,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SUBSET = ["s01_read_transactions", "p10_engineered_table", "a06_user_risk_profile", "a08_tier_summary",
           "t05_significance_table", "t03_correlation_table", "a18_histogram", "a19_time_quantile",
           "x03_roc_auc", "x04_average_precision", "x06_threshold_sweep", "x11_reliability",
-          "w08_rolling5", "m16_next_txn_dataset", "m15_block_folds", "p19_txn_tier", "m17_at_risk_users", "p26_full_nudge", "a13_tier_alert_matrix"]
+          "w08_rolling5", "a22_report_kpis", "e05_explain_cases", "p11_feature_matrix", "m16_next_txn_dataset", "m15_block_folds", "p19_txn_tier", "m17_at_risk_users", "p26_full_nudge", "a13_tier_alert_matrix"]
 NAMES = sorted(oracles()) if FULL else SUBSET
 
 
