@@ -8,7 +8,7 @@ bucketed count plus a suffix sum instead of one pass per threshold.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import prefix_sums
@@ -157,6 +157,18 @@ def curve_points(scores: DataFrame) -> DataFrame:
         _div(tp, tp + fp).alias("precision"))
 
 
+def _thresholds_at_most(thresholds, p: Column) -> Column:
+    """How many of the sorted thresholds are <= p (NULL: none). Evenly spaced ones are found by arithmetic and
+    one exact comparison, which stays in generated code; others by a filter over the list."""
+    t, k = [float(x) for x in thresholds], len(thresholds)
+    arr = F.array(*[F.lit(x) for x in t])
+    step = (t[-1] - t[0]) / (k - 1) if k > 1 else 0.0
+    if step <= 0 or any(abs(x - (t[0] + i * step)) > step / 8 for i, x in enumerate(t)):
+        return F.size(F.filter(arr, lambda x: x <= p))
+    near = F.least(F.greatest(F.floor((p - t[0]) / step + 0.5), F.lit(0)), F.lit(k - 1)).cast("int")
+    return F.coalesce(near + (F.element_at(arr, near + 1) <= p).cast("int"), F.lit(0))
+
+
 def threshold_sweep(scores: DataFrame, thresholds=None) -> DataFrame:
     """X6 + X7: confusion counts, precision, recall, F1 at every threshold (p >= t), first best F1
     flagged. One count per (model, k = number of thresholds <= p); on that small table suffix sums
@@ -165,7 +177,7 @@ def threshold_sweep(scores: DataFrame, thresholds=None) -> DataFrame:
     thresholds = thresholds or SWEEP_THRESHOLDS
     K = len(thresholds)
     arr = F.array(*[F.lit(float(t)) for t in thresholds])
-    counted = (scores.withColumn("_k", F.size(F.filter(arr, lambda t: t <= F.col("prob"))))
+    counted = (scores.withColumn("_k", _thresholds_at_most(thresholds, F.col("prob")))
                .groupBy(*M, "_k").agg(F.count_if(F.col("label") == 1).alias("_pos"),
                                       F.count_if(F.col("label") == 0).alias("_neg")))
     w = Window.partitionBy(*M).orderBy("_k")

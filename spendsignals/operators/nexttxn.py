@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import cut_lineage
 from .ranks import prefix_sums
-from .stats import exact_quantile_micros
+from .stats import drop_missing, exact_quantile_micros, split_by_time
 from .timeline import DEFAULT_ROWS_PER_CHUNK, Rolling, Shift, Streak, with_timeline
 
 # The user columns joined onto transactions and the next-transaction model features.
@@ -64,10 +64,14 @@ def attach_user(df: DataFrame, profile: DataFrame, cols=None) -> DataFrame:
     return df.join(profile.select("user_id", *cols), "user_id", "left")
 
 
-def next_txn_dataset(scored: DataFrame, profile: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+def labelled(features: DataFrame) -> DataFrame:
+    """rows that have a next transaction."""
+    return drop_missing(features, ["next_impulse"]).withColumn("next_impulse", F.col("next_impulse").cast("int"))
+
+
+def next_txn_dataset(features: DataFrame, profile: DataFrame) -> DataFrame:
     """Sequence features + user columns, rows without a next transaction dropped (F2)."""
-    feats = attach_user(next_txn_features(scored, rows_per_chunk), profile)
-    return feats.na.drop(subset=["next_impulse"]).withColumn("next_impulse", F.col("next_impulse").cast("int"))
+    return labelled(attach_user(features, profile))
 
 
 def time_split(df: DataFrame, q: float = 0.8, ts: str = "timestamp") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,16 +82,14 @@ def time_split(df: DataFrame, q: float = 0.8, ts: str = "timestamp") -> tuple[Da
     cut = exact_quantile_micros(df, ts, q).select(
         C.from_naive_micros(F.floor("quantile_micros")).alias("cutoff"),
         "quantile_micros")
-    micros = C.naive_micros(F.col(ts))
-    tagged = df.crossJoin(F.broadcast(cut))
-    train = tagged.where(micros <= F.col("quantile_micros")).drop("cutoff", "quantile_micros")
-    test = tagged.where(micros > F.col("quantile_micros")).drop("cutoff", "quantile_micros")
+    value = cut.first()      # one number, then a plain filter
+    train, test = split_by_time(df, F.lit(value["quantile_micros"] if value else None).cast("double"), C.naive_micros(F.col(ts)))
     return train, test, cut
 
 
 def block_folds(df: DataFrame, label: str = "next_impulse", n_splits: int = 5,
                 order=("user_id", "timestamp", "transaction_id"),
-                rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+                rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
     """Unshuffled stratified k-fold assignment (``fold`` column). Within each class, rows in
     table order fill fold 0, then fold 1, ...; fold sizes per class follow the round-robin
     allocation of the sorted labels. The position of a row inside its class is the number of
@@ -101,7 +103,7 @@ def block_folds(df: DataFrame, label: str = "next_impulse", n_splits: int = 5,
     ps = prefix_sums(per_user, key, {"c0": F.col("c0"), "c1": F.col("c1")})
     tot = ps.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
     inuser = with_timeline(df, [Running("_r0", (y == 0).cast("long")), Running("_r1", (y == 1).cast("long"))],
-                           key=key, order=(ts, tid), rows_per_chunk=rows_per_chunk)
+                           key=key, order=(ts, tid), rows_per_chunk=rows_per_chunk, hot=hot)
     j = (inuser.join(ps.select(key, "c0_before", "c1_before"), key)
          .crossJoin(F.broadcast(tot)))
     pos = F.when(y == 0, F.col("c0_before") + F.col("_r0")).otherwise(F.col("c1_before") + F.col("_r1"))

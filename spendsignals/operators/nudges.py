@@ -92,7 +92,7 @@ def with_nudges(at_risk_full: DataFrame) -> DataFrame:
     msg = F.concat(F.lit("["), F.col("urgency"), F.lit("] "), F.col("nudge_title"), F.lit("\n"),
                    F.col("nudge_message"), F.lit("\n"), F.col("savings_line"), F.lit("\nWhat to do: "),
                    F.col("nudge_tip"))
-    return df.withColumn("full_nudge", F.btrim(msg))
+    return df.withColumn("full_nudge", F.btrim(msg, F.lit(" \n\t\r")))
 
 
 def alert_summary(at_risk: DataFrame) -> DataFrame:

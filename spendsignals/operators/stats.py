@@ -286,6 +286,7 @@ def drop_missing(df: DataFrame, cols) -> DataFrame:
     return df.na.drop(subset=list(cols))
 
 
-def split_by_time(df: DataFrame, cutoff: Column, ts: str = "timestamp"):
-    """rows at or before the cutoff, rows after it."""
-    return df.where(F.col(ts) <= cutoff), df.where(F.col(ts) > cutoff)
+def split_by_time(df: DataFrame, cutoff: Column, ts: Column | str = "timestamp"):
+    """rows at or before the cutoff, rows after it. A literal cutoff reaches the scan."""
+    at = F.col(ts) if isinstance(ts, str) else ts
+    return df.where(at <= cutoff), df.where(at > cutoff)

@@ -116,10 +116,9 @@ def detect_hot_keys(df: DataFrame, key: str = "user_id", ts: str = "timestamp",
     # one aggregate over the key only: Catalyst prunes every other column of the input
     hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk)
            .select(key, F.ceil(F.col("_n") / F.lit(rows_per_chunk)).cast("long").alias("_nchunks")))
-    # at most N / rows_per_chunk rows; written once so every branch sees the same chunking
-    hot = cut_lineage(hot)
     n_hot = hot.count()
-    return HotKeys(hot, n_hot) if n_hot else HotKeys(None)
+    # at most N / rows_per_chunk rows; written once so every branch sees the same chunking
+    return HotKeys(cut_lineage(hot), n_hot) if n_hot else HotKeys(None)
 
 
 def with_timeline(df: DataFrame, specs, key: str = "user_id", order=("timestamp", "transaction_id"),

@@ -65,9 +65,14 @@ class Ctx:
 
     @cached_property
     def next_dataset(self) -> DataFrame:
-        from ..operators.nexttxn import attach_user
-        feats = attach_user(self.next_features, self.segmented)
-        return feats.na.drop(subset=["next_impulse"]).withColumn("next_impulse", F.col("next_impulse").cast("int"))
+        from ..operators.nexttxn import next_txn_dataset
+        return next_txn_dataset(self.next_features, self.segmented)
+
+    @cached_property
+    def next_labelled(self) -> DataFrame:
+        """Rows of ``next_dataset`` without the user columns (no profile is computed for them)."""
+        from ..operators.nexttxn import labelled
+        return labelled(self.next_features)
 
     @cached_property
     def at_risk(self) -> DataFrame:
@@ -130,6 +135,10 @@ def next_features(spark, sf):
     return Ctx(spark, sf).next_features
 
 
+def next_labelled(spark, sf):
+    return Ctx(spark, sf).next_labelled
+
+
 def next_dataset(spark, sf):
     return Ctx(spark, sf, shared=True).next_dataset
 

@@ -73,7 +73,7 @@ def w12(spark, sf):
 @register("f02_drop_missing", nsql("SELECT transaction_id, user_id, next_impulse FROM nxd"))
 def f02(spark, sf):
     """rows without a next transaction (NULL target) dropped."""
-    return I.next_dataset(spark, sf).select("transaction_id", "user_id", "next_impulse")
+    return I.next_labelled(spark, sf).select("transaction_id", "user_id", "next_impulse")
 
 
 _KPI_SQL = nsql("""SELECT users, critical_users, alerts, immediate_alert_users, warning_users, watch_users, safe_users, transactions, best_roc_auc,

@@ -195,7 +195,7 @@ def m16(spark, sf):
     "FROM nxd, (SELECT quantile_cont(epoch_us(\"timestamp\"), 0.8) AS q FROM nxd)", ["train_rate", "test_rate"]))
 def m13(spark, sf):
     """M13 + F3: split the next-transaction set at the exact 0.8 quantile of time."""
-    ds = I.next_dataset(spark, sf).select("timestamp", "next_impulse")
+    ds = I.next_labelled(spark, sf).select("timestamp", "next_impulse")
     train, test, _ = NX.time_split(ds, 0.8)
     a = train.agg(F.count(F.lit(1)).alias("train_rows"), F.avg("next_impulse").alias("train_rate"))
     b = test.agg(F.count(F.lit(1)).alias("test_rows"), F.avg("next_impulse").alias("test_rate"))
@@ -224,8 +224,9 @@ def _fold_starts():
 @register("m15_block_folds", nsql(_FOLD_SQL.format(starts=_fold_starts())))
 def m15(spark, sf):
     """Unshuffled stratified 5-fold assignment without a global sort."""
-    ds = I.next_dataset(spark, sf).select("transaction_id", "user_id", "timestamp", "next_impulse")
-    return NX.block_folds(ds).select("transaction_id", "fold")
+    c = I.Ctx(spark, sf)
+    ds = c.next_labelled.select("transaction_id", "user_id", "timestamp", "next_impulse")
+    return NX.block_folds(ds, hot=c.hot).select("transaction_id", "fold")
 
 
 @register("w13_latest_per_user", nsql(
