@@ -113,13 +113,13 @@ def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
     nothing was learned). ``score`` is the best language's share, 0 to 1. ``accepted`` is false for ``und`` and for
     margins under ``min_margin``. Ties go to the first name. Columns of these names in ``docs`` are replaced.
     """
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(batches: "Iterator[pd.Series]") -> "Iterator[pd.DataFrame]":
         coders = compressors(model)
         for texts in batches:
             rows = [classify(distinct_words(t), coders) for t in texts]
             yield pd.DataFrame(rows, columns=["lang", "score", "margin"])
 
-    udf = F.pandas_udf(predict, "lang string, score double, margin double", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(predict, "lang string, score double, margin double")
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "accepted", "_lid")]
     return (bounded_batches(docs).select(*kept, udf("text").alias("_lid"))
             .select(*kept, F.col("_lid.lang").alias("lang_pred"), F.col("_lid.score").alias("score"), F.col("_lid.margin").alias("margin"),

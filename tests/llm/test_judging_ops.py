@@ -132,7 +132,7 @@ def test_base_spans_equal_plain_patterns(spark):
         base = ",".join(f"{a}:{b}:{c}" for a, b, c in want)
         assert got[k]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), (t or "")[:200]
         assert [got[k][f"n_{x}"] for x in PLAIN] == [sum(a == x for a, _, _ in want) for x in PLAIN]
-        assert set(base.split(",")) <= set(got[k]["spans"].split(","))
+        assert not base or set(base.split(",")) <= set(got[k]["spans"].split(","))
 
 
 def test_spans_odd_tables(spark):
@@ -156,7 +156,7 @@ def test_added_spans_are_learned(spark):
 def test_expectation_maximisation_finds_reliable_labelers():
     rng = random.Random(3)
     counts = {}
-    for _ in range(4000):
+    for _ in range(40_000):
         y = rng.random() < 0.4
         v = tuple((1 if (y if rng.random() < p else not y) else -1) if rng.random() < 0.9 else 0 for p in (0.95, 0.9, 0.6))
         counts["k", v] = counts.get(("k", v), 0) + 1
