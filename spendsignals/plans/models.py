@@ -340,15 +340,22 @@ def logistic_attribution(model: PipelineModel, df: DataFrame, feats, id_col: str
         id_col, F.lit(name).alias("model"), "_p.feature", "_p.value")
 
 
-def flatten_trees(gbt) -> list[dict]:
-    """Node arrays of every tree of an MLlib tree ensemble (read once on the driver; size is the model's)."""
+def flatten_trees(ensemble) -> list[dict]:
+    """Node arrays of every tree of an MLlib ensemble (read once on the driver; size is the model's): split
+    feature (-1: leaf), threshold, children, share of the parent's training weight, and the leaf's output (value
+    of a regression tree, probability of class 1 of a classification tree), times the tree's weight."""
     trees = []
-    for t, w in zip(gbt.trees, gbt.treeWeights):
-        feat, thr, left, right, val = [], [], [], [], []
+    boosted_trees = type(ensemble).__name__.startswith("GBT")
+    weights = ensemble.treeWeights if boosted_trees else [1.0 / len(ensemble.trees)] * len(ensemble.trees)
+    for t, w in zip(ensemble.trees, weights):
+        feat, thr, left, right, cover, val = [], [], [], [], [], []
 
         def walk(node):
             i = len(feat)
-            feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), val.append(float(node.prediction()))
+            stats = list(node.impurityStats().stats())
+            total = float(stats[0] if boosted_trees else sum(stats))
+            out = float(node.prediction()) if boosted_trees else float(stats[1]) / total
+            feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), cover.append(total), val.append(w * out)
             if node.getClass().getSimpleName() == "InternalNode":
                 split = node.split()
                 feat[i] = int(split.featureIndex())
@@ -358,18 +365,58 @@ def flatten_trees(gbt) -> list[dict]:
             return i
 
         walk(t._java_obj.rootNode())
-        trees.append({"w": float(w), "feat": np.array(feat), "thr": np.array(thr), "left": np.array(left),
-                      "right": np.array(right), "val": np.array(val)})
+        trees.append({"feat": feat, "thr": thr, "left": left, "right": right, "cover": cover, "val": val})
     return trees
 
 
+def leaf_paths(tree: dict) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
+    """(output, {feature: (low, high, share)}) per leaf: the row goes there if low < x <= high for every feature
+    on its path; share is the part of the training weight that follows the path at the feature's splits."""
+    out, todo = [], [(0, {})]
+    while todo:
+        i, path = todo.pop()
+        f = tree["feat"][i]
+        if f < 0:
+            out.append((tree["val"][i], path))
+            continue
+        low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
+        t = tree["thr"][i]
+        for child, lo, hi in ((tree["left"][i], low, min(high, t)), (tree["right"][i], max(low, t), high)):
+            todo.append((child, {**path, f: (lo, hi, share * tree["cover"][child] / tree["cover"][i])}))
+    return out
+
+
+def shapley_values(paths, x: np.ndarray, n_features: int) -> np.ndarray:
+    """Exact Shapley values (rows x features, last column the expected output) of the sum of leaves, where
+    features outside a coalition follow the training weights. Per leaf a feature either lets the row through
+    (1 or 0) or counts with its share; the sum over coalitions is a product of linear polynomials whose
+    coefficient k belongs to coalitions of k features."""
+    phi = np.zeros((len(x), n_features + 1))
+    for value, path in paths:
+        m = len(path)
+        phi[:, n_features] += value * math.prod(s for _, _, s in path.values())
+        if not m:
+            continue
+        through = {f: ((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, (lo, hi, _) in path.items()}
+        weight = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
+        for f, (_, _, share) in path.items():
+            poly = np.zeros((len(x), m))
+            poly[:, 0] = 1.0
+            for g, (_, _, other) in path.items():
+                if g != f:
+                    moved = np.zeros_like(poly)
+                    moved[:, 1:] = poly[:, :-1] * through[g][:, None]
+                    poly = poly * other + moved
+            phi[:, f] += value * (through[f] - share) * (poly @ weight)
+    return phi
+
+
 def tree_attribution(model: PipelineModel, df: DataFrame, feats, id_col: str = "transaction_id",
                      name: str = "boosted") -> DataFrame:
-    """E2, tree ensembles: path decomposition per row (each split on the path credits its feature
-    with the change of node value), weighted by tree weight; 'bias' = sum of weighted root values.
-    Values add up to the ensemble margin. Runs per Arrow batch in ``mapInPandas``."""
-    gbt = model.stages[-1]
-    trees = flatten_trees(gbt)
+    """E2, tree ensembles: Shapley values of the margin (boosted trees) or of the probability (forest), long
+    table; the 'bias' row is the expected output, so a row's values add up to its output. Runs per Arrow
+    batch in ``mapInPandas``; the paths in the closure are bounded by the model."""
+    paths = [p for t in flatten_trees(model.stages[-1]) for p in leaf_paths(t)]
     nf = len(feats)
     x = model.stages[0].transform(df).select(id_col, vector_to_array("features").alias("_x"))
     names = list(feats) + ["bias"]
@@ -377,23 +424,8 @@ def tree_attribution(model: PipelineModel, df: DataFrame, feats, id_col: str = "
     def run(batches):
         for pdf in batches:
             X = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, nf))
-            contrib = np.zeros((len(pdf), nf + 1))
-            rows = np.arange(len(pdf))
-            for t in trees:
-                node = np.zeros(len(pdf), dtype=int)
-                contrib[:, nf] += t["w"] * t["val"][0]
-                active = t["feat"][node] >= 0
-                while active.any():
-                    r, n = rows[active], node[active]
-                    f = t["feat"][n]
-                    go_left = X[r, f] <= t["thr"][n]
-                    child = np.where(go_left, t["left"][n], t["right"][n])
-                    np.add.at(contrib, (r, f), t["w"] * (t["val"][child] - t["val"][n]))
-                    node[active] = child
-                    active = t["feat"][node] >= 0
-            out = pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), nf + 1),
-                                "model": name, "feature": np.tile(names, len(pdf)), "value": contrib.ravel()})
-            yield out
+            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), nf + 1), "model": name,
+                                "feature": np.tile(names, len(pdf)), "value": shapley_values(paths, X, nf).ravel()})
 
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("model", T.StringType()),
                            T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType())])

@@ -39,6 +39,44 @@ def test_tree_attribution_adds_up_to_margin(spark):
     assert worst < 1e-9
 
 
+def test_forest_attribution_adds_up_to_probability(spark):
+    d, feats = _train(spark)
+    m = M.fit(d, feats, M.forest({"n_estimators": 5, "max_depth": 4}))
+    total = M.tree_attribution(m, d, feats, name="forest").groupBy("transaction_id").agg(F.sum("value").alias("s"))
+    worst = total.join(M.score(m, d), "transaction_id").agg(F.max(F.abs(F.col("s") - F.col("prob")))).first()[0]
+    assert worst < 1e-9
+
+
+def test_shapley_values_equal_all_coalitions():
+    """A small tree that splits twice on one feature, against the sum over every coalition."""
+    from itertools import combinations
+    from math import factorial
+
+    import numpy as np
+    #        0: x0<=1 ; 1: x1<=2 ; 2: x0<=3 ; leaves 3 4 5 6
+    tree = {"feat": [0, 1, 0, -1, -1, 2, -1, -1, -1], "thr": [1, 2, 3, 0, 0, 5, 0, 0, 0], "left": [1, 3, 5, -1, -1, 7, -1, -1, -1],
+            "right": [2, 4, 6, -1, -1, 8, -1, -1, -1], "cover": [100, 40, 60, 10, 30, 45, 15, 20, 25], "val": [0, 0, 0, 1.0, -2.0, 0, 5.0, 3.0, 0.5]}
+
+    def expected(x, known, i=0):
+        f = tree["feat"][i]
+        if f < 0:
+            return tree["val"][i]
+        a, b = tree["left"][i], tree["right"][i]
+        if f in known:
+            return expected(x, known, a if x[f] <= tree["thr"][i] else b)
+        return (tree["cover"][a] * expected(x, known, a) + tree["cover"][b] * expected(x, known, b)) / tree["cover"][i]
+
+    rows = np.array([[a, b, c] for a in (0, 1, 2, 4) for b in (1, 3) for c in (4, 6)], dtype=float)
+    got = M.shapley_values(M.leaf_paths(tree), rows, 3)
+    for x, phi in zip(rows, got):
+        for f in range(3):
+            others = [g for g in range(3) if g != f]
+            want = sum(factorial(k) * factorial(2 - k) / 6 * (expected(x, {*s, f}) - expected(x, {*s}))
+                       for k in range(3) for s in combinations(others, k))
+            assert abs(phi[f] - want) < 1e-12
+        assert abs(phi.sum() - expected(x, {0, 1, 2})) < 1e-12
+
+
 def test_logistic_attribution_adds_up_and_probabilities_in_range(spark):
     d, feats = _train(spark)
     m = M.fit(d, feats, M.logistic(), scale=True)
