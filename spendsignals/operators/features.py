@@ -126,10 +126,10 @@ def feature_columns(df: DataFrame, exclude=EXCLUDE) -> list[str]:
             and f.dataType.typeName() in ("double", "float", "integer", "long", "short", "boolean")]
 
 
-def align_columns(df: DataFrame, names) -> DataFrame:
-    """Select a model's columns; missing or non-numeric become 0.0, all cast to double."""
+def align_columns(df: DataFrame, names, keep=()) -> DataFrame:
+    """Select a model's columns (after ``keep``); missing or non-numeric become 0.0, all cast to double."""
     have = set(df.columns)
-    return df.select(*[F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)).alias(n) if n in have
+    return df.select(*keep, *[F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)).alias(n) if n in have
                        else F.lit(0.0).alias(n) for n in names])
 
 

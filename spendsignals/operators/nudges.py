@@ -151,9 +151,3 @@ def report_kpis(profile: DataFrame, at_risk: DataFrame, scored: DataFrame, metri
     t = scored.agg(F.count(F.lit(1)).alias("transactions"))
     m = metrics.agg(F.max("roc_auc").alias("best_roc_auc"), F.max("f1").alias("best_f1"), F.max("mcc").alias("best_mcc"))
     return u.crossJoin(a).crossJoin(t).crossJoin(m)
-
-
-def share_of_max(df: DataFrame, col: str, out: str = "pct_of_max") -> DataFrame:
-    """Value as a percentage of the column maximum (max from one aggregate, broadcast)."""
-    mx = df.agg(F.max(col).alias("_mx"))
-    return df.crossJoin(F.broadcast(mx)).withColumn(out, F.col(col) / F.col("_mx") * 100).drop("_mx")

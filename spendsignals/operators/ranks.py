@@ -62,12 +62,6 @@ def rank_table(df: DataFrame, value: str, out: str = "rank", pct: bool = False,
     return ranks.select(value, F.col("_r").alias(out))
 
 
-def average_rank(df: DataFrame, value: str, out: str = "rank", pct: bool = False, scale: float = 1.0,
-                 buckets: int | None = None) -> DataFrame:
-    """Attach the average rank of ``value`` to every row (NULL stays NULL)."""
-    return with_ranks(df, {out: value}, pct=pct, scale=scale, buckets=buckets)
-
-
 TIE_PLACES = 9
 
 
@@ -109,7 +103,3 @@ def with_ranks(df: DataFrame, outputs: dict[str, str], pct: bool = False, scale:
 def percentile_scores(df: DataFrame, outputs: dict[str, str], key: str | None = None) -> DataFrame:
     """Percentile rank x100 with average ranks on ties, for several columns."""
     return with_ranks(df, outputs, pct=True, scale=100.0, key=key)
-
-
-def percentile_score(df: DataFrame, value: str, out: str) -> DataFrame:
-    return percentile_scores(df, {out: value})

@@ -38,14 +38,10 @@ def hash_key(id_col: str, seed: int = SEED):
 
 
 def stratified_split(df: DataFrame, label: str = "impulse_label", test_frac: float = 0.2, seed: int = SEED,
-                     id_col: str = "transaction_id", exact: bool = True) -> DataFrame:
+                     id_col: str = "transaction_id") -> DataFrame:
     """M1: ``split`` = 'test' for ceil(test_frac * n_label) rows of each label (lowest hash key),
-    'train' otherwise. Exact variant: positions from prefix counts over the hash key per label (no
-    global sort); ``exact=False`` keeps rows whose key falls below test_frac of the key range."""
-    k = hash_key(id_col, seed)
-    if not exact:
-        return df.withColumn("split", F.when(k < F.lit(int(test_frac * 16 ** 15)), "test").otherwise("train"))
-    keyed = df.withColumn("_h", k)
+    'train' otherwise. Positions come from prefix counts over the hash key per label (no global sort)."""
+    keyed = df.withColumn("_h", hash_key(id_col, seed))
     ps = prefix_sums(keyed, "_h", {"_c": F.lit(1)}, by=[label])
     n = ps.groupBy(label).agg(F.sum("_c").alias("_n"))
     cut = ps.join(F.broadcast(n), label).select(label, "_h", (F.col("_c_before") < F.ceil(F.col("_n") * test_frac))

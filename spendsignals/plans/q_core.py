@@ -127,9 +127,7 @@ _ALIGN = ["spend_zscore", "hour", "salary_day_effect", "drawdown_ratio"]
     ["spend_zscore", "hour", "salary_day_effect", "drawdown_ratio"]))
 def p12(spark, sf):
     """Align to a model's column list; a column missing from the table becomes 0.0."""
-    e = I.eng(spark, sf)
-    return e.select("transaction_id", *[F.coalesce(F.col(n).try_cast("double"), F.lit(0.0)).alias(n)
-                                        if n in e.columns else F.lit(0.0).alias(n) for n in _ALIGN])
+    return FE.align_columns(I.eng(spark, sf), _ALIGN, keep=["transaction_id"])
 
 
 @register("p13_classify", rsql(

@@ -284,13 +284,14 @@ def a13(spark, sf):
 # ------------------------------------------------------------------------------------------ nudges
 @register("a14_potential_savings", nsql("SELECT user_id, potential_savings FROM agg", ["potential_savings"]))
 def a14(spark, sf):
-    """Spend on predicted-impulse transactions per user (folded into the profile aggregate)."""
-    return I.profile(spark, sf).select("user_id", "potential_savings")
+    """Spend on predicted-impulse transactions per user (the profile folds it into its own aggregate)."""
+    return NU.potential_savings(I.scored(spark, sf))
 
 
 @register("j05_attach_savings", nsql("SELECT user_id, risk_tier, potential_savings FROM seg", ["potential_savings"]))
 def j05(spark, sf):
-    return I.segmented(spark, sf).select("user_id", "risk_tier", "potential_savings")
+    c = I.Ctx(spark, sf, shared=True)
+    return NU.attach_savings(c.segmented.select("user_id", "risk_tier"), NU.potential_savings(c.scored))
 
 
 @register("a15_savings_by_tier", nsql(

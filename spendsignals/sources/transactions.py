@@ -114,11 +114,6 @@ def transactions_from_events(spark: SparkSession, sf_dir: str, with_score: bool
     return out if with_score else out.drop("impulse_prob")
 
 
-def second_score(df: DataFrame) -> DataFrame:
-    """FIXTURES section 3: a label-independent second score for two-model operators."""
-    return df.withColumn("impulse_prob", F.round((F.col("transaction_id") * 37 % 101) / 101.0, 6))
-
-
 # DuckDB statement of the same adapter (FIXTURES.md section 2), used as the head of every oracle.
 TXN_CTE = """txn AS (
  WITH b AS (
