@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .shingles import WordHasher, shingle_hashes
+from .shingles import TextHasher, shingle_hashes
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 BLOCK_CHARS = 16_000_000            # text of the benchmark items that one pass takes
@@ -58,7 +58,7 @@ class ItemIndex:
     """One block of benchmark items, ready for search."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hasher = WordHasher()
+        hasher = TextHasher(_WORDS)
         self.items = []                                # (item_id, words, width, shingle counts)
         self.weight: dict[int, int] = {}
         by_size: dict[tuple[int, int], list[int]] = {}     # (words, width) -> items
@@ -69,7 +69,7 @@ class ItemIndex:
             if not words:
                 continue
             width = min(WIDTH, len(words))
-            sh = shingle_hashes(hasher.hashes(words), width)
+            sh = shingle_hashes(hasher.hashes(text), width)
             w = shingle_weights(words, width)
             self.weight.update(zip(sh.tolist(), w.tolist(), strict=True))
             for s in sh.tolist():
@@ -98,17 +98,20 @@ class ItemIndex:
             self._near[key] = ids[_POP16[self.prints[ids, block] ^ np.uint16(value)] <= RADIUS // 4]
         return self._near[key]
 
-    def search(self, words: list[str], hashes: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-        """Best window per item: (item_id, start, words, similarity, distance)."""
+    def search(self, text: str, hashes: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+        """Best window per item: (item_id, start, words, similarity, distance). ``hashes``: those of the text's words."""
         best: dict[int, tuple] = {}
+        words = None
         for width, (bitmap, known) in self.known.items():
             sh = shingle_hashes(hashes, width)
             if not len(sh):
                 continue
             maybe = np.flatnonzero(bitmap[sh >> np.uint64(44)])
-            at = maybe[np.isin(sh[maybe], known)] if len(maybe) else maybe
+            place = np.minimum(np.searchsorted(known, sh[maybe]), len(known) - 1)
+            at = maybe[known[place] == sh[maybe]]
             if not len(at):
                 continue
+            words = words or words_of(text)
             starts: dict[int, set] = {}
             for p in at.tolist():
                 for n in self.owners[width][int(sh[p])]:
@@ -129,8 +132,9 @@ class ItemIndex:
             prints = fingerprints(sums[run - lo + count] - sums[run - lo])
             found = []
             for place, fp in zip(run.tolist(), prints, strict=True):
-                items = np.unique(np.concatenate([self.near_blocks(size, b, int(fp[b])) for b in range(4)]))
-                if len(items):
+                near = [self.near_blocks(size, b, v) for b, v in enumerate(fp.tolist())]
+                if any(map(len, near)):
+                    items = np.array(sorted(set().union(*(x.tolist() for x in near))))
                     distance = _POP16[self.prints[items] ^ fp].sum(axis=1)
                     found += [(int(d), place, int(k)) for d, k in zip(distance, items, strict=True) if d <= RADIUS]
             for d, place, k in sorted(found):
@@ -151,14 +155,14 @@ def shingle_weights(words: list[str], width: int) -> np.ndarray:
 
 def _finder(items: list[tuple[int, str]]):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, hasher = ItemIndex(items), WordHasher()
+        index, hasher = ItemIndex(items), TextHasher(_WORDS)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                words = words_of(text)
-                if words:
+                hashes = hasher.hashes(text)
+                if len(hashes):
                     doc = None if pd.isna(doc) else int(doc)
-                    rows += [(doc, *hit) for hit in index.search(words, hasher.hashes(words))]
+                    rows += [(doc, *hit) for hit in index.search(text, hashes)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return find

@@ -27,6 +27,31 @@ class WordHasher:
         return np.fromiter(map(get, words), dtype=np.uint64, count=len(words))
 
 
+class _RunCache(dict):
+    def __init__(self, pattern):
+        super().__init__()
+        self.find = pattern.findall
+
+    def __missing__(self, chunk):
+        value = self[chunk] = b"".join([xxhash.xxh3_64_digest(w) for w in self.find(chunk)])
+        return value
+
+
+class TextHasher:
+    """Hashes of the lower-cased runs of ``pattern`` (which match no white space) in a text. Texts are split at
+    white space first, and what lies between is looked up: it recurs, so few pieces meet the pattern."""
+
+    def __init__(self, pattern):
+        self._cache = _RunCache(pattern)
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, dtype=np.uint64)
+        if len(self._cache) > CACHE_WORDS:
+            self._cache.clear()
+        return np.frombuffer(b"".join(map(self._cache.__getitem__, text.lower().split())), dtype=">u8").astype(np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
