@@ -68,3 +68,24 @@ def st1(spark, sf):
     per-user state (running balance, last seven labels); availableNow trigger, parquet sink."""
     out, ckpt = ST.stream_paths(spark, "st1")
     return ST.stream_scores(spark, sf, out, ckpt).select(*_OUT)
+
+
+def request_model(spark, sf):
+    """The five-feature request model: balanced logistic regression on the training split's requests."""
+    from . import models as M
+    reqs = ST.request_features(ST.requests_from_transactions(I.txn(spark, sf)))
+    split = M.stratified_split(reqs, "impulse_label")
+    return M.fit(split.where("split = 'train'"), _FEATS, M.logistic(), scale=True)
+
+
+@register("s06_score_requests_model")
+def s06m(spark, sf):
+    """S6 with the trained five-feature model."""
+    return ST.score_requests(ST.requests_from_transactions(I.txn(spark, sf)), request_model(spark, sf)).select(*_OUT)
+
+
+@register("st1_stream_scoring_model")
+def st1m(spark, sf):
+    """ST1 with the trained five-feature model: the stream's state feeds the same pipeline."""
+    out, ckpt = ST.stream_paths(spark, "st1-model")
+    return ST.stream_scores(spark, sf, out, ckpt, model=request_model(spark, sf)).select(*_OUT)

@@ -139,12 +139,13 @@ def stateful_requests(rows: DataFrame, watermark: str = "3650 days") -> DataFram
 
 
 def stream_scores(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str,
-                  files_per_trigger: int = 1, model=None) -> DataFrame:
+                  files_per_trigger: int = 1, model=None, bytes_per_trigger: str | None = None) -> DataFrame:
     """ST1: score the events of ``sf_dir`` as a stream (file source, availableNow trigger) into
-    parquet at ``out_dir``; returns the written table."""
+    parquet at ``out_dir``; returns the written table. A user's rows of one micro-batch are one group in
+    memory: ``files_per_trigger``, or ``bytes_per_trigger`` (such as "512m") instead, bounds the micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/events*.parquet").schema
-    events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(f"{sf_dir}/events*.parquet"))
+    bound = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    events = spark.readStream.schema(schema).option(*bound).parquet(f"{sf_dir}/events*.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     scored = score_requests(stateful_requests(event_rows(events, customer)), model)
     q = (scored.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)

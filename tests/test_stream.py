@@ -32,3 +32,12 @@ def test_stream_equals_batch_across_microbatches(spark):
     a = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in batch.select(*cols).collect())
     assert len(a) == ev.count() and a == b
+
+
+def test_trained_request_model_scores_stream_as_batch(spark):
+    cols = ["transaction_id", "prob", "tier", "risk_score"]
+    rows = lambda name: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+                               for r in queries()[name](spark, SF_SMALL).select(*cols).collect())
+    a, b = rows("st1_stream_scoring_model"), rows("s06_score_requests_model")
+    assert a == b and len({t for _, _, t, _ in a}) > 1
+    assert all(0 <= p <= 1 for _, p, _, _ in a)
