@@ -15,7 +15,7 @@ from .common import written
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-    return both.where("b > a").join(least, "a").select(F.col("_m").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("_m").alias("a"), "b").where("a < b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:

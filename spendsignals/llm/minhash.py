@@ -3,14 +3,15 @@
 1. Each text's distinct word shingles are hashed; texts with equal sets form a class with one
    representative, so a large group of copies is one row from here on.
 2. Every representative has ``VALUES`` minhash values. ``TREES`` orders sort the representatives by the
-   values from a different starting place. Candidates are the ``NEIGHBOURS`` rows before each row that
-   share at least ``DEPTH`` leading values with it. Where more rows than that share a prefix, the nearest ones
-   share the longest: the depth adapts to how dense a region is.
+   values from a different starting place. Candidates are rows close to each other that share at least
+   ``DEPTH`` leading values: all of a region of up to ``NEIGHBOURS`` more rows; in a denser one the ``NEAREST``
+   which share the longest prefix, so the depth adapts to how dense a region is.
 3. Candidates whose signatures agree too little are dropped (five standard deviations below the
    threshold), the others are confirmed on full sets: first each with hubs of its candidate component, then
    all pairs that the hubs have not connected.
-4. Regions too dense for the neighbour window that still hold several components are searched
-   again, exhaustively at one value more, between components only. So the window caps nothing.
+4. Dense regions that still hold several components are searched again, every row against the latest rows
+   of the ``OTHERS`` nearest other components in each order. A row outside a large component so meets every
+   row of it that follows in some order. This repeats until a round finds no new link.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import NARROW_ROWS, bounded_batches, byte_words, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_set
 
-TREES, OWN, DEPTH, NEIGHBOURS = 20, 6, 3, 8
+TREES, OWN, DEPTH, NEIGHBOURS, NEAREST, OTHERS = 20, 6, 3, 8, 2, 3
 KEY_VALUES = 12                       # values in a row's sort key, two bytes each
 VALUES = TREES * OWN
 PERCENT = 80
@@ -142,15 +143,17 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if head < window:
                 put(-1, tree, key, part, doc, head)
                 head += 1
-            prefix, shared = key[:lead], 0
+            prefix, near = key[:lead], []
             for t, k, d, _ in reversed(recent):
                 if t != tree or k[:lead] != prefix:
                     break
-                shared += 1
+                near.append(d)
+            dense = len(near) == window
+            for d in near[:NEAREST] if dense else near:
                 if d != doc:
                     put(0, tree, None, min(d, doc), max(d, doc), 0)
-            if shared == window:
-                put(2, tree, key[:lead + 2], doc, doc, 0)
+            if dense:
+                put(2, tree, prefix, doc, doc, 0)
             recent.append((tree, key, doc, part))
             if len(recent) > window:
                 recent.pop(0)
@@ -226,21 +229,31 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(confirm(rest, sets, percent))
 
 
-def _dense_rest(orders: DataFrame, dense: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of different components inside regions wider than the window, one value deeper: every row outside
-    a region's largest component with every row of another component."""
-    lead, deeper = F.substring("key", 1, DEPTH * 2), F.substring("key", 1, DEPTH * 2 + 2)
-    rows = (orders.withColumn("lead", lead).join(dense, ["tree", "lead"]).select("tree", deeper.alias("key"), "id")
-            .join(label.select(F.col("id").alias("id"), "component"), "id", "left")
-            .select("tree", "key", "id", F.coalesce("component", "id").alias("component")))
-    rows = written(rows, "dense-rows")
-    sizes = rows.groupBy("tree", "key", "component").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("tree", "key").agg(F.max(F.struct("n", "component")).alias("_t"), F.count("*").alias("_c")).where("_c > 1")
-    mixed = rows.join(top.select("tree", "key", F.col("_t.component").alias("largest")), ["tree", "key"])
-    minor = mixed.where("component <> largest").select("tree", "key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = mixed.select("tree", "key", F.col("id").alias("y"), F.col("component").alias("cy"), "largest")
-    pairs = minor.join(other, ["tree", "key"]).where("cx <> cy and (x < y or cy = largest)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _nearest_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of dense regions, sorted, with their components -> pairs with the latest row of each of the ``OTHERS`` other
+    components seen last in the region. Holds one row per component, a few at a time."""
+    region, latest = None, {}
+    for pdf in batches:
+        a, b = [], []
+        for tree, lead, i, c in zip(pdf["tree"], pdf["lead"], pdf["id"], pdf["component"], strict=True):
+            if (tree, lead) != region:
+                region, latest = (tree, lead), {}
+            for other in [x for x in reversed(latest) if x != c][:OTHERS]:
+                a.append(min(i, latest[other]))
+                b.append(max(i, latest[other]))
+            latest.pop(c, None)
+            latest[c] = i
+            if len(latest) > OTHERS + 1:
+                latest.pop(next(iter(latest)))
+        yield pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
+
+
+def _dense_rest(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """New candidates ``a, b`` between components of the dense regions (``rows``: ``tree, lead, key, id``)."""
+    named = rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    got = (named.repartitionByRange("tree", "lead", "key", "id").sortWithinPartitions("tree", "lead", "key", "id")
+           .select("tree", "lead", "id", "component").mapInPandas(_nearest_others, "a long, b long"))
+    return written(got, "dense-pairs", NARROW_ROWS).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -264,9 +277,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     pairs = written(_agreeing(pairs, classes, percent), "candidates")
     links = written(_links(pairs, _sets_of(docs, classes, pairs, width), percent), "confirmed")
     label = components(links)
-    extra = written(_agreeing(_dense_rest(orders, dense, label), classes, percent), "dense-candidates")
-    if not extra.isEmpty():
-        links = links.unionByName(confirm(extra, _sets_of(docs, classes, extra, width), percent))
+    rows = written(orders.withColumn("lead", F.substring("key", 1, DEPTH * 2)).join(dense, ["tree", "lead"]), "dense-rows")
+    while not rows.isEmpty():
+        extra = written(_agreeing(_dense_rest(rows, label), classes, percent).join(pairs, ["a", "b"], "left_anti"), "dense-candidates")
+        if extra.isEmpty():
+            break
+        found = written(confirm(extra, _sets_of(docs, classes, extra, width), percent), "dense-confirmed")
+        if found.isEmpty():
+            break
+        links, pairs = links.unionByName(found), pairs.unionByName(extra)
         label = components(links)
     # a component's name is the least doc_id in it
     grown = label.join(classes.select("id", "doc_id"), "id")
