@@ -9,13 +9,14 @@
 3. Candidates whose signatures agree too little are dropped (five standard deviations below the
    threshold), the others are confirmed on full sets: first each with hubs of its candidate component, then
    all pairs that the hubs have not connected.
-4. Dense regions that still hold several components are searched again, every row against the latest rows
-   of the ``OTHERS`` nearest other components in each order. A row outside a large component so meets every
-   row of it that follows in some order. This repeats until a round finds no new link.
+4. Dense regions that still hold several components are searched again in every order: a row outside the
+   region's largest component meets the ``REACH`` nearest rows of that one on either side and the latest rows of
+   the ``OTHERS`` nearest other components. This repeats until a round finds no new link.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import NARROW_ROWS, bounded_batches, byte_words, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_set
 
-TREES, OWN, DEPTH, NEIGHBOURS, NEAREST, OTHERS = 20, 6, 3, 8, 2, 3
+TREES, OWN, DEPTH, NEIGHBOURS, NEAREST, OTHERS, REACH = 20, 6, 3, 8, 1, 2, 24
 KEY_VALUES = 12                       # values in a row's sort key, two bytes each
 VALUES = TREES * OWN
 PERCENT = 80
@@ -230,29 +231,42 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _nearest_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of dense regions, sorted, with their components -> pairs with the latest row of each of the ``OTHERS`` other
-    components seen last in the region. Holds one row per component, a few at a time."""
-    region, latest = None, {}
+    """Rows of dense regions, sorted, with their components and whether it is the region's largest -> pairs
+    between components. A pair belongs to its row outside the largest one, so their number is linear."""
+    region, before, waiting, latest = None, deque(maxlen=REACH), [], {}
     for pdf in batches:
         a, b = [], []
-        for tree, lead, i, c in zip(pdf["tree"], pdf["lead"], pdf["id"], pdf["component"], strict=True):
+        for tree, lead, i, c, largest in zip(pdf["tree"], pdf["lead"], pdf["id"], pdf["component"], pdf["largest"], strict=True):
             if (tree, lead) != region:
-                region, latest = (tree, lead), {}
-            for other in [x for x in reversed(latest) if x != c][:OTHERS]:
-                a.append(min(i, latest[other]))
-                b.append(max(i, latest[other]))
+                region, before, waiting, latest = (tree, lead), deque(maxlen=REACH), [], {}
+            if largest:
+                for w in waiting:
+                    a.append(w[0])
+                    b.append(i)
+                    w[1] -= 1
+                waiting = [w for w in waiting if w[1]]
+                before.append(i)
+                continue
+            met = [*before, *[latest[x] for x in [x for x in reversed(latest) if x != c][:OTHERS]]]
+            a += met
+            b += [i] * len(met)
+            waiting.append([i, REACH])
             latest.pop(c, None)
             latest[c] = i
             if len(latest) > OTHERS + 1:
                 latest.pop(next(iter(latest)))
-        yield pd.DataFrame({"a": a, "b": b}, dtype="int64").drop_duplicates()
+        pairs = np.sort(np.array([a, b], dtype=np.int64).reshape(2, -1), axis=0)
+        yield pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
 
 
 def _dense_rest(rows: DataFrame, label: DataFrame) -> DataFrame:
     """New candidates ``a, b`` between components of the dense regions (``rows``: ``tree, lead, key, id``)."""
     named = rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    got = (named.repartitionByRange("tree", "lead", "key", "id").sortWithinPartitions("tree", "lead", "key", "id")
-           .select("tree", "lead", "id", "component").mapInPandas(_nearest_others, "a long, b long"))
+    sizes = named.groupBy("tree", "lead", "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("tree", "lead").agg(F.max_by("component", F.struct("n", "component")).alias("_top"), F.count("*").alias("_c")).where("_c > 1")
+    mixed = named.join(top, ["tree", "lead"]).withColumn("largest", F.col("component") == F.col("_top"))
+    got = (mixed.repartitionByRange("tree", "lead", "key", "id").sortWithinPartitions("tree", "lead", "key", "id")
+           .select("tree", "lead", "id", "component", "largest").mapInPandas(_nearest_others, "a long, b long"))
     return written(got, "dense-pairs", NARROW_ROWS).distinct()
 
 
