@@ -9,14 +9,13 @@
 3. Candidates whose signatures agree too little are dropped (five standard deviations below the
    threshold), the others are confirmed on full sets: first each with hubs of its candidate component, then
    all pairs that the hubs have not connected.
-4. Dense regions that still hold several components are searched again in every order: a row outside the
-   region's largest component meets the ``REACH`` nearest rows of that one on either side and the latest rows of
-   the ``OTHERS`` nearest other components. This repeats until a round finds no new link.
+4. Dense regions that still hold several components are finished exactly: every row outside its region's largest
+   component is compared, on full sets, with every row of a dense region in another component. Blocks of them
+   of bounded size are indexed by shingle; only links leave a task, one per row and component.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +28,12 @@ from .common import NARROW_ROWS, bounded_batches, byte_words, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_set
 
-TREES, OWN, DEPTH, NEIGHBOURS, NEAREST, OTHERS, REACH = 20, 6, 3, 8, 1, 2, 24
+TREES, OWN, DEPTH, NEIGHBOURS, NEAREST = 20, 6, 3, 8, 1
 KEY_VALUES = 12                       # values in a row's sort key, two bytes each
 VALUES = TREES * OWN
 PERCENT = 80
 HUB_ROUNDS = 2
+BLOCK_SHINGLES = 2_000_000            # of the rows that one pass over the dense regions is compared with
 SKETCH_SCHEMA = "doc_id long, n_shingles long, print binary, signature binary"
 
 
@@ -128,11 +128,12 @@ def _orders(reps: DataFrame) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows -> candidate pairs (``kind`` 0), the rows at both ends (``kind`` -1 first, 1 last), and rows of a region
-    wider than the window (``kind`` 2, with the region's next deeper prefix)."""
+    """Sorted rows -> candidate pairs (``kind`` 0), the rows at both ends (``kind`` -1 first, 1 last), rows of a region
+    wider than the window (``kind`` 2), and the rows of the first and the last region (``kind`` 3, their number in ``place``)."""
     lead, window = DEPTH * 2, NEIGHBOURS
     recent: list[tuple] = []          # the last rows, at most `window`
     head = 0
+    region, size, first = None, 0, True
     for pdf in batches:
         kinds, trees, keys, lefts, rights, places = [], [], [], [], [], []
 
@@ -145,6 +146,12 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 put(-1, tree, key, part, doc, head)
                 head += 1
             prefix, near = key[:lead], []
+            if (tree, prefix) != region:
+                if region and first:
+                    put(3, *region, 0, 0, size)
+                    first = False
+                region, size = (tree, prefix), 0
+            size += 1
             for t, k, d, _ in reversed(recent):
                 if t != tree or k[:lead] != prefix:
                     break
@@ -160,7 +167,7 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 recent.pop(0)
         yield pd.DataFrame({"kind": kinds, "tree": trees, "key": keys, "left": lefts, "right": rights, "place": places})
     if recent:
-        yield pd.DataFrame([(1, t, k, p, d, len(recent) - 1 - j) for j, (t, k, d, p) in enumerate(recent)], columns=["kind", "tree", "key", "left", "right", "place"])
+        yield pd.DataFrame([(3, *region, 0, 0, size)] + [(1, t, k, p, d, len(recent) - 1 - j) for j, (t, k, d, p) in enumerate(recent)], columns=["kind", "tree", "key", "left", "right", "place"])
 
 
 def _candidates(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +182,9 @@ def _candidates(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = got.where("kind = -1").select("tree", F.substring("key", 1, DEPTH * 2).alias("lead"), (F.col("left") - 1).alias("part"), F.col("right").alias("y"), F.col("place").alias("q"))
     border = last.join(first, ["part", "tree", "lead"]).where((F.col("p") + F.col("q") < NEIGHBOURS) & (F.col("x") != F.col("y"))).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    dense = got.where("kind = 2").select("tree", F.substring("key", 1, DEPTH * 2).alias("lead")).distinct()
+    inner = got.where("kind = 2").select("tree", F.col("key").alias("lead"))
+    over = got.where("kind = 3").groupBy("tree", F.col("key").alias("lead")).agg(F.sum("place").alias("n")).where(F.col("n") > NEIGHBOURS).select("tree", "lead")
+    dense = inner.unionByName(over).distinct()
     return inside.unionByName(border).distinct(), dense
 
 
@@ -230,44 +239,66 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(confirm(rest, sets, percent))
 
 
-def _nearest_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of dense regions, sorted, with their components and whether it is the region's largest -> pairs
-    between components. A pair belongs to its row outside the largest one, so their number is linear."""
-    region, before, waiting, latest = None, deque(maxlen=REACH), [], {}
-    for pdf in batches:
-        a, b = [], []
-        for tree, lead, i, c, largest in zip(pdf["tree"], pdf["lead"], pdf["id"], pdf["component"], pdf["largest"], strict=True):
-            if (tree, lead) != region:
-                region, before, waiting, latest = (tree, lead), deque(maxlen=REACH), [], {}
-            if largest:
-                for w in waiting:
-                    a.append(w[0])
-                    b.append(i)
-                    w[1] -= 1
-                waiting = [w for w in waiting if w[1]]
-                before.append(i)
-                continue
-            met = [*before, *[latest[x] for x in [x for x in reversed(latest) if x != c][:OTHERS]]]
-            a += met
-            b += [i] * len(met)
-            waiting.append([i, REACH])
-            latest.pop(c, None)
-            latest[c] = i
-            if len(latest) > OTHERS + 1:
-                latest.pop(next(iter(latest)))
-        pairs = np.sort(np.array([a, b], dtype=np.int64).reshape(2, -1), axis=0)
-        yield pd.DataFrame({"a": pairs[0], "b": pairs[1]}).drop_duplicates()
-
-
-def _dense_rest(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """New candidates ``a, b`` between components of the dense regions (``rows``: ``tree, lead, key, id``)."""
-    named = rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _block_index(block: pa.Table) -> tuple[np.ndarray, ...]:
+    """``id, component, shingles`` rows -> ids, components, set sizes, the distinct shingles in order, and for each where its
+    rows start in the last array (row numbers by shingle)."""
+    lists = block.column("shingles").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten().to_numpy()
+    order = np.argsort(values, kind="stable")
+    known, starts = np.unique(values[order], return_index=True)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    return (block.column("id").to_numpy(), block.column("component").to_numpy(), sizes, known, np.append(starts, len(values)), rows)
+
+
+def _linker(index: tuple[np.ndarray, ...], percent: int):
+    """Links of ``id, component, shingles`` rows with the rows of a block, exactly; one per block row and component."""
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, components_, sizes, known, starts, rows = index
+        seen: dict[int, np.ndarray] = {}          # component -> block rows that are linked with it
+        for batch in batches:
+            a, b = [], []
+            for i, c, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = values.values.to_numpy()
+                place = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                place = place[known[place] == x]
+                if 100 * len(place) < percent * len(x):      # too few shingles in the whole block for any link
+                    continue
+                lengths = starts[place + 1] - starts[place]
+                at = np.repeat(starts[place] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                both = np.bincount(rows[at], minlength=len(ids))
+                linked = (100 * both >= percent * (sizes + len(x) - both)) & (components_ != c)
+                if c in seen:
+                    linked &= ~seen[c]
+                found = np.flatnonzero(linked)
+                if len(found):
+                    seen[c] = seen[c] | linked if c in seen else linked
+                    a += np.minimum(ids[found], i).tolist()
+                    b += np.maximum(ids[found], i).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return link
+
+
+def _dense_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, label: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links ``a, b`` between components of the dense regions (``rows``: ``tree, lead, id``): of each row outside a region's
+    largest component with every component that it links with. None where nothing is left to compare."""
+    named = written(rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "dense-rows")
     sizes = named.groupBy("tree", "lead", "component").agg(F.count("*").alias("n"))
     top = sizes.groupBy("tree", "lead").agg(F.max_by("component", F.struct("n", "component")).alias("_top"), F.count("*").alias("_c")).where("_c > 1")
-    mixed = named.join(top, ["tree", "lead"]).withColumn("largest", F.col("component") == F.col("_top"))
-    got = (mixed.repartitionByRange("tree", "lead", "key", "id").sortWithinPartitions("tree", "lead", "key", "id")
-           .select("tree", "lead", "id", "component", "largest").mapInPandas(_nearest_others, "a long, b long"))
-    return written(got, "dense-pairs", NARROW_ROWS).distinct()
+    mixed = written(named.join(top, ["tree", "lead"]).groupBy("id", "component").agg(F.max(F.col("component") != F.col("_top")).alias("outside")), "dense-ids")
+    if mixed.where("outside").isEmpty():
+        return None
+    sets = written(_sets_of(docs, classes, mixed.select("id"), width).join(mixed, "id").select("id", "component", "shingles", "outside"), "dense-sets")
+    outside = sets.where("outside").select("id", "component", "shingles")
+    blocks = int(outside.agg(F.sum(F.size("shingles"))).first()[0] // BLOCK_SHINGLES) + 1
+    found = None
+    for k in range(blocks):
+        block = outside.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()       # about BLOCK_SHINGLES shingles
+        if block.num_rows:
+            links = sets.select("id", "component", "shingles").mapInArrow(_linker(_block_index(block), percent), "a long, b long")
+            links = written(links, f"dense-links-{k}")
+            found = links if found is None else found.unionByName(links)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -289,18 +320,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     orders = _orders(classes)
     pairs, dense = _candidates(orders)
     pairs = written(_agreeing(pairs, classes, percent), "candidates")
-    links = written(_links(pairs, _sets_of(docs, classes, pairs, width), percent), "confirmed")
+    links = written(_links(pairs, _sets_of(docs, classes, _both_ends(pairs), width), percent), "confirmed")
     label = components(links)
-    rows = written(orders.withColumn("lead", F.substring("key", 1, DEPTH * 2)).join(dense, ["tree", "lead"]), "dense-rows")
-    while not rows.isEmpty():
-        extra = written(_agreeing(_dense_rest(rows, label), classes, percent).join(pairs, ["a", "b"], "left_anti"), "dense-candidates")
-        if extra.isEmpty():
-            break
-        found = written(confirm(extra, _sets_of(docs, classes, extra, width), percent), "dense-confirmed")
-        if found.isEmpty():
-            break
-        links, pairs = links.unionByName(found), pairs.unionByName(extra)
-        label = components(links)
+    rows = orders.select("tree", F.substring("key", 1, DEPTH * 2).alias("lead"), "id").join(dense, ["tree", "lead"])
+    found = _dense_links(docs, classes, rows, label, width, percent)
+    if found is not None and not found.isEmpty():
+        label = components(links.unionByName(found))
     # a component's name is the least doc_id in it
     grown = label.join(classes.select("id", "doc_id"), "id")
     names = grown.groupBy("component").agg(F.min("doc_id").alias("_name"))
@@ -311,9 +336,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     return linked.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``id, shingles`` (the full set) of the classes in ``pairs``, made from their representatives' texts."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, shingles`` (the full set) of the classes in ``ids``, made from their representatives' texts."""
     wanted = classes.select("id", "doc_id", "print").join(ids, "id", "left_semi")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("id", "print", "text")
     return written(rows.mapInArrow(_set_maker(width), "id long, shingles array<long>"), "sets")

@@ -72,6 +72,34 @@ def test_near_duplicates(spark, seed, width):
         assert got[k]["kept"] == (truth[k] == k)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_outliers_of_a_large_group_link_with_their_one_member(spark, seed):
+    """Near copies in one dense region, and texts within reach of a single one of them."""
+    rng = random.Random(seed)
+    hot = rng.choices(WORDS, k=60)
+    members = [edited(rng, hot, rng.choice((1, 2, 3))) for _ in range(700)]
+    texts = members + [edited(rng, m.split(), 3) for m in rng.sample(members, 300)]
+    sets = [shingles(t, 2) for t in texts]
+    truth = groups(len(texts), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()}
+    assert [k for k in range(len(texts)) if got[k] != truth[k]] == []
+
+
+def test_dense_region_over_piece_borders(spark):
+    """A region that the borders cut into pieces of at most NEIGHBOURS rows is dense all the same."""
+    rows = [(0, bytes(24), k) for k in range(14)] + [(0, bytes([9] * 24), k) for k in range(100, 104)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        _, dense = minhash._candidates(spark.createDataFrame(rows, "tree int, key binary, id long"))
+        assert [(r["tree"], bytes(r["lead"])) for r in dense.collect()] == [(0, bytes(6))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (3, "other words of its own kind"), (9, "A b c d e f")]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()), key=str)
