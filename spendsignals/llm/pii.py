@@ -71,7 +71,7 @@ def is_valid(kind: Column, match: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str, wide: bool) -> list[Column]:
     """Matches, and the length and edges of the pieces between them (one more than matches)."""
     name = ("wide_" if wide else "") + kind
-    need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS and not wide else text.rlike(_AT if kind == "email" else "[0-9][\\x20.)-]?[0-9]" if kind != "ip" else "[0-9]\\.[0-9]")
+    need = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS and not wide else text.rlike(f"(?i){_AT}" if kind == "email" else "[0-9][\\x20.)-]?[0-9]" if kind != "ip" else "[0-9]\\.[0-9]")
     found = F.when(need, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("n"), F.right(p, F.lit(TAIL)).alias("tail"), F.left(p, F.lit(LEAD)).alias("lead")))
     return [found.alias(f"m_{name}"), F.when(need & (F.size(found) > 0), pieces).alias(f"p_{name}")]

@@ -153,6 +153,13 @@ def test_added_spans_are_learned(spark):
     assert all(r["spans"].count(":") == 4 for k, r in got.items() if k < 200)
 
 
+@pytest.mark.parametrize("at", ["(AT)", "[At]", "{aT}", "(at)"])
+def test_written_out_addresses_in_any_case_are_candidates(spark, at):
+    text = f"write to john {at} example (DOT) com"
+    got = pii.find_candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id").where("kind = 'email' and wide").collect()
+    assert [text[r["start"]:r["end"]] for r in got] == [f"john {at} example (DOT) com"]
+
+
 def test_expectation_maximisation_finds_reliable_labelers():
     rng = random.Random(3)
     counts = {}
