@@ -1,12 +1,13 @@
 """Main text of web pages: site templates found by counting element subtrees per host, then removed.
 
-1. Each page is parsed once into text blocks. A block knows the hashes of the structural subtrees around
-   it (lists, divisions, sections, tables ...), each hashed over its tags, attributes and text.
+1. Each page is parsed once into text blocks. Every element that holds others is a subtree, menus, adverts and
+   articles too, hashed over its tag, attributes, text and the subtrees in it. A block knows those around it.
 2. Spark counts on how many pages of a host each subtree occurs; one that occurs on many is template.
-3. A page's blocks inside template subtrees go. Elements that are never article text (menus, footers,
-   adverts, forms, reader comments ...) go by their tag, role or class.
+3. A page's blocks inside template subtrees go. Of what remains, elements that are never article text (menus,
+   footers, adverts, forms, reader comments ...) go by their tag, role or class; then the article is preferred.
 
-Plain paragraphs and headings are not subtrees of their own: a sentence that many articles share is text.
+Paragraphs, headings, list items, table cells and quotes are not subtrees of their own: a sentence that many
+articles share is text.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ BLOCK = set("address article aside blockquote body center dd details dialog div
 CLOSES_P = BLOCK - set("body html".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = set("aside details div dl figure footer form header main nav ol section table ul".split())
+LEAF = HEADINGS | set("p li dt dd td th tr pre blockquote address figcaption summary hr label html".split())     # no subtrees of their own
 DROP_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 DROP_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation "
                  "menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices newsletter subscribe "
@@ -62,22 +64,28 @@ class _Node:
         self.tag, self.drop, self.main, self.header, self.hash, self.blocks = tag, drop, main, header, digest, 0
 
 
-def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]]]:
-    """Text blocks outside dropped elements; whether each lies in an article; the subtree hashes around it."""
+def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]], set[int]]:
+    """Text blocks outside dropped elements; whether each lies in an article; the subtree hashes around it; the hashes of
+    all subtrees of the page that hold text, dropped ones too."""
     texts: list[str] = []
     mains: list[bool] = []
     around: list[list[int]] = []
+    subtrees: set[int] = set()
     if not page:
-        return texts, mains, around
+        return texts, mains, around, subtrees
     stack: list[_Node] = []
     buffer: list[str] = []
-    first_block: list[int] = []        # per open structure: the first block inside it
+    holders: list[_Node] = []          # open subtrees
+    first_block: list[int] = []        # per open subtree: the first block inside it
 
     def flush():
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             top = stack[-1] if stack else None
+            if text and holders:
+                holders[-1].hash.update(f"{top.tag}\0{text}\0".encode())
+                holders[-1].blocks += 1
             if text and not (top and (top.drop or top.header and not any(n.tag in HEADINGS for n in stack))):
                 texts.append(text)
                 mains.append(bool(top and top.main))
@@ -87,12 +95,16 @@ def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]]]:
         node = stack.pop()
         if node.hash is not None:
             start = first_block.pop()
-            if start < len(texts) and not node.drop:
-                h = node.hash
-                h.update("\0".join(texts[start:]).encode())
-                value = int.from_bytes(h.digest(), "little", signed=True)
+            holders.pop()
+            if node.blocks:
+                digest = node.hash.digest()
+                value = int.from_bytes(digest, "little", signed=True)
+                subtrees.add(value)
                 for a in around[start:]:
                     a.append(value)
+                if holders:
+                    holders[-1].hash.update(b"\0" + digest)
+                    holders[-1].blocks += 1
 
     at, end = 0, len(page)
     while at < end:
@@ -151,14 +163,16 @@ def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]]]:
         main = inside or (not drop and (tag in ("article", "main") or role in ("main", "article")))
         header = bool(top and top.header) or tag == "header"
         digest = None
-        if tag in STRUCTURE:
+        if tag not in LEAF:
             digest = hashlib.blake2b(f"{tag} {' '.join(sorted(words))}\0".encode(), digest_size=8)
             first_block.append(len(texts))
         stack.append(_Node(tag, drop, main, header, digest))
+        if digest is not None:
+            holders.append(stack[-1])
     flush()
     while stack:
         close()
-    return texts, mains, around
+    return texts, mains, around, subtrees
 
 
 def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,11 +180,9 @@ def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k in range(0, len(pdf), 256):
             part = pdf.iloc[k:k + 256]
             parsed = [parse(h) for h in part["html"]]
-            kept = []
-            for texts, mains, around in parsed:
-                keep = mains if any(mains) else [True] * len(mains)   # without an article, the whole body
-                kept.append([{"text": t, "around": a} for t, m, a in zip(texts, keep, around, strict=True) if m])
-            yield pd.DataFrame({"row": part["row"], "page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": part["host"], "blocks": kept})
+            blocks = [[{"text": t, "main": m, "around": a} for t, m, a in zip(*p[:3], strict=True)] for p in parsed]
+            yield pd.DataFrame({"row": part["row"], "page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": part["host"], "blocks": blocks,
+                                "subtrees": [list(p[3]) for p in parsed]})
 
 
 def host_of(url):
@@ -181,8 +193,8 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """``page_id, url, text, n_chars`` per row of ``pages`` (``page_id, url, html``).
 
     The text is the page's article: blocks in page order, white space inside a block turned into one space,
-    joined by an empty line. Where a page marks no article, the whole body counts. A structural subtree
-    on at least ``min_pages`` pages and ``min_share`` of the pages of its host is template and goes.
+    joined by an empty line. A subtree on at least ``min_pages`` pages and ``min_share`` of the pages of its host is
+    template and goes. Where nothing marked as article remains, the rest of the body counts.
 
     Null, empty and text-free pages give an empty text. A null or odd url belongs to the host "". Repeated
     rows are pages of their own. Unclosed, crossed and cut-off markup is read as far as it goes. An empty
@@ -191,16 +203,15 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     rows = bounded_batches(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url",
                         host_of(F.col("url")).alias("host"), "html")
     parsed = written(rows.mapInPandas(
-        _parser, "row long, page_id long, url string, host string, blocks array<struct<text: string, around: array<long>>>"), "html-blocks")
-    # most articles hold no structural subtree: nothing can go, and the page needs no join
-    structured = F.exists("blocks", lambda b: F.size(b["around"]) > 0)
-    plain, rest = parsed.where(~structured), parsed.where(structured)
+        _parser, "row long, page_id long, url string, host string, blocks array<struct<text: string, main: boolean, around: array<long>>>, subtrees array<long>"), "html-blocks")
     hosts = parsed.groupBy("host").agg(F.count("*").alias("_pages"))
-    subtrees = rest.select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.around")))).alias("subtree"))
-    counted = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
+    counted = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
     template = counted.join(hosts, "host").where(F.col("_n") >= min_share * F.col("_pages")).select("host", "subtree")
-    found = subtrees.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_set("subtree").alias("_gone"))
+    # written, so that its size is known: where few pages hold template outside dropped elements, no text is shuffled
+    around = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.around")))).alias("subtree"))
+    found = written(around.join(template, ["host", "subtree"], "left_semi").groupBy("row").agg(F.collect_set("subtree").alias("_gone")), "html-template")
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("_gone", F.array().cast("array<long>"))))
-    kept = plain.select("page_id", "url", F.col("blocks.text").alias("_texts")).unionByName(
-        rest.join(found, "row", "left").select("page_id", "url", F.transform(left, lambda b: b["text"]).alias("_texts")))
+    # without an article, the whole body
+    kept = parsed.join(found, "row", "left").select("page_id", "url", left.alias("_left")).select("page_id", "url", F.filter(
+        "_left", lambda b: b["main"] | ~F.exists("_left", lambda x: x["main"]))["text"].alias("_texts"))
     return kept.select("page_id", "url", F.array_join("_texts", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

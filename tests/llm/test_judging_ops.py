@@ -86,6 +86,20 @@ def test_template_subtrees_go_per_host(spark):
     assert got[100].startswith("Our site promises quality")       # one page of its host: nothing recurs
 
 
+def test_template_counts_before_tag_and_article_rules(spark):
+    """A block that recurs inside the articles goes by count; menus and adverts are counted too."""
+    inside = "<section><p>Read our other stories</p></section>"
+    body = lambda k: f"<html><body><nav><ul><li>Home</li></ul></nav><article><p>Story {k}</p>{inside}</article><div class='ad'>Buy</div></body></html>"
+    got = {r["page_id"]: r["text"] for r in webtext.extract_pages(page(spark, [(k, f"http://h/{k}", body(k)) for k in range(8)])).collect()}
+    assert got == {k: f"Story {k}" for k in range(8)}
+    # an article that is template as a whole leaves the rest of the body
+    body = lambda k: f"<body><article><p>Welcome to the site</p></article><div><p>Story {k}</p></div></body>"
+    got = {r["page_id"]: r["text"] for r in webtext.extract_pages(page(spark, [(k, f"http://h/{k}", body(k)) for k in range(8)])).collect()}
+    assert got == {k: f"Story {k}" for k in range(8)}
+    counted = webtext.parse("<nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><p>x</p></article>")[3]
+    assert len(counted) == 4          # nav, its list, the advert and the article
+
+
 def test_pages_equal_plain_reading(spark):
     """On the generator's simple pages a reading by regular expression gives the same text."""
     pages = read_table(spark, SF, "pages")
