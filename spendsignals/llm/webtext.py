@@ -35,26 +35,55 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = set("aside details div dl figure footer form header main nav ol section table ul".split())
 LEAF = HEADINGS | set("p li dt dd td th tr pre blockquote address figcaption summary hr label html".split())     # no subtrees of their own
 DROP_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-DROP_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation "
+#: Whole class names and ids, "_" read as "-"; never parts of them.
+DROP_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation "
                  "menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices newsletter subscribe "
                  "subscription signup login popup modal overlay social share sharing related recommended comment comments "
-                 "commentlist respond disqus widget toolbar pagination pager skip".split())
+                 "commentlist respond disqus widget toolbar pagination pager skip "
+                 "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad top-ad side-ad google-ad adsbygoogle ad-placeholder "
+                 "cookie-banner cookie-bar cookie-consent cookie-message cookie-notice cookie-policy-banner cookie-popup consent-banner gdpr-banner "
+                 "site-footer page-footer main-footer footer-nav footer-menu footer-links footer-widgets site-header-nav "
+                 "main-nav main-menu main-navigation site-nav site-navigation primary-nav primary-menu nav-menu nav-bar nav-links top-nav navbar-nav "
+                 "post-navigation posts-navigation navigation-menu menu-main-menu mobile-menu mobile-nav skip-link side-bar left-sidebar right-sidebar "
+                 "sidebar-left sidebar-right widget-area widgetarea share-buttons share-bar share-links share-this social-share social-links social-media "
+                 "social-icons social-buttons sharedaddy related-posts related-articles related-stories related-content related-links recommended-posts "
+                 "recommended-articles comment-list comment-form comment-respond comments-area comments-section disqus-thread newsletter-signup newsletter-form "
+                 "subscribe-form signup-form login-form sponsored-content sponsored-links promo-box".split())
+KEEPS_NAMES = HEADINGS | set("html body main article p".split())       # never dropped by class or id
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+RAW_TEXT = set("script style iframe textarea title".split())      # without an end tag they reach to the end of the page
+FOREIGN = set("svg math".split())                                # may close themselves; a text element ends them
+_LEAVES_FOREIGN = re.compile(r"<(?=(?:p|div|h[1-6]|ul|ol|dl|table|pre|blockquote|body|main|article|section|header|footer)[\s/>])|<(?=/(?:p|div|body|main|article|section|header|footer|h[1-6]|li|td)\s*>)", re.I)
 
 
 def _marks(attributes: str) -> tuple[set[str], str]:
-    """Words of class and id, and the role."""
-    words, role = set(), ""
+    """Names in class and id, and the role."""
+    names, role = set(), ""
     if "=" in attributes:
         for name, value in _ATTR.findall(attributes):
-            value = value.strip("\"'").lower()
-            if name.lower() == "role":
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "role":
                 role = value
-            else:
-                words.update(re.split(r"[\s_-]+", value))
-    return words, role
+            elif name in ("class", "id"):
+                names.update(value.replace("_", "-").split())
+    return names, role
+
+
+def _raw_end(tag: str, attributes: str, page: str, at: int, endless: set[str]) -> int:
+    """Where the text goes on after the start tag (which ends at ``at``) of an element whose content is no text.
+    ``endless``: tags without a further end tag on the page, so that each is looked for in vain once."""
+    if tag in FOREIGN and attributes.endswith("/"):
+        return at
+    e = None if tag in endless else _RAW_END[tag].search(page, at)
+    if e is None:
+        endless.add(tag)
+    if tag in FOREIGN:
+        leaves = _LEAVES_FOREIGN.search(page, at, e.start() if e else len(page))
+        if leaves and not re.search("<foreignobject|<annotation-xml", page[at:leaves.start()], re.I):
+            return leaves.start()
+    return e.end() if e else len(page) if tag in RAW_TEXT else at
 
 
 class _Node:
@@ -107,6 +136,7 @@ def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]], set
                     holders[-1].blocks += 1
 
     at, end = 0, len(page)
+    endless: set[str] = set()
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -140,8 +170,7 @@ def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]], set
                 flush()
             continue
         if tag in RAW:
-            e = _RAW_END[tag].search(page, at)
-            at = e.end() if e else end
+            at = _raw_end(tag, m[3], page, at, endless)
             continue
         if tag not in BLOCK and tag not in DROP:
             continue                     # inline elements only mark up text
@@ -157,14 +186,14 @@ def parse(page: str | None) -> tuple[list[str], list[bool], list[list[int]], set
                 while len(stack) > depth:
                     close()
         top = stack[-1] if stack else None
-        words, role = _marks(m[3])
+        names, role = _marks(m[3])
         inside = bool(top and top.main)
-        drop = bool(top and top.drop) or tag in DROP or role in DROP_ROLES or bool(words & DROP_WORDS)
+        drop = bool(top and top.drop) or tag in DROP or role in DROP_ROLES or (tag not in KEEPS_NAMES and bool(names & DROP_NAMES))
         main = inside or (not drop and (tag in ("article", "main") or role in ("main", "article")))
         header = bool(top and top.header) or tag == "header"
         digest = None
         if tag not in LEAF:
-            digest = hashlib.blake2b(f"{tag} {' '.join(sorted(words))}\0".encode(), digest_size=8)
+            digest = hashlib.blake2b(f"{tag} {' '.join(sorted(names))}\0".encode(), digest_size=8)
             first_block.append(len(texts))
         stack.append(_Node(tag, drop, main, header, digest))
         if digest is not None:

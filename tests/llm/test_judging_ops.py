@@ -100,6 +100,23 @@ def test_template_counts_before_tag_and_article_rules(spark):
     assert len(counted) == 4          # nav, its list, the advert and the article
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<body class="single no-sidebar"><p>a</p></body>', ["a"]),
+    ('<article class="post has-comments"><p>a</p></article>', ["a"]),
+    ('<main class="with-sidebar"><p>a</p></main>', ["a"]),
+    ('<h2 id="related-work">a</h2><h3 id="ad-hoc-queries">b</h3><p class="related">c</p>', ["a", "b", "c"]),
+    ('<div class="share-price">a</div><div class="share">b</div><div class="related_posts">c</div><div class="x ad">d</div>', ["a"]),
+    ('<div data-id="menu" data-role="navigation" title="x class=ad">a</div><div role="navigation">b</div>', ["a"]),
+    ('<p>a <svg class="icon"/> b</p><p>c</p>', ["a b", "c"]),
+    ('<p>a <svg class="icon"><text>x</text></svg> b</p><math>y</math><p>c</p>', ["a b", "c"]),
+    ('<div>a<svg class="icon"></div><p>b</p>', ["a", "b"]),
+    ('<p>a</p><noscript><p>b</p>', ["a", "b"]),
+    ('<p>a</p><script>b', ["a"]),
+])
+def test_text_is_not_lost_to_loose_names_or_open_tags(html, text):
+    assert webtext.parse(html)[0] == text
+
+
 def test_pages_equal_plain_reading(spark):
     """On the generator's simple pages a reading by regular expression gives the same text."""
     pages = read_table(spark, SF, "pages")
