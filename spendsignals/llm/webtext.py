@@ -2,7 +2,8 @@
 
 1. Each page is parsed once into text blocks. Every element that holds others is a subtree, menus, adverts and
    articles too, hashed over its tag, attributes, text and the subtrees in it. A block knows those around it.
-2. Spark counts on how many pages of a host each subtree occurs; one that occurs on many is template.
+2. Spark counts on how many distinct pages of a host each subtree occurs (copies of a page are one: equal text outside
+   dropped elements); one that occurs on many is template.
 3. A page's blocks inside template subtrees go. Of what remains, elements that are never article text (menus,
    footers, adverts, forms, reader comments ...) go by their tag, role or class; then the article is preferred.
 
@@ -211,7 +212,8 @@ def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parsed = [parse(h) for h in part["html"]]
             blocks = [[{"text": t, "main": m, "around": a} for t, m, a in zip(*p[:3], strict=True)] for p in parsed]
             yield pd.DataFrame({"row": part["row"], "page_id": part["page_id"].astype("Int64"), "url": part["url"], "host": part["host"], "blocks": blocks,
-                                "subtrees": [list(p[3]) for p in parsed]})
+                                "subtrees": [list(p[3]) for p in parsed],
+                                "content": [int.from_bytes(hashlib.blake2b("\0".join(p[0]).encode(), digest_size=8).digest(), "little", signed=True) for p in parsed]})
 
 
 def host_of(url):
@@ -222,8 +224,8 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """``page_id, url, text, n_chars`` per row of ``pages`` (``page_id, url, html``).
 
     The text is the page's article: blocks in page order, white space inside a block turned into one space,
-    joined by an empty line. A subtree on at least ``min_pages`` pages and ``min_share`` of the pages of its host is
-    template and goes. Where nothing marked as article remains, the rest of the body counts.
+    joined by an empty line. A subtree on at least ``min_pages`` distinct pages and ``min_share`` of the distinct
+    pages of its host is template and goes. Where nothing marked as article remains, the rest of the body counts.
 
     Null, empty and text-free pages give an empty text. A null or odd url belongs to the host "". Repeated
     rows are pages of their own. Unclosed, crossed and cut-off markup is read as far as it goes. An empty
@@ -232,9 +234,10 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     rows = bounded_batches(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url",
                         host_of(F.col("url")).alias("host"), "html")
     parsed = written(rows.mapInPandas(
-        _parser, "row long, page_id long, url string, host string, blocks array<struct<text: string, main: boolean, around: array<long>>>, subtrees array<long>"), "html-blocks")
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("_pages"))
-    counted = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
+        _parser, "row long, page_id long, url string, host string, blocks array<struct<text: string, main: boolean, around: array<long>>>, subtrees array<long>, content long"), "html-blocks")
+    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("_pages"))
+    once = parsed.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+    counted = once.groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
     template = counted.join(hosts, "host").where(F.col("_n") >= min_share * F.col("_pages")).select("host", "subtree")
     # written, so that its size is known: where few pages hold template outside dropped elements, no text is shuffled
     around = parsed.select("row", "host", F.explode(F.array_distinct(F.flatten(F.col("blocks.around")))).alias("subtree"))

@@ -117,6 +117,14 @@ def test_text_is_not_lost_to_loose_names_or_open_tags(html, text):
     assert webtext.parse(html)[0] == text
 
 
+@pytest.mark.parametrize("around", ["<main>%s</main>", "<div>%s</div>", "<article><section>%s</section></article>"])
+def test_copies_of_a_page_are_no_template(spark, around):
+    body = lambda k: f"<body>{around % f'<p>Story {k}</p>'}</body>"
+    rows = [(k, f"http://h/{k}", body(0 if k < 6 else k)) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in webtext.extract_pages(page(spark, rows)).collect()}
+    assert got == {k: f"Story {0 if k < 6 else k}" for k in range(12)}
+
+
 def test_pages_equal_plain_reading(spark):
     """On the generator's simple pages a reading by regular expression gives the same text."""
     pages = read_table(spark, SF, "pages")
