@@ -50,12 +50,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     ``sample_chars`` characters each. The sample is the smallest hashes of the texts, so it does not depend
     on order or layout, and copies count once."""
     labelled = docs.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}   # one row per language
+    key = F.xxhash64("text")
+    # distinct texts per language, copies are one; one row per language
+    counts = {r["lang"]: r["n"] for r in labelled.select("lang", key.alias("_key")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     # a share that holds several times the sample, then exactly the smallest hashes
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 8 * sample_docs / n)))])
-    key = F.xxhash64("text")
     near = labelled.select("lang", F.substring("text", 1, sample_chars).alias("text"), key.alias("_key")).where(
         (F.col("_key") / 2.0**64 + 0.5) <= share[F.col("lang")])
     near = near.groupBy("lang", "_key").agg(F.min("text").alias("text"))

@@ -50,6 +50,15 @@ def test_language_odd_rows(spark, labelled):
     assert {r["lang_pred"] for r in langid.identify(df, {}).collect()} == {"und"}
 
 
+def test_language_of_many_copies_is_learned_from_all_its_texts(spark):
+    """Copies don't thin out the sample: it is the least hashes of the distinct texts."""
+    words = lambda k: " ".join("abcdefghij"[int(d)] * 3 for d in f"{k:05d}")
+    rows = [(k, "xx", "aa bb cc dd") for k in range(20000)] + [(20000 + k, "xx", words(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    once = df.where("doc_id >= 20000").unionByName(df.where("doc_id = 1"))
+    assert langid.train(df, sample_docs=20) == langid.train(once.withColumn("doc_id", F.col("doc_id")), sample_docs=20) != {}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head>
 <body><header>Site</header><nav><ul><li><a href="/">Home</a><li>News</ul></nav><!-- <p>hidden</p> -->
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy</div><main><article><header><h1>The  title &amp; more</h1><p>By me</p></header>
