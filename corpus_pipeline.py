@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read
-again as the next stage's ``docs``. All but the last return the columns of ``documents``. Rows that repeat a
-doc_id share the decisions made on it; rows with a null doc_id are never duplicates of others.
+again as the next stage's ``docs``. All but the last return the columns of ``documents``. Every row is judged
+by its own text, also where a doc_id is null or repeats.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendsignals.llm.common import read_table, written
+from spendsignals.llm.common import numbered, read_table, written
 from spendsignals.llm.decontam import without_leaks
 from spendsignals.llm.langid import identify, train
 from spendsignals.llm.minhash import near_duplicates
@@ -28,9 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-duplicates (operator 5, five-word shingles): the least doc_id of each group stays."""
-    kept = near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """MinHash near-duplicates (operator 5, five-word shingles): one row of each group stays, that of the least doc_id
+    (null ids last, then the least row key)."""
+    rows = numbered(docs, "dedup-rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_least")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(least).select("_least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,11 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row key ``_row``, pinned by writing it: decisions can be joined back row by row."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """Before whole texts go to Python: lower the session's Arrow batches to ``TEXT_ROWS`` rows, as Spark counts
     rows, not bytes, and a batch of very long texts would not fit a worker. A lower setting stays."""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, numbered
 from .shingles import TextHasher, shingle_hashes
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -193,6 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found (null doc_ids are compared as equal)."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of ``docs`` in which no benchmark item was found, each judged by its own text."""
+    rows = numbered(docs, "leak-rows")
+    leaked = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaked, "_row", "left_anti").select(*docs.columns)

@@ -267,3 +267,17 @@ def test_pipeline_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         for d in (docs, docs.limit(0)):
             assert stage(spark, d, SF).count() <= 5
+
+
+def test_pipeline_decides_row_by_row(spark):
+    """Null and repeated ids: one row of each group stays, and only rows that hold a passage go."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(5)]
+    leak = read_table(spark, SF, "benchmark").where("length(text) > 60").orderBy("item_id").first()["text"]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows = [(None, texts[0]), (None, texts[0]), (7, texts[1]), (7, texts[1]), (7, texts[2]), (3, texts[2]), (None, texts[3]), (9, texts[3]), (None, texts[4]), (5, None), (5, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, make(rows), SF).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (7, texts[1]), (3, texts[2]), (9, texts[3]), (None, texts[4]), (5, None), (5, None)], key=str)
+    rows = [(None, texts[0]), (None, f"{texts[1]} {leak} {texts[2]}"), (4, texts[3]), (4, f"{leak} {texts[1]}"), (None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, make(rows), SF).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (4, texts[3]), (None, None)], key=str)
