@@ -104,3 +104,25 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import span_digests
 
     return span_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import tampered_manifest
+
+    return tampered_manifest(read_table(spark, sf_dir, "documents"))
