@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..session import cut_lineage
-from .ranks import prefix_sums
-from .stats import drop_missing, exact_quantile_micros, split_by_time
+from .select import interpolated_quantile, order_rows, part_of
+from .stats import drop_missing, split_by_time
 from .timeline import DEFAULT_ROWS_PER_CHUNK, Rolling, Shift, Streak, with_timeline
 
 # The user columns joined onto transactions and the next-transaction model features.
@@ -76,54 +75,33 @@ def next_txn_dataset(features: DataFrame, profile: DataFrame) -> DataFrame:
 
 def time_split(df: DataFrame, q: float = 0.8, ts: str = "timestamp") -> tuple[DataFrame, DataFrame, DataFrame]:
     """M13 + F3: exact interpolated ``q`` quantile of time as the cutoff; rows <= cutoff train, > test.
-    Returns (train, test, cutoff one-row table). The input is read three times (quantile, train,
-    test), so it is checkpointed once to the shared checkpoint folder first."""
-    df = cut_lineage(df)
-    cut = exact_quantile_micros(df, ts, q).select(
-        C.from_naive_micros(F.floor("quantile_micros")).alias("cutoff"),
-        "quantile_micros")
-    value = cut.first()      # one number, then a plain filter
-    train, test = split_by_time(df, F.lit(value["quantile_micros"] if value else None).cast("double"), C.naive_micros(F.col(ts)))
+    Returns (train, test, cutoff one-row table). Only the time column is read for the cutoff; the split is a filter."""
+    value = interpolated_quantile(df, C.naive_micros(F.col(ts)), q)
+    rows = [] if value is None else [(value,)]
+    cut = df.sparkSession.createDataFrame(rows, "quantile_micros double").select(
+        C.from_naive_micros(F.floor("quantile_micros")).alias("cutoff"), "quantile_micros")
+    train, test = split_by_time(df, F.lit(value).cast("double"), C.naive_micros(F.col(ts)))
     return train, test, cut
 
 
 def block_folds(df: DataFrame, label: str = "next_impulse", n_splits: int = 5,
-                order=("user_id", "timestamp", "transaction_id"),
-                rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, hot=None) -> DataFrame:
+                order=("user_id", "timestamp", "transaction_id")) -> DataFrame:
     """Unshuffled stratified k-fold assignment (``fold`` column). Within each class, rows in
     table order fill fold 0, then fold 1, ...; fold sizes per class follow the round-robin
-    allocation of the sorted labels. The position of a row inside its class is the number of
-    same-class rows of earlier users (prefix sums over users) plus the running count inside the
-    user (timeline), so no global sort is needed."""
-    from .timeline import Running
+    allocation of the sorted labels. The last row of each fold and class is found by radix selection over
+    (user, time, id); the folds are literal cutoffs, so the table is neither joined nor sorted."""
     key, ts, tid = order
-    df = cut_lineage(df)   # read three times below
     y = F.col(label)
-    per_user = df.groupBy(key).agg(F.count_if(y == 0).alias("c0"), F.count_if(y == 1).alias("c1"))
-    ps = prefix_sums(per_user, key, {"c0": F.col("c0"), "c1": F.col("c1")})
-    tot = ps.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    inuser = with_timeline(df, [Running("_r0", (y == 0).cast("long")), Running("_r1", (y == 1).cast("long"))],
-                           key=key, order=(ts, tid), rows_per_chunk=rows_per_chunk, hot=hot)
-    j = (inuser.join(ps.select(key, "c0_before", "c1_before"), key)
-         .crossJoin(F.broadcast(tot)))
-    pos = F.when(y == 0, F.col("c0_before") + F.col("_r0")).otherwise(F.col("c1_before") + F.col("_r1"))
-    n0, n1 = F.col("n0"), F.col("n1")
-    # sorted labels: class 0 fills positions [0, n0), class 1 [n0, n); fold i takes positions i, i+k, ...
-    # count of class-c positions p with p % k == i, for i < f, summed = start of fold f inside the class
-    def start(f, lo, n):
-        total = F.lit(0)
-        for i in range(f):
-            # positions in [lo, lo + n) congruent to i mod k
-            first = lo + F.pmod(F.lit(i) - lo, F.lit(n_splits))
-            total = total + F.when(first < lo + n, F.floor((lo + n - 1 - first) / n_splits) + 1).otherwise(0)
-        return total
-    fold = None
-    for f in range(n_splits - 1, 0, -1):
-        s = F.when(y == 0, start(f, F.lit(0), n0)).otherwise(start(f, n0, n1))
-        cond = pos >= s
-        fold = F.when(cond, F.lit(f)) if fold is None else fold.when(cond, F.lit(f))
-    fold = F.lit(0) if fold is None else fold.otherwise(F.lit(0))
-    return j.withColumn("fold", fold.cast("int")).drop("_r0", "_r1", "c0_before", "c1_before", "n0", "n1")
+    keys = [F.col(key), C.naive_micros(F.col(ts)), F.col(tid)]
+
+    def ranks(value, counts: dict) -> list[int]:
+        """Last position of each fold but the last in its class: class 0 fills the first positions of the sorted labels,
+        which are dealt round-robin."""
+        first, n = (0 if value == 0 else counts.get(0, 0)), counts[value]
+        sizes = [len(range(first + (i - first) % n_splits, first + n, n_splits)) for i in range(n_splits)]
+        return [sum(sizes[:i + 1]) - 1 for i in range(n_splits - 1)]
+
+    return df.withColumn("fold", part_of(keys, order_rows(df, keys, ranks, y), y))
 
 
 def latest_per_user(df: DataFrame, key: str = "user_id", order=("timestamp", "transaction_id")) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from .select import interpolated_quantile
 from .ranks import prefix_sums
 
 LABEL = "impulse_label"
@@ -223,21 +224,10 @@ def time_max(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def exact_quantile_micros(df: DataFrame, ts: str, q: float) -> DataFrame:
-    """Exact linearly interpolated quantile of a timestamp (pandas ``quantile``), distributed:
-    prefix counts over distinct instants locate the two order statistics around ``q * (n - 1)``."""
-    m = df.select(C.naive_micros(F.col(ts)).alias("_m"))
-    ps = prefix_sums(m, "_m", {"c": F.lit(1)})
-    n = ps.agg(F.sum("c").alias("_n"))
-    pos = F.lit(q) * (F.col("_n") - 1)
-    lo_k, hi_k = F.floor(pos), F.ceil(pos)
-    hit = ps.crossJoin(F.broadcast(n))
-    lo = hit.where((F.col("c_before") <= lo_k) & (lo_k < F.col("c_before") + F.col("c"))).select(
-        F.col("_m").alias("_lo"), pos.alias("_pos"), lo_k.alias("_lok"))
-    hi = hit.where((F.col("c_before") <= hi_k) & (hi_k < F.col("c_before") + F.col("c"))).select(
-        F.col("_m").alias("_hi"))
-    res = lo.crossJoin(hi)   # one row each
-    frac = F.col("_pos") - F.col("_lok")
-    return res.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile_micros"))
+    """Exact linearly interpolated quantile of a timestamp (pandas ``quantile``): the two order statistics around
+    ``q * (n - 1)`` by radix selection. One row, none for an empty table."""
+    value = interpolated_quantile(df, C.naive_micros(F.col(ts)), q)
+    return df.sparkSession.createDataFrame([] if value is None else [(value,)], "quantile_micros double")
 
 
 def time_quantile(df: DataFrame, q: float = 0.8, ts: str = "timestamp", exact: bool = True) -> DataFrame:

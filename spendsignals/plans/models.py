@@ -1,31 +1,32 @@
-"""Model preparation, training, scoring and attribution with MLlib (reference steps 3-6, 8, 9):
-M1-M12, M14, P29, S5, E1, E2.
+"""Model preparation, training, scoring and attribution (reference steps 3-6, 8, 9): M1-M12, M14, P29, S5, E1, E2.
 
-Everything trains on Spark DataFrames (MLlib estimators run distributed over the partitions);
-seeds are fixed at the reference's 42. Only the tree-path attribution runs Python, per Arrow
-batch inside ``mapInPandas``, with the flattened trees (bounded by the model size) in the closure.
+Everything trains on Spark DataFrames: forests, boosted trees and their search with ``operators.trees``, the other
+models with MLlib; seeds are fixed at the reference's 42. The tree-path attribution runs Python per Arrow batch
+inside ``mapInPandas``, with the flattened trees (bounded by the model size) in the closure.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ranks import prefix_sums
+from ..operators import trees
+from ..operators.select import order_rows, part_of
+from ..operators.trees import TreeModel
 
 SEED = 42
 
@@ -40,23 +41,19 @@ def hash_key(id_col: str, seed: int = SEED):
 def stratified_split(df: DataFrame, label: str = "impulse_label", test_frac: float = 0.2, seed: int = SEED,
                      id_col: str = "transaction_id") -> DataFrame:
     """M1: ``split`` = 'test' for ceil(test_frac * n_label) rows of each label (lowest hash key),
-    'train' otherwise. Positions come from prefix counts over the hash key per label (no global sort)."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    ps = prefix_sums(keyed, "_h", {"_c": F.lit(1)}, by=[label])
-    n = ps.groupBy(label).agg(F.sum("_c").alias("_n"))
-    cut = ps.join(F.broadcast(n), label).select(label, "_h", (F.col("_c_before") < F.ceil(F.col("_n") * test_frac))
-                                                 .alias("_test"))
-    return keyed.join(cut, [label, "_h"]).withColumn(
-        "split", F.when(F.col("_test"), "test").otherwise("train")).drop("_h", "_test")
+    'train' otherwise. One hash value per label is the cutoff (radix selection): the split itself is a filter."""
+    key, y = hash_key(id_col, seed), F.col(label)
+    cuts = order_rows(df, [key], lambda g, n: [math.ceil(n[g] * test_frac) - 1], y)
+    return df.withColumn("split", F.when(part_of([key], cuts, y) == 0, "test").otherwise("train"))
 
 
 def stratified_folds(df: DataFrame, label: str = "impulse_label", k: int = 5, seed: int = SEED,
                      id_col: str = "transaction_id") -> DataFrame:
-    """M2 folds: shuffled stratified k-fold, fold = (position in hash order within the label) mod k."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    ps = prefix_sums(keyed, "_h", {"_c": F.lit(1)}, by=[label]).select(label, "_h", "_c_before")
-    return keyed.join(ps, [label, "_h"]).withColumn("fold", F.pmod(F.col("_c_before"), F.lit(k)).cast("int")) \
-        .drop("_h", "_c_before")
+    """M2 folds: shuffled stratified k-fold. The rows of a label in hash order fill fold 0, then fold 1, ...; sizes differ
+    by one at most, the larger ones first. k - 1 hash values per label are the cutoffs."""
+    key, y = hash_key(id_col, seed), F.col(label)
+    cuts = order_rows(df, [key], lambda g, n: [n[g] // k * (i + 1) + min(i + 1, n[g] % k) - 1 for i in range(k - 1)], y)
+    return df.withColumn("fold", part_of([key], cuts, y))
 
 
 # ------------------------------------------------------------------------------------------ features
@@ -93,22 +90,21 @@ def logistic(C: float = 0.1, label: str = "impulse_label") -> LogisticRegression
                               elasticNetParam=0.0, standardization=False, maxIter=1000)
 
 
-def forest(params: dict, label: str = "impulse_label") -> RandomForestClassifier:
-    """M5 (min_samples_split has no MLlib counterpart)."""
-    return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="w", seed=SEED,
-                                  numTrees=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 8)),
-                                  minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
-                                  featureSubsetStrategy=str(round(float(params.get("max_features", 0.5)), 4)))
+@dataclass(frozen=True)
+class TreeSpec:
+    """M5 / M6: an untrained tree ensemble (``operators.trees``), all searched parameters included."""
+    kind: str
+    params: dict
 
 
-def boosted(params: dict, label: str = "impulse_label") -> GBTClassifier:
-    """M6 (L1/L2 leaf penalties have no MLlib counterpart)."""
-    return GBTClassifier(featuresCol="features", labelCol=label, weightCol="w", seed=SEED,
-                         maxIter=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 5)),
-                         stepSize=float(params.get("learning_rate", 0.1)),
-                         subsamplingRate=float(params.get("subsample", 1.0)),
-                         featureSubsetStrategy=str(round(float(params.get("colsample_bytree", 1.0)), 4)),
-                         minInstancesPerNode=int(params.get("min_child_weight", 1)))
+def forest(params: dict) -> TreeSpec:
+    """M5: balanced forest; parameters of ``RF_SPACE``."""
+    return TreeSpec("forest", params)
+
+
+def boosted(params: dict) -> TreeSpec:
+    """M6: second-order boosted trees, positives weighted by the class ratio; parameters of ``GBT_SPACE``."""
+    return TreeSpec("boosted", params)
 
 
 def with_class_weights(df: DataFrame, estimator) -> DataFrame:
@@ -119,17 +115,29 @@ def with_class_weights(df: DataFrame, estimator) -> DataFrame:
     return add(df, estimator.getLabelCol(), estimator.getWeightCol())
 
 
-def fit(df: DataFrame, feats, estimator, scale: bool = False) -> PipelineModel:
+def fit_trees(df: DataFrame, feats, specs, label: str, hold_out=None) -> list[TreeModel]:
+    """Train ensembles over the same rows in common passes; ``hold_out`` lists the fold each one does not see."""
+    data = trees.pack(df, feats, label)
+    models = [trees.Ensemble(s.kind, s.params, f) for s, f in zip(specs, hold_out or [None] * len(specs), strict=True)]
+    trees.train(data, models)
+    return [TreeModel(m, data.feats, data.edges) for m in models]
+
+
+def fit(df: DataFrame, feats, estimator, scale: bool = False, label: str = "impulse_label") -> PipelineModel | TreeModel:
     """Fit on ``df`` with class weights (and, for the logistic model, the strength of its penalty) taken
     from these rows alone."""
+    if isinstance(estimator, TreeSpec):
+        return fit_trees(df, feats, [estimator], label)[0]
     if isinstance(estimator, LogisticRegression):
         estimator = estimator.copy({estimator.regParam: estimator.getRegParam() / max(1, df.count())})
     stages = [assembler(feats)] + ([scaler()] if scale else []) + [estimator]
     return Pipeline(stages=stages).fit(with_class_weights(df, estimator))
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
+def score(model: PipelineModel | TreeModel, df: DataFrame, out: str = "prob") -> DataFrame:
     """M9: positive-class probability column."""
+    if isinstance(model, TreeModel):
+        return model.score(df, out)
     s = model.transform(df)
     return s.withColumn(out, vector_to_array(F.col("probability"))[1]).drop(
         "features", "scaled", "rawPrediction", "probability", "prediction")
@@ -171,30 +179,19 @@ def sample_space(space: dict, n: int, seed: int = SEED) -> list[dict]:
     return out
 
 
-SEARCHED = {"RandomForestClassifier": ["numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy"],
-            "GBTClassifier": ["maxIter", "maxDepth", "stepSize", "subsamplingRate", "featureSubsetStrategy",
-                              "minInstancesPerNode"]}
-
-
-def search(df: DataFrame, feats, make, space: dict, n_trials: int = 40, folds: int = 5,
-           label: str = "impulse_label", parallelism: int = 4):
-    """M7: candidates sampled from the reference's ranges, scored by mean CV ROC-AUC with MLlib's
-    CrossValidator over the ``fold`` column (folds trained in parallel); returns the best candidate,
-    its mean AUC, the refitted best model and the (candidate, AUC) list."""
-    cands = sample_space(space, n_trials)
-    est = make(cands[0], label)
-    names = SEARCHED[type(est).__name__]
-    maps = []
-    for c in cands:
-        e = make(c, label)
-        maps.append({est.getParam(n): e.getOrDefault(e.getParam(n)) for n in names})
-    pipe = Pipeline(stages=[assembler(feats), est])
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=folds,
-                        parallelism=parallelism, seed=SEED)
-    model = cv.fit(with_class_weights(df, est))     # folds are stratified: their class shares are those of df
-    best = int(np.argmax(model.avgMetrics))
-    return cands[best], model.avgMetrics[best], model.bestModel, list(enumerate(model.avgMetrics))
+def with_trees(params: dict, share: float) -> dict:
+    """``params`` with this share of its trees (at least five)."""
+    return params | {"n_estimators": max(5, round(params["n_estimators"] * share))}
+
+
+def search(data: trees.Packed, make, space: dict, n_trials: int = 40, folds: int = 5, tree_share: float = 1.0):
+    """M7: candidates sampled from the reference's ranges, each trained on all but one of the even folds and judged
+    by the mean exact ROC-AUC of the held-out ones; class weights come from the rows of each fit. All candidates and
+    folds grow in common passes, with ``tree_share`` of their trees. Returns the candidates (with all their trees), the
+    AUC of each, the place of the best and the number of passes."""
+    candidates = sample_space(space, n_trials)
+    auc, passes = trees.search(data, make({}).kind, [with_trees(c, tree_share) for c in candidates], folds)
+    return candidates, auc, int(np.argmax(auc)), passes
 
 
 def cross_validate(df: DataFrame, feats, make_estimator, folds: int = 5, label: str = "impulse_label",
@@ -218,11 +215,13 @@ def cross_validate(df: DataFrame, feats, make_estimator, folds: int = 5, label:
 def fit_calibrated(df: DataFrame, feats, make_estimator, folds: int = 3, label: str = "impulse_label",
                    scale: bool = False):
     """M8: for each of ``folds`` folds, fit on the others and fit an isotonic map on the held-out
-    fold's scores; returns the (model, isotonic) pairs."""
-    pairs = []
+    fold's scores; returns the (model, isotonic) pairs. Tree ensembles of all folds grow together."""
+    pairs, ready = [], None
+    if isinstance(make_estimator(), TreeSpec):
+        ready = fit_trees(df, feats, [make_estimator()] * folds, label, list(range(folds)))
     for f in range(folds):
         train, hold = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
-        m = fit(train, feats, make_estimator(), scale=scale)
+        m = ready[f] if ready else fit(train, feats, make_estimator(), scale=scale)
         s = score(m, hold, "raw_prob")
         iso = IsotonicRegression(featuresCol="raw_prob", labelCol=label, predictionCol="cal_prob", isotonic=True).fit(s)
         pairs.append((m, iso))
@@ -247,22 +246,26 @@ def odds_ratios(spark: SparkSession, model: PipelineModel, feats) -> DataFrame:
     return df.withColumn("odds_ratio", F.exp("coefficient"))
 
 
-def importance(spark: SparkSession, model: PipelineModel, feats, model_name: str = "model") -> DataFrame:
+def importance(spark: SparkSession, model: TreeModel, feats, model_name: str = "model") -> DataFrame:
     """Model-native importance per feature with its ordinal rank."""
-    imp = model.stages[-1].featureImportances.toArray()
+    imp = model.importance()
     from ..operators.explain import ordinal_ranks
     df = spark.createDataFrame([(model_name, f, float(v)) for f, v in zip(feats, imp)],
                                "model string, feature string, importance double")
     return ordinal_ranks(df, "importance", "rank")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel | TreeModel, path: str) -> None:
     """S5."""
-    model.write().overwrite().save(path)
+    if isinstance(model, TreeModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, kind: str = "pipeline") -> PipelineModel | TreeModel:
+    """``kind`` is "pipeline" or "trees"."""
+    return TreeModel.load(SparkSession.active(), path) if kind == "trees" else PipelineModel.load(path)
 
 
 # ------------------------------------------------------------------------------------------ segmentation
@@ -336,35 +339,6 @@ def logistic_attribution(model: PipelineModel, df: DataFrame, feats, id_col: str
         id_col, F.lit(name).alias("model"), "_p.feature", "_p.value")
 
 
-def flatten_trees(ensemble) -> list[dict]:
-    """Node arrays of every tree of an MLlib ensemble (read once on the driver; size is the model's): split
-    feature (-1: leaf), threshold, children, share of the parent's training weight, and the leaf's output (value
-    of a regression tree, probability of class 1 of a classification tree), times the tree's weight."""
-    trees = []
-    boosted_trees = type(ensemble).__name__.startswith("GBT")
-    weights = ensemble.treeWeights if boosted_trees else [1.0 / len(ensemble.trees)] * len(ensemble.trees)
-    for t, w in zip(ensemble.trees, weights):
-        feat, thr, left, right, cover, val = [], [], [], [], [], []
-
-        def walk(node):
-            i = len(feat)
-            stats = list(node.impurityStats().stats())
-            total = float(stats[0] if boosted_trees else sum(stats))
-            out = float(node.prediction()) if boosted_trees else float(stats[1]) / total
-            feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), cover.append(total), val.append(w * out)
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                feat[i] = int(split.featureIndex())
-                thr[i] = float(split.threshold())
-                left[i] = walk(node.leftChild())
-                right[i] = walk(node.rightChild())
-            return i
-
-        walk(t._java_obj.rootNode())
-        trees.append({"feat": feat, "thr": thr, "left": left, "right": right, "cover": cover, "val": val})
-    return trees
-
-
 def leaf_paths(tree: dict) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
     """(output, {feature: (low, high, share)}) per leaf: the row goes there if low < x <= high for every feature
     on its path; share is the part of the training weight that follows the path at the feature's splits."""
@@ -386,35 +360,60 @@ def shapley_values(paths, x: np.ndarray, n_features: int) -> np.ndarray:
     """Exact Shapley values (rows x features, last column the expected output) of the sum of leaves, where
     features outside a coalition follow the training weights. Per leaf a feature either lets the row through
     (1 or 0) or counts with its share; the sum over coalitions is a product of linear polynomials whose
-    coefficient k belongs to coalitions of k features."""
+    coefficient k belongs to coalitions of k features. The product is built once per leaf and each feature divided
+    out of it, once for all rows that pass the same features."""
     phi = np.zeros((len(x), n_features + 1))
     for value, path in paths:
         m = len(path)
         phi[:, n_features] += value * math.prod(s for _, _, s in path.values())
-        if not m:
+        if not m or not len(x):
             continue
-        through = {f: ((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, (lo, hi, _) in path.items()}
-        weight = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
-        for f, (_, _, share) in path.items():
-            poly = np.zeros((len(x), m))
-            poly[:, 0] = 1.0
-            for g, (_, _, other) in path.items():
-                if g != f:
-                    moved = np.zeros_like(poly)
-                    moved[:, 1:] = poly[:, :-1] * through[g][:, None]
-                    poly = poly * other + moved
-            phi[:, f] += value * (through[f] - share) * (poly @ weight)
+        feats = list(path)
+        through = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in feats], axis=1)
+        patterns, of_row = np.unique(through, axis=0, return_inverse=True)
+        phi[:, feats] += value * _path_values(patterns.astype(float), np.array([path[f][2] for f in feats]))[of_row.ravel()]
     return phi
 
 
-def tree_attribution(model: PipelineModel, df: DataFrame, feats, id_col: str = "transaction_id",
+def _path_values(through: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of one leaf with output 1 (patterns x features of its path)."""
+    n, m = through.shape
+    product = np.zeros((n, m + 1))
+    product[:, 0] = 1.0
+    for j in range(m):
+        moved = np.zeros_like(product)
+        moved[:, 1:] = product[:, :-1] * through[:, j:j + 1]
+        product = product * share[j] + moved
+    weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+    # product = (share + through z) * quotient: from the top where the feature lets the row through, else by its share
+    quotient, total = np.zeros((n, m)), np.zeros((n, m))
+    for k in range(m - 1, -1, -1):
+        quotient = product[:, k + 1:k + 2] - share * quotient
+        total += weight[k] * quotient
+    by_share = (product[:, :m] @ np.array(weight))[:, None] / np.where(share > 0, share, 1.0)
+    out = np.where(through > 0, total, by_share)
+    for j in np.flatnonzero(share == 0):            # nothing to divide by: the product of the others
+        rows = np.flatnonzero(through[:, j] == 0)
+        if len(rows):
+            rest = np.zeros((len(rows), m))
+            rest[:, 0] = 1.0
+            for g in range(m):
+                if g != j:
+                    moved = np.zeros_like(rest)
+                    moved[:, 1:] = rest[:, :-1] * through[rows, g:g + 1]
+                    rest = rest * share[g] + moved
+            out[rows, j] = rest @ np.array(weight)
+    return (through - share) * out
+
+
+def tree_attribution(model: TreeModel, df: DataFrame, feats, id_col: str = "transaction_id",
                      name: str = "boosted") -> DataFrame:
     """E2, tree ensembles: Shapley values of the margin (boosted trees) or of the probability (forest), long
     table; the 'bias' row is the expected output, so a row's values add up to its output. Runs per Arrow
     batch in ``mapInPandas``; the paths in the closure are bounded by the model."""
-    paths = [p for t in flatten_trees(model.stages[-1]) for p in leaf_paths(t)]
+    paths = [p for t in model.flattened() for p in leaf_paths(t)]
     nf = len(feats)
-    x = model.stages[0].transform(df).select(id_col, vector_to_array("features").alias("_x"))
+    x = df.select(id_col, trees.matrix(list(feats)).alias("_x"))
     names = list(feats) + ["bias"]
 
     def run(batches):
@@ -428,6 +427,6 @@ def tree_attribution(model: PipelineModel, df: DataFrame, feats, id_col: str = "
     return x.mapInPandas(run, schema)
 
 
-def margin(model: PipelineModel, df: DataFrame, id_col: str = "transaction_id") -> DataFrame:
-    """Raw margin of a GBT pipeline (sum of weighted tree outputs), for the additivity check."""
-    return model.transform(df).select(id_col, (vector_to_array("rawPrediction")[1]).alias("margin"))
+def margin(model: TreeModel, df: DataFrame, id_col: str = "transaction_id") -> DataFrame:
+    """Raw margin of boosted trees (sum of tree outputs), for the additivity check."""
+    return model.score(df, "margin", margin=True).select(id_col, "margin")

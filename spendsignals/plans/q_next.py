@@ -224,9 +224,8 @@ def _fold_starts():
 @register("m15_block_folds", nsql(_FOLD_SQL.format(starts=_fold_starts())))
 def m15(spark, sf):
     """Unshuffled stratified 5-fold assignment without a global sort."""
-    c = I.Ctx(spark, sf)
-    ds = c.next_labelled.select("transaction_id", "user_id", "timestamp", "next_impulse")
-    return NX.block_folds(ds, hot=c.hot).select("transaction_id", "fold")
+    ds = I.Ctx(spark, sf).next_labelled.select("transaction_id", "user_id", "timestamp", "next_impulse")
+    return NX.block_folds(ds).select("transaction_id", "fold")
 
 
 @register("w13_latest_per_user", nsql(
