@@ -19,7 +19,7 @@ from .ranks import prefix_sums
 
 LABEL = "impulse_label"
 
-# Features of the reference's significance table (T5) and correlation matrix.
+# Features of the reference's significance table (T5) and correlation matrix.
 SIGNIFICANCE_FEATURES = ["spend_to_salary_ratio", "spend_zscore", "drawdown_ratio", "balance_stress",
                          "is_late_night", "is_weekend", "category_impulse_risk", "user_impulse_rate",
                          "txn_count_last3"]
@@ -78,14 +78,44 @@ def normal_two_sided_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+#: Up to this many pairs the exact distribution of U is counted; beyond it one group of eight is long past asymptotic.
+EXACT_GROUP, EXACT_PAIRS = 8, 200_000
+
+
+def exact_u_two_sided_p(n0: int, n1: int, u: float) -> float:
+    """Two-sided p-value of U without ties: twice the share of the arrangements with a U at least as far out. The counts
+    are the coefficients of the Gaussian binomial: one factor 1 - q^(n + i) and one division by 1 - q^i per member of the
+    smaller group, in whole numbers."""
+    m, n = sorted((int(n0), int(n1)))
+    size = m * n + 1
+    ways = [1] + [0] * (size - 1)
+    for i in range(1, m + 1):
+        for k in range(size - 1, n + i - 1, -1):
+            ways[k] -= ways[k - n - i]
+        for k in range(i, size):
+            ways[k] += ways[k - i]
+    far = math.ceil(max(u, m * n - u))
+    return min(1.0, 2 * sum(ways[far:]) / math.comb(m + n, m))
+
+
+def u_two_sided_p(n0: int, n1: int, u: float, ties: float, z: float) -> float:
+    """Exact where one group has at most eight members and no two values are equal, else by the normal tail of z (which
+    carries the tie and the continuity correction)."""
+    if n0 and n1 and min(n0, n1) <= EXACT_GROUP and ties == 0 and n0 * n1 <= EXACT_PAIRS:
+        return exact_u_two_sided_p(n0, n1, u)
+    if z is None or math.isnan(z):
+        return float("nan")
+    return min(1.0, math.erfc(z / math.sqrt(2.0)))
+
+
 @F.pandas_udf(T.DoubleType())
-def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
+def _u_p(n0: pd.Series, n1: pd.Series, u: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    return pd.Series([u_two_sided_p(*row) for row in zip(n0, n1, u, ties, z)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
-def _z_p(z: pd.Series) -> pd.Series:
-    return z.map(normal_two_sided_p).astype("float64")
+def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
 
 
 # ----------------------------------------------------------------------------- aggregates
@@ -130,9 +160,10 @@ def unpivot(df: DataFrame, cols, keep=(), name: str = "feature", value: str = "v
     ).select(*keep, f"_kv.{name}", f"_kv.{value}")
 
 
-def mann_whitney(df: DataFrame, features, group: str = LABEL) -> DataFrame:
+def mann_whitney(df: DataFrame, features, group: str = LABEL, p_values: bool = False) -> DataFrame:
     """Two-sided Mann-Whitney U of group 0 against group 1, per feature, from pooled average
-    ranks (one prefix-sum pass for all features); asymptotic z with tie and continuity correction."""
+    ranks (one prefix-sum pass for all features); asymptotic z with tie and continuity correction. With
+    ``p_values`` also ``p_value``: exact for a group of at most eight without ties, else asymptotic."""
     long = unpivot(df.where(F.col(group).isin(0, 1)), features, keep=[group]).where(F.col("value").isNotNull())
     ps = prefix_sums(long, "value", {"c": F.lit(1), "c0": (F.col(group) == 0).cast("long")}, by=["feature"])
     rank = F.col("c_before") + (F.col("c") + 1) / 2.0
@@ -147,25 +178,24 @@ def mann_whitney(df: DataFrame, features, group: str = LABEL) -> DataFrame:
     sigma = F.sqrt(n0 * n1 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     u_big = F.greatest(u0, n0 * n1 - u0)
     z = (u_big - mu - 0.5) / sigma
-    return s.select("feature", "n0", "n1", u0.alias("u_stat"), z.alias("z"))
-
-
-def with_z_p(res: DataFrame, z: str = "z") -> DataFrame:
-    return res.withColumn("p_value", _z_p(F.col(z)))
+    out = s.select("feature", "n0", "n1", u0.alias("u_stat"), z.alias("z"), F.col("ties").cast("double").alias("_ties"))
+    # one row per feature
+    return (out.withColumn("p_value", _u_p("n0", "n1", "u_stat", "_ties", "z")) if p_values else out).drop("_ties")
 
 
-def significance_table(df: DataFrame, features=None, label: str = LABEL) -> DataFrame:
-    """T5 (+ P30): class means, percent difference and Mann-Whitney significance per feature."""
+def significance_table(df: DataFrame, features=None, label: str = LABEL, p_values: bool = False) -> DataFrame:
+    """T5 (+ P30): class means, percent difference and Mann-Whitney significance per feature, with ``p_values`` also the
+    p-value."""
     features = features or SIGNIFICANCE_FEATURES
     long = unpivot(df, features, keep=[label])
     means = long.groupBy("feature").agg(
         F.avg(F.when(F.col(label) == 0, F.col("value"))).alias("mean_non_impulse"),
         F.avg(F.when(F.col(label) == 1, F.col("value"))).alias("mean_impulse"))
-    mw = mann_whitney(df, features, label)
+    mw = mann_whitney(df, features, label, p_values)
     out = means.join(mw, "feature")
     return out.select("feature", "mean_non_impulse", "mean_impulse",
                       C.pct_diff(F.col("mean_impulse"), F.col("mean_non_impulse")).alias("diff_pct"),
-                      "u_stat", "z", C.flag(F.abs("z") > Z_05).alias("significant"))
+                      "u_stat", "z", C.flag(F.abs("z") > Z_05).alias("significant"), *["p_value"] * p_values)
 
 
 def correlation_table(df: DataFrame, cols=None) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,15 +215,14 @@ def fit_calibrated(df: DataFrame, feats, make_estimator, folds: int = 3, label:
                    scale: bool = False):
     """M8: for each of ``folds`` folds, fit on the others and fit an isotonic map on the held-out
     fold's scores; returns the (model, isotonic) pairs. Tree ensembles of all folds grow together."""
+    from ..operators.isotonic import fit_isotonic
     pairs, ready = [], None
     if isinstance(make_estimator(), TreeSpec):
         ready = fit_trees(df, feats, [make_estimator()] * folds, label, list(range(folds)))
     for f in range(folds):
         train, hold = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
         m = ready[f] if ready else fit(train, feats, make_estimator(), scale=scale)
-        s = score(m, hold, "raw_prob")
-        iso = IsotonicRegression(featuresCol="raw_prob", labelCol=label, predictionCol="cal_prob", isotonic=True).fit(s)
-        pairs.append((m, iso))
+        pairs.append((m, fit_isotonic(score(m, hold, "raw_prob"), "raw_prob", label)))
     return pairs
 
 
@@ -232,7 +230,7 @@ def score_calibrated(pairs, df: DataFrame, out: str = "prob") -> DataFrame:
     """M8/M9: mean over folds of isotonic(model(x))."""
     cur = df
     for i, (m, iso) in enumerate(pairs):
-        cur = iso.transform(score(m, cur, "raw_prob")).withColumnRenamed("cal_prob", f"_c{i}").drop("raw_prob")
+        cur = iso.transform(score(m, cur, "raw_prob"), "raw_prob", f"_c{i}").drop("raw_prob")
     return cur.withColumn(out, sum(F.col(f"_c{i}") for i in range(len(pairs))) / len(pairs)).drop(
         *[f"_c{i}" for i in range(len(pairs))])
 

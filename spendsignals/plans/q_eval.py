@@ -97,6 +97,16 @@ def x05(spark, sf):
     return X.curve_points(I.model_scores(spark, sf))
 
 
+@register("x05_curve_corners", esql(
+    "SELECT model, prob AS threshold, CAST(ctp AS BIGINT) AS tp, CAST(cfp AS BIGINT) AS fp, ctp / P AS tpr, cfp / N AS fpr, "
+    "ctp / (ctp + cfp) AS precision FROM (SELECT *, lead(ctp) OVER w - ctp AS up, lead(cfp) OVER w - cfp AS right_, "
+    "ctp - coalesce(lag(ctp) OVER w, 0) AS up0, cfp - coalesce(lag(cfp) OVER w, 0) AS right0 FROM cum "
+    "WINDOW w AS (PARTITION BY model ORDER BY prob DESC)) WHERE up IS NULL OR up * right0 <> up0 * right_", _X5))
+def x05c(spark, sf):
+    """The corners of the ROC curve only."""
+    return X.curve_corners(I.model_scores(spark, sf))
+
+
 _TH = "[" + ", ".join(f"CAST({t!r} AS DOUBLE)" for t in X.SWEEP_THRESHOLDS) + "]"
 SWEEP_SQL = f"""SELECT model, threshold_index, threshold, tp, fp, fn, tn, precision, recall, f1,
   CASE WHEN row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold_index) = 1 THEN 1 ELSE 0 END AS is_best

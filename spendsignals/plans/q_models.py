@@ -12,7 +12,6 @@ import uuid
 from functools import cached_property, reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from ..operators import evaluation as X
 from ..operators import explain as E
 from ..operators import trees
 from ..operators.features import feature_columns
+from ..operators.isotonic import Isotonic
 from ..operators.segments import CLUSTER_FEATURES
 from ..session import ensure_checkpoint_dir
 from . import inputs as I
@@ -242,8 +242,8 @@ def s05(spark, sf):
     pairs = M.fit_calibrated(c.thirds, c.feats, M.logistic, folds=3, label=LABEL, scale=True)
     for i, (m, iso) in enumerate(pairs):
         M.save_model(m, f"{root}/model-{i}")
-        iso.write().overwrite().save(f"{root}/isotonic-{i}")
-    back = [(M.load_model(f"{root}/model-{i}"), IsotonicRegressionModel.load(f"{root}/isotonic-{i}")) for i in range(len(pairs))]
+        iso.save(spark, f"{root}/isotonic-{i}")
+    back = [(M.load_model(f"{root}/model-{i}"), Isotonic.load(spark, f"{root}/isotonic-{i}")) for i in range(len(pairs))]
     c.split.select("transaction_id", "split").write.parquet(f"{root}/split")
     test = c.eng.join(spark.read.parquet(f"{root}/split").where("split = 'test'"), "transaction_id", "left_semi")
     a = M.score_calibrated(pairs, c.test, "p_a").select("transaction_id", "p_a", LABEL)

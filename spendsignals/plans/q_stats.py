@@ -64,7 +64,22 @@ def t01(spark, sf):
     return S.t_test(I.txn(spark, sf), "impulse_label", "is_weekend")
 
 
-@register("t01_t_test_p")
+#: Two-sided tails by Simpson's rule over u in [0, 1), x = edge + u / (1 - u).
+_GRID = "(SELECT i / 4000.0 AS u, CASE WHEN i = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight FROM range(4000) r(i))"
+_NORMAL_P = f"least(1.0, (SELECT 2 * sum(weight * exp(-power(z + u / (1 - u), 2) / 2) / power(1 - u, 2)) / 12000.0 / sqrt(2 * pi()) FROM {_GRID}))"
+_T_P = f"""(SELECT 2 * sum(weight * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2) - ln(dof * pi()) / 2
+  - (dof + 1) / 2 * ln(1 + power(abs(t_stat) + u / (1 - u), 2) / dof)) / power(1 - u, 2)) / 12000.0 FROM {_GRID})"""
+
+
+@register("t01_t_test_p", rsql(
+    f"SELECT *, {_T_P} AS p_value FROM (SELECT n0, n1, mean0, mean1, (mean0 - mean1) / sqrt(((n0 - 1) * var0 + (n1 - 1) * var1) / (n0 + n1 - 2)"
+    " * (1.0 / n0 + 1.0 / n1)) AS t_stat, CAST(n0 + n1 - 2 AS DOUBLE) AS dof FROM ("
+    "SELECT count(impulse_label) FILTER (WHERE is_weekend = 0) AS n0, "
+    "count(impulse_label) FILTER (WHERE is_weekend = 1) AS n1, "
+    "avg(impulse_label) FILTER (WHERE is_weekend = 0) AS mean0, avg(impulse_label) FILTER (WHERE is_weekend = 1) AS mean1, "
+    "var_samp(impulse_label) FILTER (WHERE is_weekend = 0) AS var0, "
+    "var_samp(impulse_label) FILTER (WHERE is_weekend = 1) AS var1 FROM txn))", (),
+    ["mean0", "mean1", "t_stat", "dof", "p_value"]))
 def t01p(spark, sf):
     """T1 with its two-sided p-value (t distribution on the one-row result)."""
     return S.with_t_p(S.t_test(I.txn(spark, sf), "impulse_label", "is_weekend"))
@@ -105,16 +120,10 @@ def t02(spark, sf):
     return S.mann_whitney(I.eng(spark, sf), S.SIGNIFICANCE_FEATURES)
 
 
-@register("t02_mann_whitney_p")
+@register("t02_mann_whitney_p", _mw_sql(f"SELECT feature, n0, n1, u_stat, z, {_NORMAL_P} AS p_value FROM mw", ["u_stat", "z", "p_value"]))
 def t02p(spark, sf):
-    """T2 with two-sided asymptotic p-values (one row per feature)."""
-    return S.with_z_p(S.mann_whitney(I.eng(spark, sf), S.SIGNIFICANCE_FEATURES))
-
-
-@register("t05_significance_p")
-def t05p(spark, sf):
-    """T5 with the p-value beside the flag."""
-    return S.with_z_p(S.significance_table(I.eng(spark, sf)))
+    """T2 with two-sided p-values (one row per feature; both groups are far over eight here, so asymptotic)."""
+    return S.mann_whitney(I.eng(spark, sf), S.SIGNIFICANCE_FEATURES, p_values=True)
 
 
 _T5 = ["mean_non_impulse", "mean_impulse", "diff_pct", "u_stat", "z"]
@@ -131,6 +140,17 @@ def t05(spark, sf):
     return S.significance_table(I.eng(spark, sf))
 
 
+@register("t05_significance_p", _mw_sql(
+    "SELECT m.feature, mean_non_impulse, mean_impulse, (mean_impulse - mean_non_impulse) / (mean_non_impulse + 1e-9)"
+    f" * 100 AS diff_pct, u_stat, z, CASE WHEN abs(z) > 1.959963984540054 THEN 1 ELSE 0 END AS significant, {_NORMAL_P} AS p_value "
+    "FROM (SELECT feature, avg(value) FILTER (WHERE impulse_label = 0) AS mean_non_impulse, "
+    "avg(value) FILTER (WHERE impulse_label = 1) AS mean_impulse FROM mw_long GROUP BY feature) m "
+    "JOIN mw USING (feature)", _T5 + ["p_value"]))
+def t05p(spark, sf):
+    """T5 with the p-value beside the flag."""
+    return S.significance_table(I.eng(spark, sf), p_values=True)
+
+
 _PAIRS = [(a, b) for i, a in enumerate(S.CORRELATION_FEATURES) for b in S.CORRELATION_FEATURES[:i]]
 _CORR_SQL = rsql(
     "SELECT split_part(pair, '__', 1) AS feature_a, split_part(pair, '__', 2) AS feature_b, r FROM (SELECT "
