@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty, written
-from .tokens import FastEncoder
+from .common import TEXT_ROWS, text_or_empty, written
+from .tokens import shared_encoder
 
 MAX_LEN, END_ID = 2048, 0
 
@@ -33,9 +33,9 @@ def cut_lengths(n: int, max_len: int) -> list[int]:
     return ([rest] if rest else []) + [max_len] * (n // max_len)
 
 
-def _tokenizer(path: str, max_len: int, id_type: pa.DataType):
+def _tokenizer(path: str, max_len: int, keep_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = FastEncoder(path)
+        enc = shared_encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         seen: dict[int, int] = {}
         for batch in batches:
@@ -47,38 +47,38 @@ def _tokenizer(path: str, max_len: int, id_type: pa.DataType):
                     ids = raw[4 * at:4 * (at + n)]
                     rank = seen.get(n, 0)
                     seen[n] = rank + 1
-                    for c, v in zip(cols, (doc, k, at, n, zlib.crc32(ids), rank, ids), strict=True):
+                    for c, v in zip(cols, (doc, k, at, n, zlib.crc32(ids), rank, ids if keep_ids else None), strict=True):
                         c.append(v)
                     at += n
                 size += len(raw)
-                if size > 8_000_000:
-                    yield _piece_batch(cols, part, id_type)
+                if keep_ids and size > 8_000_000:
+                    yield _piece_batch(cols, part, keep_ids)
                     cols, size = [[], [], [], [], [], [], []], 0
             if cols[0]:
-                yield _piece_batch(cols, part, id_type)
+                yield _piece_batch(cols, part, keep_ids)
 
     return pieces
 
 
-def _piece_batch(cols, part, id_type) -> pa.RecordBatch:
-    ids = cols[6]
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()),
-         pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64()), pa.array([part] * len(ids), pa.int64()),
-         pa.ListArray.from_arrays(pa.array(offsets), flat)],
-        names=["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part", "ids"])
+def _piece_batch(cols, part, keep_ids) -> pa.RecordBatch:
+    arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:6]),
+              pa.array([part] * len(cols[0]), pa.int64())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"]
+    if keep_ids:
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in cols[6]])]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(cols[6]), dtype="<u4").astype(np.int32))
+        arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, rank, part, ids`` per piece, written once in the shared
-    folder. ``rank`` counts the pieces of equal length within the task ``part``."""
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("part"),
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, keep_ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, rank, part`` and, unless told otherwise, ``ids`` per piece, written once in
+    the shared folder. ``rank`` counts the pieces of equal length within the task ``part``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().cast("long").alias("part"),
                        text_or_empty().alias("text"))
-    out = rows.mapInArrow(_tokenizer(tokenizer_path, max_len, pa.int32()),
-                          "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part long, ids array<int>")
-    return written(out, "pieces")
+    out = rows.mapInArrow(_tokenizer(tokenizer_path, max_len, keep_ids),
+                          "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part long" + ", ids array<int>" * keep_ids)
+    return written(out, "pieces", TEXT_ROWS)
 
 
 def plan_best_fit(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, int, int, int, int, int]]:
@@ -121,18 +121,19 @@ def plan_best_fit(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[
     return runs
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, keep_ids: bool = True) -> DataFrame:
     """Pack ``docs`` (``doc_id, text``) into sequences of at most ``max_len`` tokens.
 
     One row per piece: ``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``. A document is its
     token ids followed by id 0; only longer documents are cut (``cut_lengths``). Sequences are filled from
-    offset 0 without gaps. Reading without ``ids`` leaves them in the file.
+    offset 0 without gaps. With ``keep_ids`` false there is no ``ids`` column: the plan alone, as ``ids_crc32`` (of all
+    ids) and ``length`` describe it.
 
     Null or empty text is the end id alone. Null doc_ids and repeated rows are documents of their own. Very
     long texts are encoded in parts that join exactly. An empty table gives an empty result; extra columns
     are ignored.
     """
-    pieces = tokenize_pieces(docs, tokenizer_path, max_len)
+    pieces = tokenize_pieces(docs, tokenizer_path, max_len, keep_ids)
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("_n"))
     # one row per length: at most max_len
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
@@ -141,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN)
     starts = by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("_before"))
     ranked = pieces.join(starts, ["length", "part"]).withColumn("_rank", F.col("rank") + F.col("_before"))
     return (ranked.withColumn("_slot", _slot_finder(runs)("length", "_rank"))
-            .select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "_slot.sequence_id", "_slot.offset"))
+            .select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "_slot.sequence_id", "_slot.offset"))
 
 
 def _slot_finder(runs):

@@ -43,7 +43,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
 
 
 @query

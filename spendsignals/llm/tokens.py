@@ -1,9 +1,8 @@
-"""Exact byte-level BPE encoding with a cache of words.
+"""Exact byte-level BPE encoding.
 
-The pre-tokenizer never joins a non-space character with white space after it, so a text may be cut at
-every such place and the ids of the cuts joined. Words recur, so their ids are kept as bytes. Words not
-seen yet are merged by the ranks of the same vocabulary file; ``tests/llm`` holds the ids against the
-``tokenizers`` library, and each task checks a sample against it before use.
+Texts are encoded whole by the ranks of the vocabulary file. The pre-tokenizer never joins a non-space character with
+white space after it, so a very long text is cut at such places and the ids of the parts joined. ``tests/llm`` holds the
+ids against the ``tokenizers`` library, and an encoder checks a sample against it before use.
 """
 
 from __future__ import annotations
@@ -11,14 +10,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import types
 
 import numpy as np
 
 #: Unicode white space as the pattern's \s has it (Python's own \s also takes \x1C-\x1F). Fixed values.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUNS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_AFTER_SPACE = re.compile(f"[{_WS}][ \n]|\x00")
-CACHE_WORDS = 400_000
+_CUT = re.compile(f"(?<=[^{_WS}])[{_WS}]")
+PART_CHARS = 500_000
 #: The pre-tokenizer's pattern of this vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SAMPLE = "The cañón's 42nd; don't\n\n  stop -- über_all!  x\t1.5e3 你好 ́ we'll go "
@@ -50,23 +50,29 @@ class FastEncoder:
         same = library.encode(_SAMPLE, add_special_tokens=False).ids == self._own.encode_ordinary(_SAMPLE)
         self._library = library
         self._ids = self._own.encode_ordinary if same else lambda s: library.encode(s, add_special_tokens=False).ids
-        self._cache: dict[str, bytes] = {}
 
     def encode_bytes(self, text: str) -> bytes:
         if any(s in text for s in self._special):     # the library's own reading of such strings
             return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        cache = self._cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if _AFTER_SPACE.search(text):
-            words = _RUNS.findall(text)
-        else:
-            words = text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            ids = self._ids
-            for w in words:
-                if w not in cache:
-                    cache[w] = np.array(ids(w), dtype="<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+        return b"".join([np.array(self._ids(part), dtype="<u4").tobytes() for part in parts(text)])
+
+
+def parts(text: str) -> list[str]:
+    """``text`` cut where its ids can be joined, each part a little over ``PART_CHARS`` long at most, unless it holds no
+    white space to cut at."""
+    out, at = [], 0
+    while len(text) - at > PART_CHARS:
+        m = _CUT.search(text, at + PART_CHARS)
+        if m is None:
+            break
+        out.append(text[at:m.start()])
+        at = m.start()
+    return [*out, text[at:]] if at else [text]
+
+
+def shared_encoder(path: str) -> FastEncoder:
+    """The encoder of this worker process: built once, though the package's functions reach each task as copies."""
+    kept = sys.modules.setdefault("_shared_encoders", types.ModuleType("_shared_encoders")).__dict__
+    if path not in kept:
+        kept[path] = FastEncoder(path)
+    return kept[path]
