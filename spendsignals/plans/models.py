@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import trees
+from ..operators import kmeans, trees
 from ..operators.select import order_rows, part_of
 from ..operators.trees import TreeModel
 
@@ -269,40 +268,24 @@ def load_model(path: str, kind: str = "pipeline") -> PipelineModel | TreeModel:
 # ------------------------------------------------------------------------------------------ segmentation
 def kmeans_sweep(df: DataFrame, feats, ks=range(2, 11), restarts: int = 10) -> tuple[DataFrame, dict]:
     """For each k the lowest-cost model over ``restarts`` seeds, its cost and silhouette; best k by
-    silhouette, elbow from the second difference of the costs (index + 1)."""
+    silhouette, elbow from the second difference of the costs (index + 1). All fits share their scans."""
+    ks = list(ks)
+    fits = kmeans.train(df, feats, ks, restarts)
+    best = {k: min((m for m in fits if m.k == k), key=lambda m: m.cost) for k in ks}
     prep = Pipeline(stages=[assembler(feats), scaler()]).fit(df)
-    x = prep.transform(df).cache()
-    ev = ClusteringEvaluator(featuresCol="scaled", metricName="silhouette", distanceMeasure="squaredEuclidean")
-    rows, models = [], {}
-    for k in ks:
-        best = None
-        for s in range(SEED, SEED + restarts):
-            m = KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster").fit(x)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
-        sil = ev.setPredictionCol("cluster").evaluate(best.transform(x))
-        rows.append((k, float(best.summary.trainingCost), float(sil)))
-        models[k] = best
-    x.unpersist()
+    ev = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster", metricName="silhouette", distanceMeasure="squaredEuclidean")
+    rows = [(k, float(best[k].cost), float(ev.evaluate(prep.transform(best[k].assign(df))))) for k in ks]
     costs = [r[1] for r in rows]
     accel = np.diff(np.diff(costs)) if len(costs) >= 3 else np.array([0.0])
-    elbow = list(ks)[int(np.argmax(accel)) + 1] if len(costs) >= 3 else list(ks)[0]
+    elbow = ks[int(np.argmax(accel)) + 1] if len(costs) >= 3 else ks[0]
     best_k = rows[int(np.argmax([r[2] for r in rows]))][0]
     table = df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
-    return table, {"best_k": best_k, "elbow_k": elbow, "prep": prep, "models": models}
+    return table, {"best_k": best_k, "elbow_k": elbow, "models": best}
 
 
-def final_kmeans(df: DataFrame, feats, prep: PipelineModel, k: int, restarts: int = 20):
+def final_kmeans(df: DataFrame, feats, k: int, restarts: int = 20) -> kmeans.KMeansModel:
     """The lowest-cost model of ``restarts`` seeds at the chosen k."""
-    x = prep.transform(df).cache()
-    fits = [KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster").fit(x) for s in range(SEED, SEED + restarts)]
-    x.unpersist()
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def assign_clusters(df: DataFrame, prep: PipelineModel, km) -> DataFrame:
-    """M11."""
-    return km.transform(prep.transform(df)).drop("features", "scaled")
+    return min(kmeans.train(df, feats, [k], restarts), key=lambda m: m.cost)
 
 
 def pca_2d(df: DataFrame, feats) -> tuple[DataFrame, list[float]]:
