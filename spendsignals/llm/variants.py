@@ -134,8 +134,10 @@ def _neighbours(symbols: int):
 
 
 def _pairs(own: list[np.ndarray], near: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.concatenate(own).view(np.int64), np.concatenate(near).view(np.int64)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+    """Each pair of reduced words once: from the smaller hash (the other word has it in its neighbourhood too)."""
+    a, b = np.concatenate(own).view(np.int64), np.concatenate(near).view(np.int64)
+    keep = a <= b
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
 def near_pairs(words: DataFrame, symbols: int | None = None) -> DataFrame:
@@ -144,7 +146,7 @@ def near_pairs(words: DataFrame, symbols: int | None = None) -> DataFrame:
     symbols = symbols or choose_symbols(words)
     short = words.select("word", "n", reduced(symbols).alias("r"))
     keyed = written(short.mapInArrow(_keys, "word string, n long, key long"), "variant-keys")
-    around = short.select("r").distinct().mapInArrow(_neighbours(symbols), "a long, b long").where("a <= b")
+    around = short.select("r").distinct().mapInArrow(_neighbours(symbols), "a long, b long")
     met = around.join(keyed.select(F.col("key").alias("b")).distinct(), "b").distinct()
     one = keyed.select(F.col("key").alias("a"), F.col("word").alias("w1"), F.col("n").alias("n1"))
     two = keyed.select(F.col("key").alias("b"), F.col("word").alias("w2"), F.col("n").alias("n2"))
