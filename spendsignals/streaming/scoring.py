@@ -4,8 +4,12 @@ The reference scores one web-form request at a time (amount, salary, balance, we
 impulses, total recent transactions -> five features -> probability -> score and tier). Here the
 same rule runs over a batch table of requests (S6) or over a Structured Streaming source of events
 (ST1). The stream keeps, per user, the running spend (for the balance) and the labels of the last
-seven transactions in ``applyInPandasWithState``; the rows of one user inside a micro-batch are
-processed in time order. Rows older than the watermark are dropped by the stateful operator.
+seven transactions in ``applyInPandasWithState``. Two modes:
+
+* at once: the rows of one user inside a micro-batch are processed in time order as they come; a row
+  that comes in a later micro-batch than its successors is applied after them;
+* in order (``delay``): rows wait in the state until the watermark has passed them (an event-time timer per user),
+  so rows that are late by less than ``delay`` are scored as the batch query scores them; later ones are dropped.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,33 +90,66 @@ OUT = T.StructType([
 ])
 
 
-def _advance(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per user: running spend and last-7 labels carried across micro-batches."""
-    cum, recent = (state.get if state.exists else (0, []))
-    cum = int(cum)
-    recent = list(recent or [])
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "transaction_id"], kind="mergesort")
+def _scored_rows(pdf: pd.DataFrame, cum: int, recent: list[int]) -> tuple[pd.DataFrame, int, list[int]]:
+    """A user's rows, in time order after the state (running spend in cents, last seven labels): result rows, new state."""
+    pdf = pdf.sort_values(["timestamp", "transaction_id"], kind="mergesort")
     cents = pdf["cents"].to_numpy().astype(np.int64)
     labels = pdf["impulse_label"].to_numpy().astype(np.int64)
     running = cum + np.cumsum(cents)
     bal = np.maximum(pdf["monthly_salary"].to_numpy() - running / 100.0, 0.0)
-    # last-7 window over (carried labels + this batch's labels)
+    # last-7 window over (carried labels + these labels)
     m = len(recent)
     ext = np.concatenate([np.asarray(recent, dtype=np.int64), labels])
     pre = np.concatenate([[0], np.cumsum(ext)])
     pos = np.arange(m, m + len(labels))
     lo = np.maximum(pos - RECENT_N, 0)
-    rimp = (pre[pos] - pre[lo]).astype(float)
-    tot = (pos - lo).astype(float)
-    cum = int(running[-1]) if len(running) else cum
-    recent = [int(v) for v in ext[-RECENT_N:]]
-    state.update((cum, recent))
     out = pdf[["transaction_id", "user_id", "timestamp", "is_weekend", "transaction_amount", "monthly_salary",
                "impulse_label", "impulse_prob"]].copy()
     out["balance_after"] = bal
-    out["recent_impulse"] = rimp
-    out["total_txn"] = tot
-    yield out[[f.name for f in OUT.fields]]
+    out["recent_impulse"] = (pre[pos] - pre[lo]).astype(float)
+    out["total_txn"] = (pos - lo).astype(float)
+    return out[[f.name for f in OUT.fields]], (int(running[-1]) if len(running) else cum), [int(v) for v in ext[-RECENT_N:]]
+
+
+def _advance(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per user: running spend and last-7 labels carried across micro-batches."""
+    cum, recent = (state.get if state.exists else (0, []))
+    out, cum, recent = _scored_rows(pd.concat(list(pdfs), ignore_index=True), int(cum), list(recent or []))
+    state.update((cum, recent))
+    yield out
+
+
+ORDERED_STATE = T.StructType([*STATE.fields, T.StructField("waiting", T.BinaryType())])
+
+
+def _pack(pdf: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _advance_in_order(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows wait until the watermark has passed them: no earlier row can come then. What waits is at most the user's rows
+    of the last ``delay``, and the timer is set for the first of them."""
+    cum, recent, waiting = (state.get if state.exists else (0, [], b""))
+    parts = [pa.ipc.open_stream(waiting).read_all().to_pandas()] if waiting else []
+    if not state.hasTimedOut:
+        parts += list(pdfs)
+    pdf = pd.concat(parts, ignore_index=True) if parts else None
+    passed = state.getCurrentWatermarkMs()
+    cum, recent, waiting = int(cum), list(recent or []), b""
+    if pdf is not None and len(pdf):
+        ready = pdf["event_ms"] <= passed
+        rest = pdf[~ready]
+        if ready.any():
+            out, cum, recent = _scored_rows(pdf[ready], cum, recent)
+            yield out
+        if len(rest):
+            waiting = _pack(rest)
+            state.setTimeoutTimestamp(max(int(rest["event_ms"].min()), passed + 1))
+    state.update((cum, recent, waiting))
 
 
 def event_rows(events: DataFrame, customer: DataFrame) -> DataFrame:
@@ -132,22 +170,26 @@ def event_rows(events: DataFrame, customer: DataFrame) -> DataFrame:
         F.round(F.col("value") * 100).cast("long").alias("cents"))
 
 
-def stateful_requests(rows: DataFrame, watermark: str = "3650 days") -> DataFrame:
-    """ST1 state step on a streaming DataFrame of event rows."""
-    return (rows.withWatermark("event_time", watermark).groupBy("user_id")
-            .applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout))
+def stateful_requests(rows: DataFrame, delay: str | None = None) -> DataFrame:
+    """ST1 state step on a streaming DataFrame of event rows: at once, or in order within ``delay`` (such as "12 hours"). In
+    order, a row comes out once the watermark (the latest event time seen less ``delay``) has passed it."""
+    if delay is None:
+        return rows.groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = rows.withColumn("event_ms", F.unix_millis("event_time")).withWatermark("event_time", delay)
+    return timed.groupBy("user_id").applyInPandasWithState(_advance_in_order, OUT, ORDERED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_scores(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str,
-                  files_per_trigger: int = 1, model=None, bytes_per_trigger: str | None = None) -> DataFrame:
+                  files_per_trigger: int = 1, model=None, bytes_per_trigger: str | None = None, delay: str | None = None) -> DataFrame:
     """ST1: score the events of ``sf_dir`` as a stream (file source, availableNow trigger) into
     parquet at ``out_dir``; returns the written table. A user's rows of one micro-batch are one group in
-    memory: ``files_per_trigger``, or ``bytes_per_trigger`` (such as "512m") instead, bounds the micro-batch."""
+    memory: ``files_per_trigger``, or ``bytes_per_trigger`` (such as "512m") instead, bounds the micro-batch.
+    ``delay``: see ``stateful_requests``."""
     schema = spark.read.parquet(f"{sf_dir}/events*.parquet").schema
     bound = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
     events = spark.readStream.schema(schema).option(*bound).parquet(f"{sf_dir}/events*.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    scored = score_requests(stateful_requests(event_rows(events, customer)), model)
+    scored = score_requests(stateful_requests(event_rows(events, customer), delay), model)
     q = (scored.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
