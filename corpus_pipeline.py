@@ -48,8 +48,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing (operator 2) of all that is left."""
-    return pack_documents(docs, tokenizer_path()).drop("ids")
+    """Best-fit packing (operator 2) of all that is left: pieces with their ids and their place in a sequence."""
+    return pack_documents(docs, tokenizer_path())
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination),
