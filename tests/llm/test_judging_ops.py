@@ -105,7 +105,7 @@ def test_template_counts_before_tag_and_article_rules(spark):
     body = lambda k: f"<body><article><p>Welcome to the site</p></article><div><p>Story {k}</p></div></body>"
     got = {r["page_id"]: r["text"] for r in webtext.extract_pages(page(spark, [(k, f"http://h/{k}", body(k)) for k in range(8)])).collect()}
     assert got == {k: f"Story {k}" for k in range(8)}
-    counted = webtext.parse("<nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><p>x</p></article>")[3]
+    counted = webtext.parse("<nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><p>x</p></article>").subtrees
     assert len(counted) == 4          # nav, its list, the advert and the article
 
 
@@ -123,7 +123,61 @@ def test_template_counts_before_tag_and_article_rules(spark):
     ('<p>a</p><script>b', ["a"]),
 ])
 def test_text_is_not_lost_to_loose_names_or_open_tags(html, text):
-    assert webtext.parse(html)[0] == text
+    parsed = webtext.parse(html)
+    assert [t for t, d in zip(parsed.texts, parsed.drops, strict=True) if not d] == text
+
+
+def _kept(html):
+    p = webtext.parse(html)
+    return webtext.main_text(p.texts, p.mains, p.drops, [], [], [], [], set())
+
+
+def test_loose_names_inside_an_article_need_links():
+    related = '<article><p>a</p><section id="related"><h2>Related work</h2><p>Earlier studies found much.</p></section><div class="notice">Mind the step.</div></article>'
+    assert _kept(related) == "a\n\nRelated work\n\nEarlier studies found much.\n\nMind the step."
+    linked = '<article><p>a</p><div class="related"><h2>More</h2><ul><li><a href="/1">One story</a><li><a href="/2">Another story</a></ul></div><p>b</p></article>'
+    assert _kept(linked) == "a\n\nb"
+    assert _kept('<body><div class="related">x</div><p>a</p></body>') == "a"           # outside an article the name is enough
+    assert _kept('<article><p>a</p><section class="comments"><p>I disagree</p></section></article>') == "a"
+
+
+def test_menus_with_other_words_are_one_menu(spark):
+    """A list of links recurs by its structure, whatever its words; lists of the article's own do not."""
+    menu = lambda k: "<div><ul>" + "".join(f"<li><a href='/{k}/{j}'>Topic {k * 7 + j}</a></li>" for j in range(3 + k % 4)) + "</ul></div>"
+    body = lambda k: f"<body>{menu(k)}<div><p>Story {k}</p><ul><li>fact {k}</li><li>proof {k} by <a href='/x'>x</a></li></ul></div></body>"
+    got = {r["page_id"]: r["text"] for r in webtext.extract_pages(page(spark, [(k, f"http://h/{k}", body(k)) for k in range(9)])).collect()}
+    assert got == {k: f"Story {k}\n\nfact {k}\n\nproof {k} by x" for k in range(9)}
+
+
+@pytest.mark.parametrize("piece", ["<a b='x ", "<div><p>x", "<svg>", "<!x", "<a", "<ul><li>", "<a \"'>", "<script>", "</ul></p>x", "<p a= b ", "&#", "<![CDATA[<", "<svg><title>", "<b><i>"])
+def test_time_grows_with_the_page(piece):
+    """Unclosed quotes, tags, comments and nests: ten times the page takes about ten times as long."""
+    import time
+
+    def seconds(n):
+        html = "<article><p>ok</p>" + piece * (n // len(piece))
+        t = time.process_time()
+        webtext.parse(html)
+        return time.process_time() - t
+    small, large = min(seconds(50_000) for _ in range(3)), seconds(500_000)
+    assert large < 40 * small + 0.5
+    assert webtext.parse("<article><p>ok</p>" + piece * 1000).texts[0].startswith("ok")
+
+
+def test_long_page_holds_ranges_not_lists():
+    parsed = webtext.parse("<div>" * 20_000 + "<p>x" * 20_000)
+    assert len(parsed.texts) == 20_000 and len(parsed.subtrees) == 20_000 and {s[2:] for s in parsed.subtrees} == {(0, 20_000)}
+
+
+def test_tag_ends_equal_one_by_one():
+    """Tag ends worked out for a page at once against reading each tag by itself."""
+    rng = random.Random(6)
+    for _ in range(300):
+        html = "".join(rng.choice(["<", "<a", "<b ", "</p", ">", "'", '"', " ", "/", "x", "=", "é", "\u3000"]) for _ in range(rng.randint(0, 60)))
+        ends = webtext._TagEnds(html) if html else None
+        for at in (m.start() for m in re.finditer("</?[a-zA-Z]", html)):
+            m = webtext._TAG.match(html, at)
+            assert ends.of(at) == (m.end() - 1 if m else -1)
 
 
 @pytest.mark.parametrize("around", ["<main>%s</main>", "<div>%s</div>", "<article><section>%s</section></article>"])
@@ -261,6 +315,55 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     assert {r["doc_id"] for r in seen["packing"][1].collect()} == texts["personal_data"].keys()
 
 
+def _plain_groups(texts, width=5):
+    """Least doc_id of each group of documents whose shingle sets are at least 0.8 alike, pair by pair."""
+    sets = {}
+    for doc, text in texts.items():
+        w = [x.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        sets[doc] = {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    holders = {}
+    for doc, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(doc)
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_pipeline_dedup_and_packing_equal_plain_versions(spark, labelled, tmp_path):
+    """Near-duplicates against comparing every pair that shares a shingle; the ids of the packed pieces, joined, against the
+    library's ids of each document, and the sequences they lie in."""
+    from tokenizers import Tokenizer
+
+    from spendsignals.llm.queries import tokenizer_path
+    corpus_pipeline.near_dedup(spark, labelled, SF).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    groups = _plain_groups({r["doc_id"]: r["text"] or "" for r in labelled.collect()})
+    assert {r["doc_id"] for r in kept.collect()} == set(groups.values())
+    packed = corpus_pipeline.packing(spark, kept, SF).collect()
+    library = Tokenizer.from_file(tokenizer_path())
+    ids, sequences = {}, {}
+    for r in sorted(packed, key=lambda r: (r["doc_id"], r["piece"])):
+        assert len(r["ids"]) == r["length"] and r["start"] == len(ids.get(r["doc_id"], []))
+        ids.setdefault(r["doc_id"], []).extend(r["ids"])
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for r in kept.collect():
+        assert ids[r["doc_id"]] == [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+    for places in sequences.values():
+        places.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and places[0][0] == 0 and sum(places[-1]) <= 2048
+
+
 def test_pipeline_odd_rows(spark):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "the and of that with", None, None, None), (5, "the words are and of it", "en", "s", 23), (5, "the words are and of it", "en", "s", 23)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
