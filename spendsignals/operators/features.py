@@ -72,15 +72,21 @@ def window_specs(baseline: str = "user"):
     return specs
 
 
+MAX_LEVELS = 1000
+
+
 def one_hot(df: DataFrame, col: str, levels) -> DataFrame:
     """One 0/1 column per level, named ``{col}_{level}``; the source column is dropped."""
     return df.withColumns({f"{col}_{lv}": C.flag(F.col(col) == lv) for lv in sorted(levels)}).drop(col)
 
 
 def category_levels(df: DataFrame, col: str = "merchant_category") -> list[str]:
-    """Levels of a categorical column from one distinct job. Each becomes a column of the result, so
-    their number is that of the output's schema; pass ``categories`` to ``engineer`` to skip the job."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    """Levels of a categorical column from one distinct job. Each becomes a column of the result, so more than
+    ``MAX_LEVELS`` are an error, not a wider table; pass ``categories`` to ``engineer`` to skip the job."""
+    levels = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"{col} has more than {MAX_LEVELS} levels; name the wanted ones in `categories`")
+    return sorted(r[0] for r in levels)
 
 
 def engineer(txn: DataFrame, categories=None, extra_window_specs=(),

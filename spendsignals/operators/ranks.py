@@ -63,6 +63,7 @@ def rank_table(df: DataFrame, value: str, out: str = "rank", pct: bool = False,
 
 
 TIE_PLACES = 9
+FREQUENT = 1000
 
 
 def _key(value: str, tie_places: int | None):
@@ -88,15 +89,21 @@ def with_ranks(df: DataFrame, outputs: dict[str, str], pct: bool = False, scale:
     names = list(outputs)
     long = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(n).alias("_m"), _key(v, tie_places).cast("double").alias("_k")) for n, v in outputs.items()
-    ])).alias("_p")).select(key, "_p._m", "_p._k")
+    ])).alias("_p")).select(key, "_p._m", "_p._k").where(F.col("_k").isNotNull())     # no value, no rank
     ps = prefix_sums(long, "_k", {"_c": F.lit(1)}, by=["_m"], buckets=buckets)
+    totals = ps.groupBy("_m").agg(F.sum("_c").alias("_n"))      # one row per output
+    ps = ps.join(F.broadcast(totals), "_m")
     r = F.col("_c_before") + (F.col("_c") + 1) / 2.0
     if pct:
-        totals = ps.groupBy("_m").agg(F.sum("_c").alias("_n"))      # one row per output
-        ps = ps.join(F.broadcast(totals), "_m")
         r = r / F.col("_n") * scale
-    ranks = ps.select("_m", "_k", r.alias("_r"))
-    wide = (long.join(ranks, ["_m", "_k"], "left").groupBy(key).pivot("_m", names).agg(F.first("_r")))
+    # values shared by many rows (a rate of 0) would be one join key each: at most FREQUENT per output, so they are
+    # broadcast; the rest joins by shuffle, no key with more than 1 / FREQUENT of the rows
+    frequent = F.col("_c") * FREQUENT > F.col("_n")
+    hot = ps.where(frequent).select("_m", "_k", r.alias("_r"))
+    rest = ps.where(~frequent).select("_m", "_k", r.alias("_r"))
+    ranked = long.join(F.broadcast(hot), ["_m", "_k"]).unionByName(
+        long.join(F.broadcast(hot.select("_m", "_k")), ["_m", "_k"], "left_anti").join(rest, ["_m", "_k"]))
+    wide = ranked.groupBy(key).pivot("_m", names).agg(F.first("_r"))
     return df.join(wide, key, "left")
 
 

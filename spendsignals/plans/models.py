@@ -288,12 +288,21 @@ def final_kmeans(df: DataFrame, feats, k: int, restarts: int = 20) -> kmeans.KMe
     return min(kmeans.train(df, feats, [k], restarts), key=lambda m: m.cost)
 
 
+def fit_pca(df: DataFrame, feats) -> PipelineModel:
+    """Standardise, then the first two principal components."""
+    return Pipeline(stages=[assembler(feats), scaler(), PCA(k=2, inputCol="scaled", outputCol="pcs")]).fit(df)
+
+
+def in_plane(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``pc1``, ``pc2`` of each row under a fitted model."""
+    return model.transform(df).withColumn("_a", vector_to_array("pcs")).withColumns(
+        {"pc1": F.col("_a")[0], "pc2": F.col("_a")[1]}).drop("_a", "pcs", "features", "scaled")
+
+
 def pca_2d(df: DataFrame, feats) -> tuple[DataFrame, list[float]]:
     """First two principal components of the standardised features and explained variance."""
-    pipe = Pipeline(stages=[assembler(feats), scaler(), PCA(k=2, inputCol="scaled", outputCol="pcs")]).fit(df)
-    out = pipe.transform(df).withColumn("_a", vector_to_array("pcs")).withColumns(
-        {"pc1": F.col("_a")[0], "pc2": F.col("_a")[1]}).drop("_a", "pcs", "features", "scaled")
-    return out, [float(v) for v in pipe.stages[-1].explainedVariance.toArray()]
+    model = fit_pca(df, feats)
+    return in_plane(model, df), [float(v) for v in model.stages[-1].explainedVariance.toArray()]
 
 
 def next_txn_model(label: str = "next_impulse", trees: int = 200) -> GBTClassifier:

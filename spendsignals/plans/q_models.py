@@ -254,6 +254,39 @@ def s05(spark, sf):
         F.count_if(F.col("p_b") >= F.col("best_threshold")).alias("predicted"), F.first("best_threshold").alias("threshold"))
 
 
+@register("s05_bundle")
+def s05b(spark, sf):
+    """The other models of one bundle, saved and reloaded: boosted trees, next-transaction model (20 trees here), clusters
+    and plane of the users. One row per model: the largest difference of its outputs before and after."""
+    from ..operators.kmeans import KMeansModel
+    from ..operators.nexttxn import NEXT_FEATURES, time_split
+    from ..session import cut_lineage
+    c = ModelCtx(spark, sf, shared=True)
+    root = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
+    trees_a = M.fit(c.train, c.feats, c.tuned("boosted"))
+    M.save_model(trees_a, f"{root}/boosted")
+    train, _, _ = time_split(cut_lineage(c.next_dataset.na.fill(0, NEXT_FEATURES)), 0.8)
+    next_a = M.fit(train, NEXT_FEATURES, M.next_txn_model(trees=20), scale=True)
+    M.save_model(next_a, f"{root}/next")
+    users = _users(spark, sf)
+    clusters_a = M.final_kmeans(users, CLUSTER_FEATURES, 4, restarts=1)
+    clusters_a.save(spark, f"{root}/clusters")
+    plane_a = M.fit_pca(users, CLUSTER_FEATURES)
+    M.save_model(plane_a, f"{root}/plane")
+    trees_b, next_b = M.load_model(f"{root}/boosted", "trees"), M.load_model(f"{root}/next")
+    clusters_b, plane_b = KMeansModel.load(spark, f"{root}/clusters"), M.load_model(f"{root}/plane")
+
+    def compare(name, a, b, key, column):
+        pairs = a.select(key, F.col(column).cast("double").alias("_a")).join(b.select(key, F.col(column).cast("double").alias("_b")), key)
+        return pairs.agg(F.lit(name).alias("model"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs_diff"), F.count(F.lit(1)).alias("rows"))
+
+    return reduce(DataFrame.unionByName, [
+        compare("boosted", M.score(trees_a, c.test), M.score(trees_b, c.test), "transaction_id", "prob"),
+        compare("next_txn", M.score(next_a, train), M.score(next_b, train), "transaction_id", "prob"),
+        compare("clusters", clusters_a.assign(users), clusters_b.assign(users), "user_id", "cluster"),
+        compare("plane", M.in_plane(plane_a, users), M.in_plane(plane_b, users), "user_id", "pc1")])
+
+
 @register("e02_attribution_logistic")
 def e02a(spark, sf):
     """Closed-form attribution of the logistic model (long table incl. bias row)."""
