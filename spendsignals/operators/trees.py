@@ -127,7 +127,11 @@ def pack(df: DataFrame, feats, label: str, id_col: str = "transaction_id", max_b
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in packed], pa.binary())],
                                              names=["id", "label", "fold", "bins"])
 
-    rows = cut_lineage(narrow.mapInArrow(bins, "id long, label int, fold int, bins binary"))
+    packed = narrow.mapInArrow(bins, "id long, label int, fold int, bins binary")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if packed.rdd.getNumPartitions() < cores:       # few rows, but a pass does much with each
+        packed = packed.repartition(cores)
+    rows = cut_lineage(packed)
     counts = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}     # folds x 2
     return Packed(rows, feats, edges, counts)
 

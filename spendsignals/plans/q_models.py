@@ -62,26 +62,40 @@ class ModelCtx(I.Ctx):
     def packed(self):
         return trees.pack(self.train, self.feats, LABEL)
 
+    def once(self, what: str, make):
+        """``make()``, kept for this session and input: several queries use the same search and the same fits. What is kept
+        is of the size of a model."""
+        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf), what)
+        if key not in _KEPT:
+            _KEPT[key] = make()
+        return _KEPT[key]
+
     def searched(self, kind: str):
-        """M7: (candidates, AUCs, best) of one space over five folds; searched once per session and input, as several
-        queries fit the winner."""
-        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf), kind)
-        if key not in _SEARCHED:
-            make, space = (M.forest, M.RF_SPACE) if kind == "forest" else (M.boosted, M.GBT_SPACE)
-            _SEARCHED[key] = M.search(self.packed, make, space, **SEARCH)[:3]
-        return _SEARCHED[key]
+        """M7: (candidates, AUCs, best) of one space over five folds."""
+        make, space = (M.forest, M.RF_SPACE) if kind == "forest" else (M.boosted, M.GBT_SPACE)
+        return self.once(f"search {kind}", lambda: M.search(self.packed, make, space, **SEARCH)[:3])
 
     def tuned(self, kind: str) -> M.TreeSpec:
         """The winner of the search, with ``FIT_SHARE`` of its trees."""
         candidates, _, best = self.searched(kind)
         return M.TreeSpec(kind, M.with_trees(candidates[best], FIT_SHARE))
 
+    def fitted(self, kind: str):
+        """M5 / M6: the tuned ensembles on the training rows; both grow in common passes."""
+        kinds = ["forest", "boosted"]
+        return self.once("fit", lambda: M.fit_trees(self.train, self.feats, [self.tuned(k) for k in kinds], LABEL))[kinds.index(kind)]
+
+    def calibrated(self):
+        """M8: the tuned boosted trees with isotonic maps over three even folds."""
+        spec = self.tuned("boosted")
+        return self.once("calibrated", lambda: M.fit_calibrated(self.thirds, self.feats, lambda: spec, folds=3, label=LABEL))
+
 
 # Budgets of the registered queries. The functions' defaults are the reference's: 40 candidates x 5 folds of 100-600
 # trees. README gives the measured times of both.
-SEARCH = {"n_trials": 10, "folds": 5, "tree_share": 0.04}
-FIT_SHARE = 0.2         # share of the winner's trees in a fit
-_SEARCHED: dict = {}
+SEARCH = {"n_trials": 6, "folds": 5, "tree_share": 0.02}
+FIT_SHARE = 0.1         # share of the winner's trees in a fit
+_KEPT: dict = {}
 
 
 # ------------------------------------------------------------------------------------------ O: split, scaling
@@ -135,7 +149,7 @@ def m04(spark, sf):
 def m05(spark, sf):
     """M5: balanced random forest with the parameters found by M7, test-split scores."""
     c = ModelCtx(spark, sf)
-    m = M.fit(c.train, c.feats, c.tuned("forest"))
+    m = c.fitted("forest")
     return M.score(m, c.test).select("transaction_id", LABEL, "prob")
 
 
@@ -143,7 +157,7 @@ def m05(spark, sf):
 def m06(spark, sf):
     """M6: boosted trees with positive-class weight and the parameters found by M7, test-split scores."""
     c = ModelCtx(spark, sf)
-    m = M.fit(c.train, c.feats, c.tuned("boosted"))
+    m = c.fitted("boosted")
     return M.score(m, c.test).select("transaction_id", LABEL, "prob")
 
 
@@ -168,17 +182,11 @@ def m07(spark, sf):
     return spark.createDataFrame(rows, "model string, trial int, cv_auc double, is_best boolean")
 
 
-def _calibrated(c):
-    """M8: the tuned boosted trees with isotonic maps over three even folds."""
-    spec = c.tuned("boosted")
-    return M.fit_calibrated(c.thirds, c.feats, lambda: spec, folds=3, label=LABEL)
-
-
 @register("m08_calibrated")
 def m08(spark, sf):
     """M8: 3-fold isotonic calibration of boosted trees; Brier score before and after on the test split."""
     c = ModelCtx(spark, sf)
-    pairs = _calibrated(c)
+    pairs = c.calibrated()
     raw = M.score_mean([m for m, _ in pairs], c.test, "raw")
     cal = M.score_calibrated(pairs, raw, "prob")
     return cal.agg(F.avg(F.pow(F.col("raw") - F.col(LABEL), 2)).alias("brier_raw"),
@@ -228,7 +236,7 @@ def p29(spark, sf):
 def e01(spark, sf):
     """Feature importances of the forest and the boosted trees with ordinal ranks."""
     c = ModelCtx(spark, sf)
-    f, b = M.fit_trees(c.train, c.feats, [c.tuned("forest"), c.tuned("boosted")], LABEL)
+    f, b = c.fitted("forest"), c.fitted("boosted")
     return M.importance(spark, f, c.feats, "forest").unionByName(M.importance(spark, b, c.feats, "boosted"))
 
 
@@ -263,7 +271,7 @@ def s05b(spark, sf):
     from ..session import cut_lineage
     c = ModelCtx(spark, sf, shared=True)
     root = os.path.join(ensure_checkpoint_dir(spark), "models", uuid.uuid4().hex)
-    trees_a = M.fit(c.train, c.feats, c.tuned("boosted"))
+    trees_a = c.fitted("boosted")
     M.save_model(trees_a, f"{root}/boosted")
     train, _, _ = time_split(cut_lineage(c.next_dataset.na.fill(0, NEXT_FEATURES)), 0.8)
     next_a = M.fit(train, NEXT_FEATURES, M.next_txn_model(trees=20), scale=True)
@@ -299,17 +307,15 @@ def e02a(spark, sf):
 def e02b(spark, sf):
     """Shapley values of boosted trees via mapInPandas; values add up to the margin."""
     c = ModelCtx(spark, sf)
-    m = M.fit(c.train, c.feats, c.tuned("boosted"))
-    return M.tree_attribution(m, c.test, c.feats)
+    return M.tree_attribution(c.fitted("boosted"), c.test, c.feats)
 
 
 def _both_attributions(spark, sf):
     """Shapley values of the test rows under the forest and the boosted trees, stored once."""
     from ..session import cut_lineage
     c = ModelCtx(spark, sf)
-    forest, boosted = M.fit_trees(c.train, c.feats, [c.tuned("forest"), c.tuned("boosted")], LABEL)
-    return c, cut_lineage(M.tree_attribution(forest, c.test, c.feats, name="forest").unionByName(
-        M.tree_attribution(boosted, c.test, c.feats)).where("feature <> 'bias'"))
+    return c, cut_lineage(M.tree_attribution(c.fitted("forest"), c.test, c.feats, name="forest").unionByName(
+        M.tree_attribution(c.fitted("boosted"), c.test, c.feats)).where("feature <> 'bias'"))
 
 
 @register("e03_global_attribution_trained")
@@ -373,7 +379,7 @@ class TrainedCtx(ModelCtx):
     def scored(self):
         from ..operators.risk import score_transactions
         from ..session import cut_lineage
-        p = M.score_calibrated(_calibrated(self), self.eng.drop("impulse_prob"), "impulse_prob")
+        p = M.score_calibrated(self.calibrated(), self.eng.drop("impulse_prob"), "impulse_prob")
         return cut_lineage(score_transactions(p))
 
     @cached_property
