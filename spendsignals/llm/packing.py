@@ -139,7 +139,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     runs = plan_best_fit(counts, max_len)
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("_before"))
+    # written, so that its size is known: while it is small Spark broadcasts it and the ids are not shuffled
+    starts = written(by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("_before")), "piece-starts")
     ranked = pieces.join(starts, ["length", "part"]).withColumn("_rank", F.col("rank") + F.col("_before"))
     return (ranked.withColumn("_slot", _slot_finder(runs)("length", "_rank"))
             .select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "_slot.sequence_id", "_slot.offset"))
