@@ -98,9 +98,9 @@ def with_ranks(df: DataFrame, outputs: dict[str, str], pct: bool = False, scale:
         r = r / F.col("_n") * scale
     # values shared by many rows (a rate of 0) would be one join key each: at most FREQUENT per output, so they are
     # broadcast; the rest joins by shuffle, no key with more than 1 / FREQUENT of the rows
-    frequent = F.col("_c") * FREQUENT > F.col("_n")
-    hot = ps.where(frequent).select("_m", "_k", r.alias("_r"))
-    rest = ps.where(~frequent).select("_m", "_k", r.alias("_r"))
+    from ..session import cut_lineage
+    ranks = cut_lineage(ps.select("_m", "_k", r.alias("_r"), (F.col("_c") * FREQUENT > F.col("_n")).alias("_hot")))     # read three times
+    hot, rest = ranks.where("_hot").drop("_hot"), ranks.where("NOT _hot").drop("_hot")
     ranked = long.join(F.broadcast(hot), ["_m", "_k"]).unionByName(
         long.join(F.broadcast(hot.select("_m", "_k")), ["_m", "_k"], "left_anti").join(rest, ["_m", "_k"]))
     wide = ranked.groupBy(key).pivot("_m", names).agg(F.first("_r"))

@@ -38,11 +38,13 @@ def order_rows(df: DataFrame, keys: list[Column], ranks: Callable[[object, dict]
     group = F.lit(0) if by is None else by
     narrow = df.select(group.alias("_g"), *[k.cast("long").alias(n) for k, n in zip(keys, names, strict=True)]).na.drop(subset=names)
     narrow = cut_lineage(narrow)
-    counts = {r["_g"]: r["n"] for r in narrow.groupBy("_g").agg(F.count("*").alias("n")).collect()}       # one row per group
+    first = narrow.groupBy("_g").agg(F.count("*").alias("n"), F.min(names[0]).alias("lo"), F.max(names[0]).alias("hi")).collect()      # one row per group
+    counts, spans = {r["_g"]: r["n"] for r in first}, {(r["_g"],): (r["lo"], r["hi"]) for r in first}
     wanted = {g: ranks(g, counts) for g in counts}
     targets = [_Target(g, r, i) for g, rs in wanted.items() for i, r in enumerate(rs) if 0 <= r < counts[g]]
     for name in names:
-        _select(narrow, names, name, targets)
+        _select(narrow, names, name, targets, spans)
+        spans = None
     out = {g: (n, [None] * len(wanted[g])) for g, n in counts.items()}
     for t in targets:
         out[t.group][1][t.place] = tuple(t.found)
@@ -57,19 +59,23 @@ def _inside(names: list[str], t: _Target) -> Column:
     return c
 
 
-def _select(rows: DataFrame, names: list[str], name: str, targets: list[_Target]) -> None:
-    """Finds the next key value of every target and counts its rank on among the rows with that value."""
+def _select(rows: DataFrame, names: list[str], name: str, targets: list[_Target], spans: dict | None) -> None:
+    """Finds the next key value of every target and counts its rank on among the rows with that value. ``spans``: the least
+    and the greatest value of each scope, where they are known."""
     value = F.col(name)
     scopes: dict[tuple, list[_Target]] = {}
     for t in targets:
         scopes.setdefault((t.group, *t.found), []).append(t)
     if not scopes:
         return
-    number = _numbered([_inside(names, ts[0]) for ts in scopes.values()])
-    spans = {r["_i"]: r for r in rows.select(number.alias("_i"), value).where("_i IS NOT NULL").groupBy("_i").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).collect()}
-    for i, ts in enumerate(scopes.values()):
+    if spans is None:
+        number = _numbered([_inside(names, ts[0]) for ts in scopes.values()])
+        found = rows.select(number.alias("_i"), value).where("_i IS NOT NULL").groupBy("_i").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).collect()
+        keys = list(scopes)
+        spans = {keys[r["_i"]]: (r["lo"], r["hi"]) for r in found}
+    for scope, ts in scopes.items():
         for t in ts:
-            t.low, t.high = spans[i]["lo"], spans[i]["hi"]
+            t.low, t.high = spans[scope]
     todo = [t for t in targets if t.low < t.high]
     while todo:
         ranges: dict[tuple, list[_Target]] = {}

@@ -21,9 +21,7 @@ def main() -> None:
     print("# PLANS\n")
     print(f"Executed plans of the headline queries at `{os.path.basename(sf)}`, local[8], AQE on (final adaptive plan")
     print("after running with the `noop` sink). Eager helper jobs (hot-key detection, checkpoints of")
-    print("user-grain tables and range buckets) run before and are not part of these plans. For q07-q09 the")
-    print("counts include the cached scored sub-plan that Spark prints inside `InMemoryRelation`; it is")
-    print("computed once and read by both of its consumers.\n")
+    print("scored rows, user-grain tables, range buckets, rank selection) run before and are not part of these plans.\n")
     print("| query | shuffle exchanges | broadcasts | window ops | scans (columns read) |")
     print("|---|---|---|---|---|")
     for short, name in HEADLINE.items():
@@ -37,7 +35,7 @@ def main() -> None:
             kinds[k] = kinds.get(k, 0) + 1
         scans = re.findall(r"FileScan parquet [^\[]*\[([^\]]*)\][^\n]*?Location: InMemoryFileIndex\(\d+ paths\)\[file:[^\]]*/([^/\]]+)\]", plan)
         windows = len(re.findall(r"(?<![A-Za-z])Window \[", plan))
-        scan_txt = "; ".join(f"{t}: {len(c.split(','))}" for c, t in scans) or "checkpoint / cached input"
+        scan_txt = "; ".join(f"{t}: {len(c.split(','))}" for c, t in scans) or "checkpoint"
         print(f"| {short} (`{name}`) | {sum(kinds.values())}: " + ", ".join(f"{k} x{v}" for k, v in kinds.items())
               + f" | {plan.count('BroadcastExchange')} | {windows} | {scan_txt} |")
     spark.stop()
