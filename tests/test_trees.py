@@ -205,3 +205,18 @@ def test_save_and_load(spark, rows, tmp_path, packed_once):
     back = T.TreeModel.load(spark, str(tmp_path))
     a, b = (m.score(rows).orderBy("transaction_id").select("prob").collect() for m in (model, back))
     assert a == b and abs(model.importance().sum() - 1) < 1e-9
+
+
+def test_deep_forest_takes_a_pass_per_level(rows, monkeypatch):
+    """Nodes of few rows hold no sums: with room for the sums of a few nodes only, a level of all trees is one pass."""
+    monkeypatch.setattr(T, "PASS_BYTES", 10_000)
+    data = T.pack(rows, FEATS, "y", max_bins=16)
+    model = T.Ensemble("forest", {"n_estimators": 4, "max_depth": 12, "max_features": 0.75})
+    assert T.train(data, [model]) <= 12
+    assert max(len(t.feat) for t in model.trees) > 40
+
+
+def test_few_partitions_in_a_pass(rows):
+    """A pass writes sums per partition; many small ones are put together."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    assert T.pack(rows.repartition(8 * cores), FEATS, "y", max_bins=16).rows.rdd.getNumPartitions() == cores
