@@ -48,6 +48,11 @@ class ModelCtx(I.Ctx):
         from ..session import cut_lineage
         return cut_lineage(M.stratified_folds(self.split.where("split = 'train'"), LABEL))   # read by every fold
 
+    @property
+    def fit_rows(self):
+        """The training rows, for fits without folds."""
+        return self.split.where("split = 'train'")
+
     @cached_property
     def thirds(self):
         """The training rows in three even stratified folds (M8)."""
@@ -140,7 +145,7 @@ def m02(spark, sf):
 def m04(spark, sf):
     """M4 + M9: balanced logistic regression (C = 0.1) on the training split, test-split scores."""
     c = ModelCtx(spark, sf)
-    m = M.fit(c.train, c.feats, M.logistic(), scale=True)
+    m = M.fit(c.fit_rows, c.feats, M.logistic(), scale=True)
     return M.score(m, c.test).select("transaction_id", LABEL, "prob")
 
 
@@ -227,7 +232,7 @@ def x14(spark, sf):
 def p29(spark, sf):
     """Odds ratio exp(coef) per standardised feature of the logistic model."""
     c = ModelCtx(spark, sf)
-    m = M.fit(c.train, c.feats, M.logistic(), scale=True)
+    m = M.fit(c.fit_rows, c.feats, M.logistic(), scale=True)
     return M.odds_ratios(spark, m, c.feats)
 
 
@@ -298,7 +303,7 @@ def s05b(spark, sf):
 def e02a(spark, sf):
     """Closed-form attribution of the logistic model (long table incl. bias row)."""
     c = ModelCtx(spark, sf)
-    m = M.fit(c.train, c.feats, M.logistic(), scale=True)
+    m = M.fit(c.fit_rows, c.feats, M.logistic(), scale=True)
     return M.logistic_attribution(m, c.test, c.feats)
 
 
