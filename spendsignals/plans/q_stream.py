@@ -72,8 +72,10 @@ def st1(spark, sf):
 
 def request_model(spark, sf):
     """The five-feature request model: balanced logistic regression on the training split's requests."""
+    from ..session import cut_lineage
     from . import models as M
     reqs = ST.request_features(ST.requests_from_transactions(I.txn(spark, sf)))
+    reqs = cut_lineage(reqs.select("transaction_id", "impulse_label", *_FEATS))     # read by the split and every step of the fit
     split = M.stratified_split(reqs, "impulse_label")
     return M.fit(split.where("split = 'train'"), _FEATS, M.logistic(), scale=True)
 
