@@ -104,3 +104,62 @@ def test_isotonic_is_monotone_and_save_load_equal(spark):
     a = M.score(m, d, "a").select("transaction_id", "a")
     b = M.score(back, d, "b").select("transaction_id", "b")
     assert a.join(b, "transaction_id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] == 0.0
+
+
+def test_patterns_counted_sorted_and_wide_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n, m in ((500, 3), (40, 12), (200, 70)):
+        through = rng.integers(0, 2, (n, m))
+        codes = [sum(through[:, j].astype(np.int64) << j % M.WORD for j in range(a, min(a + M.WORD, m))) for a in range(0, m, M.WORD)]
+        patterns, of_row = M._patterns(codes, m)
+        assert (patterns[of_row] == through).all() and len(np.unique(patterns, axis=0)) == len(patterns)
+
+
+def test_each_kind_is_fitted_alone(spark, monkeypatch):
+    """A query that reads the forest does not wait for the boosted trees."""
+    from spendsignals.plans import catalog  # noqa: F401
+    from spendsignals.plans import q_models as Q
+
+    kinds = []
+    monkeypatch.setattr(Q, "_KEPT", {})
+    monkeypatch.setattr(M, "search", lambda data, make, space, **_: ([{"n_estimators": 50, "max_depth": 3}], [0.5], 0, 1))
+    train = M.trees.train
+    monkeypatch.setattr(M.trees, "train", lambda data, models: (kinds.extend(m.kind for m in models), train(data, models)))
+    Q.ModelCtx(spark, SF_SMALL).fitted("forest")
+    assert kinds == ["forest"]
+
+
+def test_folds_are_judged_together(spark, monkeypatch):
+    from spendsignals.operators import evaluation as X
+
+    seen = []
+    auc = X.roc_auc
+    monkeypatch.setattr(X, "roc_auc", lambda scores: (seen.append(scores), auc(scores))[1])
+    rows = [(i, float(i % 7), float(i % 3), int(i * 37 % 11 < i % 7), i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "transaction_id long, a double, b double, impulse_label int, fold int")
+    got = {r["fold"]: r for r in M.cross_validate(df, ["a", "b"], M.logistic, folds=3).collect()}
+    assert len(seen) == 1 and "Scan ExistingRDD" in seen[0]._jdf.queryExecution().toString()
+    assert sorted(got) == [0, 1, 2]
+    for f, r in got.items():
+        m = M.fit(df.where(F.col("fold") != f), ["a", "b"], M.logistic(), scale=True)
+        s = M.score(m, df.where(F.col("fold") == f)).select("impulse_label", "prob").collect()
+        pos, neg = [x["prob"] for x in s if x["impulse_label"] == 1], [x["prob"] for x in s if x["impulse_label"] == 0]
+        assert abs(r["roc_auc"] - sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / len(pos) / len(neg)) < 1e-9
+        assert r["model"] == f"fold{f}" and abs(r["recall"] - sum(p >= 0.5 for p in pos) / len(pos)) < 1e-9
+
+
+def test_fits_read_stored_rows(spark, monkeypatch):
+    """The request model's rows are stored once, and fits without folds make none."""
+    from spendsignals.plans import catalog  # noqa: F401
+    from spendsignals.plans import q_models as Q
+    from spendsignals.plans import q_stream as S
+
+    plans = []
+    monkeypatch.setattr(M, "fit", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    S.request_model(spark, SF_SMALL)
+    assert "Window" not in plans[0] and "parquet" not in plans[0]
+    monkeypatch.setattr(M, "stratified_folds", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(M, "logistic_attribution", lambda m, df, feats: df)
+    assert Q.e02a(spark, SF_SMALL).count() > 0 and len(plans) == 2
