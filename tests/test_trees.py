@@ -220,3 +220,20 @@ def test_few_partitions_in_a_pass(rows):
     """A pass writes sums per partition; many small ones are put together."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     assert T.pack(rows.repartition(8 * cores), FEATS, "y", max_bins=16).rows.rdd.getNumPartitions() == cores
+
+
+def test_boosted_nodes_grown_by_one_task(rows, monkeypatch):
+    """Level by level, from the middle on or whole trees at once: the same trees, numbers included, in fewer passes."""
+    data = T.pack(rows, FEATS, "y", max_bins=16)
+    kinds = [("boosted", {"n_estimators": 3, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.75, "min_child_weight": 2.0, "reg_alpha": 0.1}, f) for f in (None, 2)]
+    found = []
+    for most, passes in ((1 << 17, 3), (120, 14), (0, 15)):
+        monkeypatch.setattr(T, "GROW_ROWS", most)
+        models = [T.Ensemble(*k) for k in kinds]
+        assert T.train(data, models) <= passes
+        found.append([m.trees for m in models])
+    assert found[0] == found[1] == found[2] and max(len(t.feat) for t in found[0][0]) > 15
+    monkeypatch.setattr(T, "GROW_ROWS", 1 << 17)
+    monkeypatch.setattr(T, "SENT_BYTES", 0)             # no room for rows: sums
+    models = [T.Ensemble(*k) for k in kinds]
+    assert T.train(data, models) > 3 and [m.trees for m in models] == found[0]
