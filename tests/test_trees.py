@@ -237,3 +237,38 @@ def test_boosted_nodes_grown_by_one_task(rows, monkeypatch):
     monkeypatch.setattr(T, "SENT_BYTES", 0)             # no room for rows: sums
     models = [T.Ensemble(*k) for k in kinds]
     assert T.train(data, models) > 3 and [m.trees for m in models] == found[0]
+
+
+def test_features_counted_jointly():
+    """Sums of joined features, taken apart, are each feature's own sums; large and small nodes count alike."""
+    rng = np.random.default_rng(3)
+    sizes, n = np.array([24, 2, 64, 1, 52, 3] + [2] * 14), 3 * T.BLOCK
+    bins = np.stack([rng.integers(0, s, n) for s in sizes], axis=1).astype(np.uint8)
+    slot, weight = rng.integers(0, 3, n), rng.integers(-1000, 1000, n).astype(float)
+    groups = T._joined(sizes, 512)
+    assert sorted(f for g in groups for f in g) == list(range(len(sizes))) and len(groups) < 8
+    for group, code in zip(groups, T._codes(np.ascontiguousarray(bins.T), sizes, groups), strict=True):
+        width = int(np.prod(sizes[group]))
+        for f, own in T._apart(np.bincount(slot * width + code, weight, 3 * width), sizes, group, 3):
+            assert (own.ravel() == np.bincount(slot * sizes[f] + bins[:, f], weight, 3 * sizes[f])).all()
+    slopes = np.stack([rng.integers(-T.UNIT, T.UNIT, n), rng.integers(1, T.UNIT, n)], axis=1).astype(np.int64)
+    grown = list(T.grow_boosted(bins, slopes, sizes, np.arange(len(sizes)), T.BOOSTED_DEFAULTS, 3))
+    _, f, cut, gain, inside, total = grown[0]
+    left = bins[:, f] <= cut
+    assert (total * T.UNIT == slopes.sum(axis=0)).all() and (inside * T.UNIT == slopes[left].sum(axis=0)).all()
+    plain = [np.bincount(bins[:, j], slopes[:, c].astype(float), sizes[j]) for c in range(2) for j in range(len(sizes))]
+    assert T.boosted_split(np.concatenate(plain).reshape(2, -1).astype(np.int64), sizes, np.arange(len(sizes)), T.BOOSTED_DEFAULTS)[:3] == (f, cut, gain)
+
+
+def test_a_pass_reads_blocks(spark):
+    """Rows in work are stored as blocks, not one table row each, and come back as they were."""
+    n = 3000
+    rows = spark.range(n).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 7).cast("double").alias("a"))
+    data = T.pack(rows, ["a"], "y", id_col="id")
+    job = T._Job(data, [T.Ensemble("boosted", {"n_estimators": 1})])
+    stored = job.rows.toArrow()
+    assert 0 < stored.num_rows <= data.rows.rdd.getNumPartitions()
+    back = [b for b in T._from_blocks(iter(stored.to_batches()), 1, 1)]
+    assert sorted(np.concatenate([b[1] for b in back]).tolist()) == list(range(n))
+    for _, ids, label, _, bins, margins in back:
+        assert (label == (ids % 3 == 0)).all() and (bins[:, 0] == ids % 7).all() and not margins.any()
