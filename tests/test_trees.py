@@ -272,3 +272,22 @@ def test_a_pass_reads_blocks(spark):
     assert sorted(np.concatenate([b[1] for b in back]).tolist()) == list(range(n))
     for _, ids, label, _, bins, margins in back:
         assert (label == (ids % 3 == 0)).all() and (bins[:, 0] == ids % 7).all() and not margins.any()
+
+
+def test_small_forest_nodes_split_together():
+    """Nodes split in one go get the split each would get alone; features it may not use are left out."""
+    rng = np.random.default_rng(8)
+    sizes, nodes, n = np.array([24, 2, 1, 64, 7]), 5, 900
+    bins = np.stack([rng.integers(0, s, n) for s in sizes], axis=1).astype(np.uint8)
+    last = (4 * rng.integers(1, 4, n) + rng.integers(0, 3, n)).astype(np.uint8)[:, None]        # draws and class, 2 for none
+    rows, node = np.concatenate([bins, last], axis=1), rng.integers(0, nodes - 1, n)
+    node[:3] = nodes - 1                            # too few to be split
+    allowed = rng.random((nodes, len(sizes))) < 0.6
+    allowed[:, 0] |= ~allowed.any(axis=1)
+    p = T.FOREST_DEFAULTS | {"weights": [0.7, 1.9], "min_samples_split": 4, "min_samples_leaf": 3}
+    for i, got in enumerate(T.forest_splits(rows, node, nodes, sizes, allowed, p)):
+        feats, own = np.flatnonzero(allowed[i]), rows[node == i]
+        sums = [np.concatenate([np.bincount(own[:, f], w, sizes[f]) for f in feats]) for w in
+                [(own[:, -1] >> 2) * (own[:, -1] & 3 == k) for k in (0, 1)] + [np.ones(len(own))]]
+        want = T.forest_split(np.array(sums).astype(np.int64), sizes[feats], feats, p)
+        assert got[:3] == want[:3] and (got[3] == want[3]).all() and (got[4] == want[4]).all() and (got[0] < 0) == (i == nodes - 1)
