@@ -77,6 +77,69 @@ def test_shapley_values_equal_all_coalitions():
         assert abs(phi.sum() - expected(x, {0, 1, 2})) < 1e-12
 
 
+def _random_tree(rng, n_feats, depth):
+    tree = {k: [] for k in ("feat", "cut", "thr", "left", "right", "cover", "val")}
+
+    def grow(d, cover):
+        i = len(tree["feat"])
+        leaf = d == depth or (d > 3 and rng.random() < 0.15)
+        f, cut = int(rng.integers(n_feats)), int(rng.integers(7))
+        for k, v in (("feat", -1 if leaf else f), ("cut", cut), ("thr", float(cut)), ("left", 0), ("right", 0), ("cover", cover), ("val", float(rng.normal()))):
+            tree[k].append(v)
+        if not leaf:
+            share = rng.uniform(0.05, 0.95)
+            tree["left"][i] = grow(d + 1, cover * share)
+            tree["right"][i] = grow(d + 1, cover * (1 - share))
+        return i
+
+    grow(0, 100.0)
+    return tree
+
+
+def test_shapley_values_by_parts_equal_those_leaf_by_leaf(monkeypatch):
+    """Trees of many parts and of one, with repeated features, equal rows and values that pass no condition."""
+    import numpy as np
+
+    from spendsignals.operators import shapley
+
+    rng = np.random.default_rng(3)
+    for n_feats, depth, leaves in ((3, 2, 16), (5, 7, 16), (9, 9, 4), (30, 9, 16), (4, 6, 1), (1, 0, 16)):
+        monkeypatch.setattr(shapley, "LEAVES", leaves)
+        trees = [_random_tree(rng, n_feats, depth) for _ in range(3)]
+        bins = rng.integers(0, 8, (200, n_feats))
+        bins[::3, 0] = -1
+        bins[7] = bins[8]
+        x = np.where(bins < 0, np.nan, bins.astype(float))
+        want = M.shapley_values([p for t in trees for p in M.leaf_paths(t)], x, n_feats)
+        assert np.abs(shapley.values(trees, bins, n_feats) - want).max() < 1e-12
+        assert shapley.values(trees, bins[:0], n_feats).shape == (0, n_feats + 1)
+
+
+def test_a_deep_forest_is_not_worked_leaf_by_leaf(monkeypatch):
+    """Rows that a part of a tree cannot tell apart are worked on once: 2,000 rows of 2 kinds cost what 2 do."""
+    import numpy as np
+
+    from spendsignals.operators import shapley
+
+    tree, seen = _random_tree(np.random.default_rng(5), 8, 8), []
+    walked = shapley.Walker.walked
+    monkeypatch.setattr(shapley.Walker, "walked", lambda self, root, columns, n: (seen.append(n), walked(self, root, columns, n))[1])
+    bins = np.tile(np.array([[0, 1, 2, 3, 4, 5, 6, 7], [7, 6, 5, 4, 3, 2, 1, 0]]), (1000, 1))
+    got = shapley.values([tree], bins, 8)
+    assert max(seen) <= 2 and len(seen) < sum(f < 0 for f in tree["feat"]) / 2
+    assert np.abs(got - np.tile(M.shapley_values(M.leaf_paths(tree), bins[:2].astype(float), 8), (1000, 1))).max() < 1e-12
+
+
+def test_attribution_uses_all_cores(spark):
+    """Few stored partitions do not hold up the work; rows without an id and copies are kept."""
+    rows = [(None if i == 5 else i // 2, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "transaction_id long, a double, b double, impulse_label int").coalesce(1)
+    m = M.fit(df.where("transaction_id is not null"), ["a", "b"], M.boosted({"n_estimators": 3, "max_depth": 2}))
+    attr = M.tree_attribution(m, df, ["a", "b"])
+    assert attr.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert attr.count() == 900 and attr.where("transaction_id is null").count() == 3
+
+
 def test_logistic_attribution_adds_up_and_probabilities_in_range(spark):
     d, feats = _train(spark)
     m = M.fit(d, feats, M.logistic(), scale=True)
