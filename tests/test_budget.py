@@ -7,6 +7,10 @@ from spendsignals.plans import models as M
 from spendsignals.plans import q_models as Q
 
 
+class Stop(Exception):
+    pass
+
+
 @pytest.mark.parametrize("kind,space", [("forest", M.RF_SPACE), ("boosted", M.GBT_SPACE)])
 def test_search_and_fit_are_whole(monkeypatch, kind, space):
     """40 candidates over five folds with all their trees; the winner is fitted with all of its trees."""
@@ -18,3 +22,29 @@ def test_search_and_fit_are_whole(monkeypatch, kind, space):
     spec = c.tuned(kind)
     assert seen == [(kind, M.sample_space(space, 40), 5)]
     assert spec.params == seen[0][1][7] and spec.params["n_estimators"] >= 100
+
+
+@pytest.mark.parametrize("query", [Q.m14b, Q.s05b, Q.m14])
+def test_next_transaction_model_has_all_trees(spark, monkeypatch, query):
+    """Fold check, bundle and the query itself train the model of 200 trees."""
+    from spendsignals.operators import nexttxn
+    from spendsignals import session
+
+    made = []
+    monkeypatch.setattr(session, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(nexttxn, "time_split", lambda *_: (None, None, None))
+    monkeypatch.setattr(nexttxn, "block_folds", lambda df: df)
+    monkeypatch.setattr(Q.I.Ctx, "next_dataset", type("D", (), {"na": type("N", (), {"fill": staticmethod(lambda *_: None)})})())
+    monkeypatch.setattr(Q.ModelCtx, "fitted", lambda *_: None)
+    monkeypatch.setattr(M, "save_model", lambda *_: None)
+    monkeypatch.setattr(Q, "ensure_checkpoint_dir", lambda _: "")
+
+    def fit(df, feats, estimator, **_):
+        made.append(estimator.getMaxIter())
+        raise Stop
+
+    monkeypatch.setattr(M, "fit", fit)
+    monkeypatch.setattr(M, "cross_validate", lambda df, feats, make, **_: fit(df, feats, make()))
+    with pytest.raises(Stop):
+        query(None, "x")
+    assert made == [200]
