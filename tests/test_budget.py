@@ -48,3 +48,24 @@ def test_next_transaction_model_has_all_trees(spark, monkeypatch, query):
     with pytest.raises(Stop):
         query(None, "x")
     assert made == [200]
+
+
+def test_folds_of_few_rows_are_fitted_side_by_side(spark, monkeypatch):
+    """Many small jobs of one fold leave cores idle: the folds' fits overlap, and give what they give one after another."""
+    import threading
+
+    rows = [(i, float(i % 7), float(i % 3), int(i * 37 % 11 < i % 7), i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "transaction_id long, a double, b double, impulse_label int, fold int")
+    fit, meet, threads = M.fit, threading.Barrier(3, timeout=60), set()
+
+    def together(*a, **k):
+        threads.add(threading.get_ident())
+        meet.wait()
+        return fit(*a, **k)
+
+    monkeypatch.setattr(M, "fit", together)
+    got = sorted(M.cross_validate(df, ["a", "b"], M.logistic, folds=3).collect())
+    assert len(threads) == 3
+    monkeypatch.setattr(M, "fit", fit)
+    monkeypatch.setattr(M, "SIDE_BY_SIDE", 0)
+    assert got == sorted(M.cross_validate(df, ["a", "b"], M.logistic, folds=3).collect())
